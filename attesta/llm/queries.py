@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, repeats
 
-QUERIES = {"op1_minhash_near_dedup": minhash.op1_minhash_near_dedup}
+QUERIES = {
+    "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+    "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
+}
 ORACLE_SQL: dict[str, str] = {}
