@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     nodes = written(member.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     same = base["doc_id"].eqNullSafe(nodes["doc_id"]) & (base["node"] == nodes["node"])
-    text = base.join(nodes, same, "left_semi").select("node", "text")
+    text = base.join(nodes.hint("merge"), same, "left_semi").select("node", "text")
     text = written(text.dropDuplicates(["node"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
