@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash, repeats
+from . import binary, minhash, repeats
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+    "op2_token_binary": binary.op2_token_binary,
     "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -173,7 +173,7 @@ def repeated_ranges(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
     todo = classes.join(mixed, "g").withColumns({"b": F.lit(0), "size": F.lit(depth - gram + 1)})
     todo = written(todo.select(*(x.split()[0] for x in _ROW.split(", "))), "todo")
     needed = written(todo.select("node").distinct(), "nodes")
-    text = written(texts.join(needed, "node", "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
+    text = written(texts.join(needed.hint("merge"), "node", "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
 
     whole = place.join(written(classes.filter("n > 1").select("g", "span"), "whole"), ["g", "span"])
     ranges = whole.select("node", (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + depth).alias("stop"))
@@ -232,7 +232,7 @@ def _with_ranges(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.withColumns({"att_text": text, "att_node": F.unhex(F.md5(text))})
     found = repeated_ranges(base.select(F.col("att_node").alias("node"), F.col("att_text").alias("text")), depth)
-    return base.join(found.select(F.col("node").alias("att_node"), F.col("ranges").alias("att_ranges")), "att_node", "left")
+    return base.join(found.select(F.col("node").alias("att_node"), F.col("ranges").alias("att_ranges")).hint("merge"), "att_node", "left")
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
