@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import binary, minhash, repeats
+from . import binary, minhash, packing, repeats
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op2_token_binary": binary.op2_token_binary,
     "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
+    "op5_mixture_packing": packing.op5_mixture_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
