@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import binary, minhash, packing, repeats
+from . import binary, bpe, minhash, packing, repeats
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op2_token_binary": binary.op2_token_binary,
     "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_mixture_packing": packing.op5_mixture_packing,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -24,13 +24,14 @@ from .common import raw, slices
 MEMO = 1_200_000  # pre-tokens a worker keeps
 
 
-def _spans(points: list[int]) -> str:
+def spans(points: list[int]) -> str:
+    """Sorted code points as ranges of a regex class."""
     out, i = [], 0
     while i < len(points):
         j = i
         while j + 1 < len(points) and points[j + 1] == points[j] + 1:
             j += 1
-        out.append(f"\\u{points[i]:04x}-\\u{points[j]:04x}")
+        out.append(f"\\U{points[i]:08x}-\\U{points[j]:08x}")
         i = j + 1
     return "".join(out)
 
@@ -53,7 +54,7 @@ def classes() -> tuple[str, str, str]:
             letters.append(c)
         elif kind[0] == "N":
             numbers.append(c)
-    return _spans(letters), _spans(numbers), _spans(safe)
+    return spans(letters), spans(numbers), spans(safe)
 
 
 @lru_cache(1)
