@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, minhash, packing, repeats, topk
+from . import binary, bpe, minhash, packing, repeats, topk, urls
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_mixture_packing": packing.op5_mixture_packing,
+    "op6_url_filter": urls.op6_url_filter,
     "op10_exact_top_k": topk.op10_exact_top_k,
 }
 ORACLE_SQL: dict[str, str] = {}
