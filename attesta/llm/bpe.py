@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read, slices
-from .tokens import MEMO, Memo, byte_level_pattern, spans, unsafe
+from .tokens import Memo, spans, unsafe
 
 STATES = 50_000  # transducer states made; beyond them the hypotheses are followed without new states
 
@@ -265,19 +265,15 @@ class Codec:
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else self.transducer.encode(piece)
 
-    def split(self, text: str) -> list[str]:
-        return library_pattern().findall(text) if unsafe().search(text) else byte_level_pattern().findall(text)
-
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the texts' offsets in them."""
-        if self.memo.n > MEMO:
-            self.memo.reset()
-        number = self.memo.__getitem__
-        lists = [list(map(number, self.split(t))) for t in texts]
-        self.memo.settle()
-        flat = np.fromiter((n for x in lists for n in (*x, 0)), np.int64, sum(map(len, lists)) + len(lists))
+        rare = unsafe().search
+
+        def whole(i: int) -> list[int]:
+            return [x for p in library_pattern().findall(texts[i]) for x in self.piece(p.encode())]
+
+        flat, ends = self.memo.numbers(texts, False, whole, [i for i, t in enumerate(texts) if rare(t)])
         ids, size = self.memo.gather(flat)
-        ends = np.cumsum([len(x) + 1 for x in lists])
         return ids, np.concatenate(([0], np.cumsum(size)[ends - 1] if len(ends) else [])).astype(np.int64)
 
     def encode(self, text: str) -> list[int]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, slices
+from .common import Prefixes, mix, raw, slices
 
 MEMO = 1_200_000  # pre-tokens a worker keeps
 
@@ -76,6 +76,72 @@ def word_pattern() -> re.Pattern:
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+")
 
 
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """0 white space, 1 letter, 2 number, 3 other, of each code point below 0x10000 that is safe."""
+    letters, numbers, _ = classes()
+    table = np.full(0x10000, 3, np.uint8)
+    every = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    for ranges, kind in ((letters, 1), (numbers, 2)):
+        table[[ord(c) for c in re.findall(f"[{ranges}]", every)]] = kind
+    table[[9, 10, 11, 12, 13, *(c for c in range(0x10000) if unicodedata.category(chr(c)) == "Zs")]] = 0
+    return table
+
+
+@lru_cache(1)
+def _code_point_hashes() -> np.ndarray:
+    return mix((np.arange(0x10000, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def pre_tokens(joined: str, texts: np.ndarray, single: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, text and hash of the pre-tokens of safe texts that begin at `texts` in joined.
+
+    The split of byte_level_pattern(), or of word_pattern() if single: kinds change, a
+    space joins what follows it, the last white space before a word stands alone, and
+    an apostrophe that opens a pre-token takes s, t, re, ve, m, ll or d with it.
+    """
+    n = len(joined)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    point = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    kind = kinds()[point]
+    first = np.zeros(n + 1, bool)
+    first[texts] = True
+    first[n] = True
+    begin = np.ones(n, bool)
+    begin[1:] = kind[1:] != kind[:-1]
+    begin |= first[:-1]
+    if single:
+        begin |= kind == 2
+    else:
+        last = np.flatnonzero((kind[:-1] == 0) & (kind[1:] != 0) & ~first[1:-1])
+        begin[last] = True
+        begin[last[point[last] == 32] + 1] = False
+    mark = np.flatnonzero((point == 39) & begin)
+    if len(mark):
+        after = np.zeros((2, len(mark)), np.uint32)
+        for k in (1, 2):  # what follows in the same text
+            inside = mark + k < n
+            inside[inside] = ~first[mark[inside] + k]
+            if k == 2:
+                inside &= after[0] > 0
+            after[k - 1, inside] = point[mark[inside] + k]
+        one = np.isin(after[0], [ord(c) for c in "stmd"])
+        two = np.zeros(len(mark), bool)
+        for pair in ("re", "ve", "ll"):
+            two |= (after[0] == ord(pair[0])) & (after[1] == ord(pair[1]))
+        begin[mark[one | two] + 1] = False
+        beyond = np.where(one, mark + 2, mark + 3)[one | two]
+        beyond = beyond[beyond < n]
+        begin[beyond] = True
+    start = np.flatnonzero(begin)
+    stop = np.append(start[1:], n)
+    if single:
+        keep = kind[start] != 0
+        start, stop = start[keep], stop[keep]
+    return start, stop, np.searchsorted(texts, start, "right") - 1, Prefixes(point, _code_point_hashes())(start, stop)
+
+
 class Memo(dict):
     """Pre-token to number; number n stands for flat[start[n]:start[n] + length[n]]."""
 
@@ -123,6 +189,32 @@ class Memo(dict):
             self._store(self.encode(self.new), [dict.__getitem__(self, x) for x in self.new])
             self.new = []
 
+    def numbers(self, texts: list[str], single: bool, otherwise: Callable[[int], list[int]], skip: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts in a row, a 0 after each text, and the texts' ends in them. Texts in skip get the ids that otherwise() gives."""
+        if self.n > MEMO:
+            self.reset()
+        out = set(skip)
+        size = np.fromiter((0 if i in out else len(t) for i, t in enumerate(texts)), np.int64, len(texts))
+        joined = "".join(t for i, t in enumerate(texts) if i not in out) if out else "".join(texts)
+        at = np.cumsum(size) - size
+        filled = np.flatnonzero(size)
+        start, stop, row, key = pre_tokens(joined, at[filled], single)
+        row = filled[row] if len(row) else row
+        _, where, inverse = np.unique(key, return_index=True, return_inverse=True)
+        number = self.__getitem__
+        named = np.fromiter((number(joined[a:b]) for a, b in zip(start[where].tolist(), stop[where].tolist(), strict=True)), np.int64, len(where))
+        count = np.bincount(row, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
+        count[skip] = 1
+        ends = np.cumsum(count + 1)
+        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        first = np.cumsum(np.bincount(row, minlength=len(texts))) - np.bincount(row, minlength=len(texts)) if len(row) else None
+        if len(row):
+            flat[(ends - count - 1)[row] + np.arange(len(row)) - first[row]] = named[inverse]
+        for i in skip:
+            flat[ends[i] - 2] = self.own(otherwise(i))
+        self.settle()
+        return flat, ends
+
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the numbers in a row, and how many each gave."""
         size = self.length[numbers]
@@ -148,7 +240,6 @@ class TextEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.lower = bool(self.library.normalizer)
-        self.pattern = word_pattern() if self.lower else byte_level_pattern()
         self.end = end
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
@@ -158,26 +249,16 @@ class TextEncoder:
         stand_in, tokenize = byte_characters(), self.model.tokenize
         return [[t.id for t in tokenize(x.encode().decode("latin1").translate(stand_in))] for x in new]
 
-    def numbers(self, text: str) -> list[int]:
-        memo = self.memo
-        if unsafe().search(text) or any(x in text for x in self.special):
-            return [memo.own(self.library.encode(text, add_special_tokens=False).ids)]
-        if self.lower:
-            text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
-            if not text.isascii() and unsafe().search(text):
-                return [memo.own(self.library.encode(text, add_special_tokens=False).ids)]
-        return list(map(memo.__getitem__, self.pattern.findall(text)))
-
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of the texts in them."""
-        if self.memo.n > MEMO:
-            self.memo.reset()
-        lists = [self.numbers(t) for t in texts]
-        self.memo.settle()
-        count = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((n for x in lists for n in (*x, 0)), np.int64, int(count.sum()) + len(lists))
+        rare = unsafe().search
+        skip = [i for i, t in enumerate(texts) if rare(t) or any(x in t for x in self.special)]
+        plain = texts
+        if self.lower:
+            plain = [(t if t.isascii() else unicodedata.normalize("NFC", t)).lower() for t in texts]
+            skip = sorted({*skip, *(i for i, t in enumerate(plain) if not t.isascii() and rare(t))})
+        flat, ends = self.memo.numbers(plain, self.lower, lambda i: self.library.encode(texts[i], add_special_tokens=False).ids, skip)
         ids, size = self.memo.gather(flat)
-        ends = np.cumsum(count + 1)
         return ids, np.concatenate(([0], np.cumsum(size)[ends - 1] if len(ends) else [])).astype(np.int64)
 
 
