@@ -101,11 +101,11 @@ class Prefixes:
         return mix((self.sums[stop] - self.sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each run of bytes outside space and 0x09-0x0D; runs never cross rows."""
+def words(data: np.ndarray, offsets: np.ndarray, members: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of bytes outside space and 0x09-0x0D, or of member bytes; runs never cross rows."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    inside = ~_SPACE[data]
+    inside = ~_SPACE[data] if members is None else members[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     begins, ends = inside.copy(), inside.copy()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, minhash, packing, perplexity, repeats, topk, urls
+from . import binary, bpe, language, minhash, packing, perplexity, repeats, topk, urls
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_mixture_packing": packing.op5_mixture_packing,
     "op6_url_filter": urls.op6_url_filter,
+    "op7_language_id": language.op7_language_id,
     "op9_quality_rules": perplexity.op9_quality_rules,
     "op10_exact_top_k": topk.op10_exact_top_k,
 }
