@@ -261,10 +261,10 @@ def held_out(doc_id):
 
 
 def languages(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row; keep: columns to carry along instead of doc_id."""
-    kept = keep if keep is not None else [id_col]
+    """(doc_id, lang_pred, score) for every row; keep: columns to carry along instead of doc_id, with (att_lang, att_score)."""
+    kept, names = (keep, ["att_lang", "att_score"]) if keep is not None else ([id_col], ["lang_pred", "score"])
     base = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("att_text"))
-    schema = base.drop("att_text").schema.add("lang_pred", "string").add("score", "double")
+    schema = base.drop("att_text").schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +281,7 @@ def languages(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text
                     best = mean.argmax(1)
                     name = [field.labels[j] if c else "und" for j, c in zip(best, count, strict=True)]
                     score = np.where(count > 0, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(name, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(name, pa.string()), pa.array(score)], [*kept, *names])
 
     return base.mapInArrow(run, schema)
 

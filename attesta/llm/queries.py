@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, language, minhash, packing, perplexity, repeats, topk, urls
+from . import binary, bpe, language, minhash, packing, perplexity, quality, repeats, topk, urls
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixture_packing": packing.op5_mixture_packing,
     "op6_url_filter": urls.op6_url_filter,
     "op7_language_id": language.op7_language_id,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_quality_rules": perplexity.op9_quality_rules,
     "op10_exact_top_k": topk.op10_exact_top_k,
 }
