@@ -40,7 +40,7 @@ def shingles(docs: DataFrame, id_col: str, text_col: str, n: int = 4, pattern: s
     placed = F.aggregate(lines, start, lambda acc, t: F.struct((acc["at"] + F.size(t)).alias("at"), F.concat(acc["rows"], F.array(F.struct(acc["at"].alias("at"), t.alias("t")))).alias("rows")), lambda acc: acc["rows"])
     block = docs.select(F.col(id_col).alias("doc"), F.posexplode(placed).alias("b", "line")).filter(F.size("line.t") >= n)
     grams = F.transform(F.sequence(F.lit(1), F.size("line.t") - (n - 1)), lambda k: F.array_join(F.slice(F.col("line.t"), k, n), " "))
-    gram = block.select("doc", (F.col("b") + 1).alias("block"), F.col("line.at").alias("at"), F.posexplode(grams).alias("k", "gram"))
+    gram = block.select("doc", (F.col("b") + 1).cast("bigint").alias("block"), F.col("line.at").alias("at"), F.posexplode(grams).alias("k", "gram"))
     return gram.select("doc", "block", (F.col("at") + F.col("k") + 1).cast("bigint").alias("pos"), F.xxhash64("gram").alias("h"), "gram")
 
 
