@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Prefixes, mix, raw, slices
 
-MEMO = 1_200_000  # pre-tokens a worker keeps
+MEMO = 700_000  # pre-tokens a worker keeps
 
 
 def spans(points: list[int]) -> str:
@@ -282,7 +282,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, keep: list[str], path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(path, end)
         for batch in batches:
-            for part in slices(batch, "att_text", 1 << 22):
+            for part in slices(batch, "att_text"):
                 ids, offsets = to_ids(part.column("att_text").to_pylist())
                 kept = [part.column(x) for x in ("doc_id", *keep)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(offsets)), id_bytes(ids, offsets, width)], ["doc_id", *keep, "n_tokens", "ids"])
