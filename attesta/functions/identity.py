@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .text import casefold, clean, col, empty_array, fold_marks, strip, unique
 
@@ -37,13 +42,20 @@ def title_key(x: Column | str) -> Column:
     return F.regexp_extract_all(fold_marks(F.coalesce(col(x), F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
 
 
-def family_variants(author: Column | str) -> Column:
-    """Phrases that may be the family name: before a comma, or every suffix of a name in natural order."""
-    author = F.coalesce(col(author), F.lit(""))
-    family = title_key(F.when(author.contains(","), F.substring_index(author, ",", 1)).otherwise(author))
-    suffixes = F.when(F.size(family) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(family), F.lit(1))), lambda i: F.slice(family, i, F.size(family))))
-    whole = F.when(F.size(family) > 0, F.array(family))
-    return F.coalesce(F.when(author.contains(","), whole).otherwise(suffixes), F.array().cast("array<array<string>>"))
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def family_variants(author: pd.Series) -> pd.Series:
+    """Phrases that may be the family name: before a comma, or every suffix of a name in natural order.
+
+    Word tokens as in title_key(). A UDF, because a lambda over the tokens could not hold the folding UDF.
+    """
+
+    def of(name: str | None) -> list[list[str]]:
+        family, comma, _ = (name or "").partition(",")
+        plain = "".join(c for c in unicodedata.normalize("NFKD", family) if not unicodedata.combining(c))
+        parts = re.findall(r"\w+", plain.casefold())
+        return [parts[i:] for i in range(1 if comma and parts else len(parts))]
+
+    return author.map(of)
 
 
 def filename_key(path: Column | str) -> Column:

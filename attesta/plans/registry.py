@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import similarity_queries
+from . import similarity_queries, text_queries
 
-_MODULES = (similarity_queries,)
+_MODULES = (similarity_queries, text_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
