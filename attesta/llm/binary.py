@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw, read, shared_folder, written
+from .common import read, shared_folder, slices, written
 from .tokens import encoded, ids_of
 
 BLOCK_BYTES = 1 << 20
@@ -90,8 +90,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            ids, _ = ids_of(batch.column("ids"), width)
-            total += np.bincount(ids, minlength=vocabulary)
+            for part in slices(batch, "ids"):
+                ids, _ = ids_of(part.column("ids"), width)
+                total += np.bincount(ids, minlength=vocabulary)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
@@ -125,9 +126,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, offsets = ids_of(batch.column("ids"), width)
-            control, data = pack(rank[ids], offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(batch.column("doc_id"))), batch.column("doc_id"), batch.column("n_tokens"), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["shard", "doc_id", "n_tokens", "control", "data"])
+            for part in slices(batch, "ids"):
+                ids, offsets = ids_of(part.column("ids"), width)
+                control, data = pack(rank[ids], offsets)
+                yield pa.RecordBatch.from_arrays([pa.array(shard_of(part.column("doc_id"))), part.column("doc_id"), part.column("n_tokens"), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["shard", "doc_id", "n_tokens", "control", "data"])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, number, shard, start = [], 0, 0, None, 0

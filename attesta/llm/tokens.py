@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Prefixes, mix, raw, slices
 
-MEMO = 700_000  # pre-tokens a worker keeps
+MEMO = 300_000  # pre-tokens a worker keeps
 
 
 def spans(points: list[int]) -> str:
