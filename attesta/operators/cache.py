@@ -20,17 +20,17 @@ CACHE = (
 _COLUMNS = [c.split()[0] for c in CACHE.split(", ")]
 
 
-def records(parsed: DataFrame) -> DataFrame:
-    """Cache rows of extracted sources (with source_id); a document without blocks has one metadata row."""
+def records(parsed: DataFrame, *keep: str) -> DataFrame:
+    """Cache rows of extracted sources (with source_id); a document without blocks has one metadata row. keep: further columns to carry along."""
     none = F.array(F.struct(F.lit("document-empty").alias("block_id"), F.lit("").alias("text_original"), F.lit("document").alias("locator_type"), F.lit("whole").alias("locator_value"), F.lit("").alias("heading")))
     some = F.size("blocks") > 0
     each = parsed.select("*", F.posexplode(F.when(some, F.col("blocks")).otherwise(none)).alias("i", "b"))
     rows = each.select(
         F.greatest(F.size("blocks"), F.lit(1)).alias("block_count"), F.lit(VERSION).alias("cache_schema_version"), F.col("sha256").alias("document_hash"), "document_id", "source_id",
         "extraction_method", "extraction_status", "text_quality", F.when(F.size("blocks") > 0, "block").otherwise("document-metadata").alias("record_type"), (F.col("i") + 1).alias("block_index"),
-        "b.block_id", "b.text_original", X.normalize_text("b.text_original").alias("text_normalized"), "b.locator_type", "b.locator_value",
+        "b.block_id", "b.text_original", *keep, X.normalize_text("b.text_original").alias("text_normalized"), "b.locator_type", "b.locator_value",
     )
-    return rows.select(_COLUMNS)
+    return rows.select(*_COLUMNS, *keep)
 
 
 def validity(cache: DataFrame, by: str = "file") -> DataFrame:
@@ -65,7 +65,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CACHE + ", file string").option("mode", "PERMISSIVE").json(path)
 
 
-def write(rows: DataFrame, path: str, file) -> None:
-    """Replace the entries of the sources in rows and leave all others."""
-    out = rows.withColumn("file", file).repartition("file").sortWithinPartitions("file", "block_index")
+def write(rows: DataFrame, path: str) -> None:
+    """Replace the entries (by `file`) that rows have and leave all others."""
+    out = rows.repartition("file").sortWithinPartitions("file", "block_index")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").json(path)

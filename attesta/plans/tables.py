@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +27,15 @@ def sql_literal(x) -> str:
 def values(rows: list[tuple], names: str) -> str:
     """A VALUES relation in SQL."""
     return "(VALUES " + ", ".join("(" + ", ".join(map(sql_literal, r)) + ")" for r in rows) + f") AS t({names})"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write df in the shared folder and read it back: later steps start from a table, not from everything before it."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:  # none is set: tests and single machines
+        base = tempfile.mkdtemp(prefix="attesta-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base}/attesta/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
