@@ -222,7 +222,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     band = scored.filter("not base_failed").groupBy("lang").agg(quarters.alias("q"))
     reach = F.greatest(F.lit(wide) * (F.col("q")[1] - F.col("q")[0]), F.lit(slack))
     band = written(band.select("lang", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), reach.alias("reach")), "bands")
-    far = F.col("reach") * F.sqrt(1 + F.lit(SHORT) / F.col("n_words"))
+    far = F.col("reach") * F.sqrt(1 + F.lit(SHORT) / F.greatest("n_words", F.lit(1)))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower") - far, F.col("upper") + far), F.lit(True))
     return scored.join(band, "lang", "left").select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", "log_perplexity")
 
