@@ -165,7 +165,8 @@ def repeated_ranges(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
     small = texts.select("text").mapInArrow(_anchorer(depth, gram, True), "g bigint")
     shared = written(small.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), "digit1")
     rows = texts.select("node", "text").mapInArrow(_anchorer(depth, gram, False), "node binary, g bigint, span bigint, place int, near int, far int")
-    place = written(rows.join(shared, "g").groupBy("g", "span", "node", "place", "near", "far").agg(F.count("*").alias("m")), "anchors")
+    hits = written(rows.join(shared, "g"), "hits")  # a table of its own: what follows would keep a hot gram in one task
+    place = written(hits.groupBy("g", "span", "node", "place", "near", "far").agg(F.count("*").alias("m")), "anchors")
 
     classes = place.groupBy("g", "span").agg(F.sum("m").alias("n"), F.min(F.struct("node", "place", "near", "far")).alias("r"))
     classes = written(classes.select("g", "span", "n", "r.*"), "digit2")
