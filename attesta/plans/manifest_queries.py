@@ -13,6 +13,7 @@ from attesta.functions import text as X
 from attesta.operators import cache as K
 from attesta.operators import manifest as M
 from attesta.operators import mapping as P
+from attesta.operators import reports as R
 from attesta.sources import bibliography as B
 from attesta.sources import manifest_csv as V
 
@@ -110,6 +111,10 @@ def manifest_summary(spark, sf_dir):
     return M.summary(rows, _artifacts(sources).select("source_id", "extraction_status", "text_quality", "reused"))
 
 
+def source_states(spark, sf_dir):
+    return R.source_states(_manifest(spark, sf_dir)[0])
+
+
 def manifest_exit(spark, sf_dir):
     total = manifest_summary(spark, sf_dir)
     codes = [M.exit_code(total, n, strict).select(F.lit(n).alias("bad_targets"), F.lit(strict).alias("strict"), F.col("code").alias("code")) for n, strict in ((0, False), (0, True), (1, False))]
@@ -291,6 +296,7 @@ SQL = {
     "citation_index": f"{_SRC} SELECT key, count(*) AS n, arg_min(file, file || ' ' || loc) AS first_file, arg_min(loc, file || ' ' || loc) AS first_locator, false AS keyless FROM cit GROUP BY key",
     "manifest_build": f"{_SRC} SELECT source_id, bibliography_key, aliases, mapping_status, mapping_rule, candidates, n_targets, extraction_status, text_quality, conflicts FROM mf",
     "manifest_summary": f"{_SUM} SELECT expected, resolved, (SELECT count(*) FROM ok WHERE ok AND NOT reused) AS extracted, analyzed, missing, ambiguous, unusable, round_even(100.0 * analyzed / expected, 2) AS coverage_percent FROM s",
+    "source_states": f"{_SRC}, g AS (SELECT CASE extraction_status WHEN 'missing' THEN 'missing' WHEN 'needs_ocr' THEN 'unusable' WHEN 'not_run' THEN 'not run' ELSE 'analyzed' END AS state FROM mf WHERE source_id <> '') SELECT s.state, count(g.state) AS n FROM (SELECT unnest(['analyzed', 'missing', 'unusable', 'not run']) AS state) s LEFT JOIN g USING (state) GROUP BY 1",
     "manifest_exit": f"{_SUM} SELECT 0 AS bad_targets, false AS strict, 0 AS code UNION ALL SELECT 0, true, CASE WHEN expected = 0 OR missing > 0 OR ambiguous > 0 OR unusable > 0 THEN 2 ELSE 0 END FROM s UNION ALL SELECT 1, false, 2",
     "manifest_csv": f"""{_SRC}, q AS (SELECT key, CAST(to_json(list(file ORDER BY file, loc)) AS VARCHAR) AS files, string_agg(loc, ' | ' ORDER BY file, loc) AS sec FROM cit GROUP BY key)
 SELECT source_id, bibliography_key, '["' || aliases || '"]' AS aliases, md5(CASE WHEN n_targets > 0 THEN files ELSE '[]' END) AS files, md5(CASE WHEN n_targets > 0 THEN sec ELSE '' END) AS section, CASE WHEN candidates = '' THEN '[]' ELSE '["' || replace(candidates, '|', '","') || '"]' END AS candidate_source_ids,

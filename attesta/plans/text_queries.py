@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attesta.functions import citations as C
 from attesta.functions import identity as I
 from attesta.functions import text as X
+from attesta.operators import reports as R
 from attesta.operators import support as U
 from attesta.sources import documents as D
 
@@ -193,6 +194,11 @@ def support_affected(spark, sf_dir):
     return U.affected_claims(expected, citations).select("source_id", F.size("claims").cast("bigint").alias("n_claims"), F.coalesce(F.get("claims", 0), F.lit(-1)).alias("first_claim"))
 
 
+def support_scorecard(spark, sf_dir):
+    claims, citations, expected = _claims(spark, sf_dir)
+    return R.support_scorecard(U.measures(claims, citations), U.source_coverage(expected, claims, citations))
+
+
 def _sql_norm(x: str) -> str:
     return f"replace(lower(trim(regexp_replace({x}, '\\s+', ' ', 'g'))), 'ß', 'ss')"
 
@@ -257,5 +263,11 @@ UNION ALL SELECT 'unreadable sources', count(*) FILTER (NOT readable) FROM expec
     "support_affected": f"{_CLAIMS} SELECT source_id, count(DISTINCT claim_id) AS n_claims, coalesce(min(claim_id), -1) AS first_claim FROM expected LEFT JOIN cit USING (source_id) WHERE NOT readable GROUP BY 1",
 }
 SQL["support_labels"] = f"{_CLAIMS} SELECT label, count(claim_id) AS n FROM (SELECT unnest([" + ", ".join(f"'{x}'" for x in U.LABELS) + "]) AS label) LEFT JOIN cit USING (label) GROUP BY 1"
+SQL["support_scorecard"] = f"""{_CLAIMS}, e AS (SELECT *, has_citation AND coalesce(joint, '') = 'unverifiable' AS o, has_citation AND coalesce(joint, '') = 'full' AS fu FROM j WHERE eligible),
+c AS (SELECT count(*) AS el, count(*) FILTER (NOT o) AS cl, count(*) FILTER (fu AND NOT o) AS su FROM e), a AS (SELECT count(*) AS al, count(*) FILTER (classifiable) AS ca, count(*) FILTER (classifiable AND supporting) AS sa FROM mx),
+u AS (SELECT source_id, bool_and(classifiable) AS usable FROM mx GROUP BY 1), x AS (SELECT count(*) AS ex, count(*) FILTER (readable AND coalesce(usable, true)) AS an FROM expected LEFT JOIN u USING (source_id)),
+r AS (SELECT 'citation recall, whole scope' AS measure, su AS numerator, el AS denominator, cl = el AS shown FROM c UNION ALL SELECT 'citation precision, whole scope', sa, al, ca = al FROM a
+UNION ALL SELECT 'citation recall, verified subset', su, cl, true FROM c UNION ALL SELECT 'citation precision, verified subset', sa, ca, true FROM a UNION ALL SELECT 'audit coverage', cl, el, true FROM c UNION ALL SELECT 'corpus coverage', an, ex, true FROM x)
+SELECT measure, numerator, denominator, CASE WHEN shown THEN round(numerator / nullif(denominator, 0), 4) END AS value FROM r"""
 _NO_SQL = (html_blocks, html_diagnostics)  # what a parser keeps has no SQL
 QUERIES = {name: globals()[name] for name in SQL} | {f.__name__: f for f in _NO_SQL}
