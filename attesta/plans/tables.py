@@ -32,10 +32,10 @@ def values(rows: list[tuple], names: str) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df in the shared folder and read it back: later steps start from a table, not from everything before it."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # none is set: tests and single machines
-        base = tempfile.mkdtemp(prefix="attesta-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_attesta_shared", None)
+    if not base:  # none is set: tests and single machines; the setting can't be changed in a running session
+        base = context._attesta_shared = tempfile.mkdtemp(prefix="attesta-shared-")
     path = f"{base}/attesta/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
