@@ -33,10 +33,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of our own only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="attesta-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_attesta_shared", None)
+    if not base:  # the setting itself can't be changed in a running session
+        base = context._attesta_shared = tempfile.mkdtemp(prefix="attesta-shared-")
     return base
 
 
