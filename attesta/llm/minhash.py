@@ -9,12 +9,16 @@ coordinates, and the dart of the smallest rank in a coordinate is its signature
 value there. Two documents agree in a coordinate with the probability of their
 weighted Jaccard similarity. Work a document is O(shingles + k log k).
 
-Bands of the signature propose pairs. A bucket proposes each member against one
-pivot, never all pairs: the member that shares most buckets with others first,
-then, for members still outside the pivot's class, pivots drawn by other hashes.
-Proposed pairs are verified on whole texts; classes are connected components of
-verified links, found by min-label propagation with pointer jumping over written
-tables.
+Bands of the signature propose pairs. A bucket first proposes each member against
+one pivot, the member that shares most buckets with others. Proposed pairs are
+verified on whole texts; classes are connected components of verified links, found
+by min-label propagation with pointer jumping over written tables. A bucket that
+still holds several classes then has its members compared across classes, in blocks
+of bounded rows and bytes: members of its largest class meet the others, and the
+others meet each other. Signatures that agree too seldom for the threshold settle
+most of these comparisons, the rest are made on the texts' cells, and a block gives
+the links of a spanning forest only. So every link between texts that share a band
+is within a class, however many classes a bucket holds.
 
 Defined results: null texts and texts without a word are in a class of their own;
 equal texts are always one class; a text of fewer than five words has its whole
@@ -36,6 +40,7 @@ from .common import Prefixes, mix, raw, read, runs_of, slices, words, written
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _DART = np.uint64(0xD1342543DE82EF95)
+BLOCK, BLOCK_CHARS = 256, 1 << 22  # members and characters of a block of a bucket
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +157,96 @@ def _verifier(size: int, weighting: str, threshold: float):
     return verify
 
 
+def _signer(size: int, k: int, bands: int, weighting: str):
+    """Adds 16 bits of each signature value, and the band keys, to texts that have a word."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                cell, row = layers(*shingles(*raw(part.column("text")), size), weighting)
+                signature, _ = dart_signatures(cell, row, part.num_rows, k)
+                short, keys = (signature & np.uint64(0xFFFF)).astype("<u2"), band_keys(signature, bands)
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("text"), *(pa.array([x.tobytes() for x in m], pa.binary()) for m in (short, keys))], ["node", "text", "short", "keys"])
+
+    return sign
+
+
+def _forest(key: int, block: np.ndarray, comp: list[bytes], short: np.ndarray, keys: np.ndarray, cells: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int]]:
+    """Links between classes of one pair of blocks that a spanning forest needs; a pair is compared in its first common band only."""
+    _, label = np.unique(np.array(comp, object), return_inverse=True)
+    least = threshold - 3.8 * np.sqrt(threshold * (1 - threshold) / short.shape[1])  # of agreements; 1 in 10,000 links has fewer
+    inner = block.min() == block.max()
+    for a in range(len(block)):
+        rest = np.flatnonzero((label != label[a]) & ((np.arange(len(block)) > a) if inner else (block > block[a])))
+        rest = rest[(short[rest] == short[a]).mean(1) >= least]
+        same = keys[rest] == keys[a]
+        rest = rest[keys[a][same.argmax(1)] == key] if len(rest) else rest
+        if not len(rest):
+            continue
+        flat = np.concatenate([cells[b] for b in rest])
+        size = np.array([len(cells[b]) for b in rest])
+        at = np.minimum(np.searchsorted(cells[a], flat), len(cells[a]) - 1)
+        shared = np.bincount(np.repeat(np.arange(len(rest)), size), cells[a][at] == flat, minlength=len(rest))
+        for b in rest[shared >= threshold * (size + len(cells[a]) - shared)]:
+            if label[b] != label[a]:
+                label[label == label[b]] = label[a]
+                yield a, int(b)
+
+
+def _comparer(size: int, bands: int, weighting: str, threshold: float):
+    """Links of each run of rows of one (key, i, j)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(group: pa.Table) -> pa.RecordBatch:
+            cell, row = layers(*shingles(*raw(group.column("text")), size), weighting)
+            order = np.lexsort((cell, row))
+            cells = np.split(cell[order], np.cumsum(np.bincount(row, minlength=group.num_rows))[:-1])
+            column = lambda name, kind: np.frombuffer(raw(group.column(name))[0].tobytes(), kind).reshape(group.num_rows, -1)
+            found = list(_forest(group.column("key")[0].as_py(), group.column("b").to_numpy(), group.column("comp").to_pylist(), column("short", "<u2"), column("keys", "<i8"), cells, threshold))
+            node = group.column("node").combine_chunks()
+            return pa.RecordBatch.from_arrays([node.take(pa.array([x[i] for x in found], pa.int64())) for i in (0, 1)], ["a", "b"])
+
+        held, of = [], None
+        for batch in batches:
+            spot = np.stack([batch.column(x).to_numpy() for x in ("key", "i", "j")], 1)
+            cuts = [0, *(np.flatnonzero((spot[1:] != spot[:-1]).any(1)) + 1).tolist(), len(spot)]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                if stop == start:
+                    continue
+                if held and tuple(spot[start]) != of:
+                    yield links(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(start, stop - start))
+                of = tuple(spot[start])
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return compare
+
+
+def across(member: DataFrame, classes: DataFrame, text: DataFrame, size: int, k: int, bands: int, weighting: str, threshold: float) -> DataFrame:
+    """(a, b): links between members of one bucket that are in different classes, as many as join all such classes."""
+    placed = written(member.join(classes, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
+    shares = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("key").agg(F.count("*").alias("c"), F.max(F.struct("n", "comp")).alias("p")).filter("c > 1")
+    mixed = written(mixed.select("key", F.col("p.comp").alias("main")), "mixed")
+    rest = written(placed.join(mixed, "key").select("key", "node", "comp", (F.col("comp") == F.col("main")).alias("main")), "rest")
+    signed = text.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_signer(size, k, bands, weighting), "node binary, text string, short binary, keys binary")
+    signed = written(signed, "signed")
+
+    rest = rest.join(signed.select("node", F.length("text").alias("size")), "node")
+    parts = lambda main: F.ceil(F.greatest(F.sum(F.expr(f"int(main = {main})")) / BLOCK, F.sum(F.expr(f"if(main = {main}, size, 0L)")) / BLOCK_CHARS)).cast("int")
+    counts = written(rest.groupBy("key").agg(parts("false").alias("outer"), parts("true").alias("inner")), "blocks")
+    rest = rest.join(counts, "key")
+    block = F.when(F.col("main"), F.col("outer") + F.pmod(F.xxhash64("node"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("node"), F.col("outer"))).cast("int")
+    meets = F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1))
+    rest = rest.select("key", "node", "comp", block.alias("b"), meets.alias("x"))
+    rest = rest.select("key", "node", "comp", "b", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"))
+    rest = rest.join(signed, "node").select("key", "i", "j", "b", "node", "comp", "short", "keys", "text")
+    rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return written(rest.mapInArrow(_comparer(size, bands, weighting, threshold), "a binary, b binary"), "found")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of the nodes in links (a, b): comp is the smallest node reached. Each round is a written table."""
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
@@ -167,14 +262,13 @@ def components(links: DataFrame) -> DataFrame:
         labels = after
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, k: int = 64, bands: int = 16, weighting: str = "count", rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, k: int = 64, bands: int = 16, weighting: str = "count") -> DataFrame:
     """(doc_id, class_id, class_size) for every row of docs; class_id is the smallest id of the class.
 
     threshold: least weighted Jaccard similarity of a link. k darts a signature in
     `bands` bands: a pair of similarity 0.8 shares a band with probability
     1 - (1 - 0.8**4)**16 = 0.9998. weighting: "count" weighs a shingle by its
-    repeats, "set" by one. rounds: how often members that are still outside the
-    classes met in a bucket are proposed to a further pivot.
+    repeats, "set" by one.
     """
     if weighting not in ("count", "set") or k % bands:
         raise ValueError("weighting is count or set, and bands divides k")
@@ -204,22 +298,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = written(member.join(pivot, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
     links = written(verified(tested), "verified")
     classes = components(links)
-    for turn in range(rounds):
-        placed = member.join(classes, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        placed = written(placed, "placed")
-        order = F.xxhash64(F.lit(turn), "node", "key")
-        other = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(order.alias("o"), "node", "comp")).alias("p"))
-        other = written(other.filter("lo <> hi").select("key", F.col("p.node").alias("b"), F.col("p.comp").alias("at")), "pivots")
-        more = placed.join(other, "key").filter("comp <> at").select(F.col("node").alias("a"), "b").distinct()
-        known = tested.union(tested.select("b", "a"))
-        more = written(more.join(known, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        found = written(verified(more), "verified")
-        tested = tested.union(more)
-        if not found.isEmpty():
-            links = links.union(found)
-            classes = components(links)
+    found = across(member, classes, text, size, k, bands, weighting, threshold)
+    if not found.isEmpty():
+        classes = components(links.union(found))
 
     placed = sketch.select("doc_id", "node", F.col("bands").isNotNull().alias("has")).filter("has").join(classes, "node", "left")
     placed = written(placed.select("doc_id", F.coalesce("comp", "node").alias("class")), "placed")
