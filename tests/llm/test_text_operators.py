@@ -72,6 +72,28 @@ def test_near_duplicates_of_odd_rows(make):
     assert minhash.near_duplicates(make([])).count() == 0
 
 
+def test_buckets_of_many_classes_lose_no_link(make, monkeypatch):
+    """Copies of one text at many distances: most miss 0.8 against any pivot, and some still reach each other."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(8)
+    base, texts = sentence(120, rng).split(), []
+    for _ in range(60):
+        other = list(base)
+        for _ in range(rng.randint(1, 6)):
+            other[rng.randrange(120)] = "".join(rng.choice("xyz") for _ in range(9))
+        texts.append(" ".join(other))
+    counts, label = [shingle_counts(t) for t in texts], list(range(60))
+    for a in range(60):
+        for b in range(a):
+            shared = sum((counts[a] & counts[b]).values())
+            if shared >= 0.8 * (sum(counts[a].values()) + sum(counts[b].values()) - shared) and label[a] != label[b]:
+                lo, hi = sorted((label[a], label[b]))
+                label = [lo if x == hi else x for x in label]
+    assert 1 < len(set(label)) < 60
+    found = by_id(minhash.near_duplicates(make(texts)))
+    assert [found[i]["class_id"] for i in range(60)] == label
+
+
 def test_one_large_group_of_near_copies(make):
     base = sentence(120).split()
     texts = []
