@@ -12,8 +12,8 @@ floor(r w window / packet) packets, and all it has once its credit covers that.
 So a piece's place on the tape follows from its place in its queue and the
 queues' totals, and deficits cross windows and partitions without any task
 waiting for another. Places in a queue are prefix sums: within a partition while
-encoding, then over the partitions of a queue. Only one total a queue reaches the
-driver, for at most MAX_QUEUES queues; beyond that sources share queues by hash.
+encoding, then over the partitions of a queue. Only one total a source reaches the
+driver and the tasks; every source has its own queue and weight, however many there are.
 
 Defined results: null and empty texts hold the end id only; null sources are one
 queue; repeated rows and ids are packed again; an empty table gives no piece; a
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import read, slices, written
 from .tokens import encoder, id_bytes, ids_of
 
-WINDOW, PACKET, MAX_QUEUES, UNIT = 2048, 256, 1024, 16
+WINDOW, PACKET, UNIT, BLOCK = 2048, 256, 16, 1 << 22
+MAX_QUEUES = 1024  # whose shares UNIT bits suffice for; more queues have more bits
 
 
 class Schedule:
@@ -43,24 +44,30 @@ class Schedule:
     def __init__(self, totals: np.ndarray, weights: np.ndarray, window: int, packet: int):
         self.totals, self.window, self.packet = totals.astype(np.int64), window, packet
         share = weights / max(weights.sum(), 1e-300)
-        self.weight = np.maximum(1, np.round(share * 2**UNIT)).astype(np.int64)
+        self.unit = UNIT + (max(0, len(totals) - 1) // MAX_QUEUES).bit_length()
+        self.weight = np.maximum(1, np.round(share * 2**self.unit)).astype(np.int64)
 
     def sent(self, rounds: np.ndarray) -> np.ndarray:
         """(rounds, queues): ids that each queue has sent after so many rounds."""
-        credit = rounds[:, None] * (self.window * self.weight)[None] >> UNIT
+        credit = rounds[:, None] * (self.window * self.weight)[None] >> self.unit
         return np.where(credit >= self.totals, self.totals, credit // self.packet * self.packet)
 
     def place(self, queue: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Tape positions of ids that begin a packet or lie in one."""
         need = np.minimum((at // self.packet + 1) * self.packet, self.totals[queue])
         step = self.window * self.weight[queue]
-        rounds = -(-(need << UNIT) // step)
+        rounds, which = np.unique(-(-(need << self.unit) // step), return_inverse=True)
+        order = np.argsort(which, kind="stable")
         out = np.empty(len(at), np.int64)
-        for i in range(0, len(at), 1 << 14):
-            s = slice(i, i + (1 << 14))
-            before, after = self.sent(rounds[s] - 1), self.sent(rounds[s])
-            first = np.arange(len(self.totals))[None] < queue[s][:, None]
-            out[s] = np.where(first, after, before).sum(1) + at[s] - before[np.arange(before.shape[0]), queue[s]]
+        rows = max(1, BLOCK // max(1, len(self.totals)))
+        for i in range(0, len(rounds), rows):
+            lo, hi = np.searchsorted(which, (i, i + rows), sorter=order)
+            mine = order[lo:hi]
+            r, q = which[mine] - i, queue[mine]
+            before, after = self.sent(rounds[i : i + rows] - 1), self.sent(rounds[i : i + rows])
+            earlier = np.cumsum(after, 1) - after  # of the queues before it in this round
+            later = before.sum(1)[:, None] - np.cumsum(before, 1)
+            out[mine] = earlier[r, q] + later[r, q] + at[mine]
         return out
 
     def pieces(self, queue: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,21 +115,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     waiting = written(base.mapInArrow(encode, f"doc_id {kind}, queue string, part int, before bigint, n bigint, ids binary"), "ids")
     held = written(waiting.groupBy("queue", "part").agg(F.sum("n").alias("n")), "held")
-    totals = held.groupBy("queue").agg(F.sum("n").alias("n"))
-    shared = totals.count() > MAX_QUEUES
-    if shared:  # sources share queues; a source keeps its place by the sources before it
-        line = F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string")
-    else:
-        line = F.col("queue")
-    held = held.withColumn("line", line)
-    by_part = held.groupBy("line", "part").agg(F.sum("n").alias("n"))
-    earlier = by_part.withColumn("offset", F.sum("n").over(Window.partitionBy("line").orderBy("part")) - F.col("n")).drop("n")
-    inner = F.sum("n").over(Window.partitionBy("line", "part").orderBy("queue")) - F.col("n")
-    offsets = held.withColumn("inner", inner).join(earlier, ["line", "part"]).select("queue", "part", "line", (F.col("offset") + F.col("inner")).alias("offset"))
-    found = sorted((r["line"], r["n"]) for r in by_part.groupBy("line").agg(F.sum("n").alias("n")).collect())  # MAX_QUEUES at most
+    earlier = F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")
+    offsets = held.select("queue", "part", earlier.alias("offset"))
+    found = sorted((r["queue"], r["n"]) for r in held.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # one a source
     total = np.array([n for _, n in found], np.int64)
     share = total.astype(float)
-    if weights is not None and not shared:
+    if weights is not None:
         share = np.array([max(0.0, float(weights.get(q, 0.0))) for q, _ in found])
         share = share if share.sum() else total.astype(float)
     schedule = Schedule(total, share, window, packet)
@@ -131,7 +129,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "ids"):
-                line = np.array([number[q] for q in part.column("line").to_pylist()], np.int64)
+                line = np.array([number[q] for q in part.column("queue").to_pylist()], np.int64)
                 start = (part.column("before").to_numpy() + part.column("offset").to_numpy()).astype(np.int64)
                 count = part.column("n").to_numpy()
                 ids, at = ids_of(part.column("ids"), width)

@@ -177,6 +177,20 @@ def simulate(lengths, weights, window, packet):
     return tape
 
 
+def test_many_sources_keep_their_weights(make, vocabulary):
+    n = 1100  # more than MAX_QUEUES
+    weights = {"big0": 0.5, "big1": 0.25} | {f"s{i}": 0.25 / n for i in range(n)}
+    texts = ["a b c d e f g h " * 250] * 2 + ["one two three"] * n
+    sources = {0: "big0", 1: "big1"} | {i + 2: f"s{i}" for i in range(n)}
+    rows = packing.pack_documents(make(texts, sources=sources), vocabulary("byte_bpe_50k.json"), weights=weights, with_ids=True).collect()
+    first = {q: sum(r["length"] for r in rows if r["sequence_id"] == 0 and r["queue"] == q) for q in ("big0", "big1")}
+    assert abs(first["big0"] / 2 - first["big1"]) <= packing.PACKET and first["big0"] >= 1024 - packing.PACKET
+    by_source = {}
+    for r in rows:
+        by_source[r["queue"]] = by_source.get(r["queue"], 0) + r["length"]
+    assert len(by_source) == n + 2
+
+
 def test_closed_form_is_deficit_round_robin():
     lengths = {0: 1000, 1: 333, 2: 70, 3: 1}
     schedule = packing.Schedule(np.array(list(lengths.values())), np.array([5.0, 3, 1, 0.1]), 128, 16)
