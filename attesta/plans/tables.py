@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from attesta.scratch import stage
+
+__all__ = ["read", "sql_literal", "stage", "values"]
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
@@ -27,15 +28,3 @@ def sql_literal(x) -> str:
 def values(rows: list[tuple], names: str) -> str:
     """A VALUES relation in SQL."""
     return "(VALUES " + ", ".join("(" + ", ".join(map(sql_literal, r)) + ")" for r in rows) + f") AS t({names})"
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df in the shared folder and read it back: later steps start from a table, not from everything before it."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_attesta_shared", None)
-    if not base:  # none is set: tests and single machines; the setting can't be changed in a running session
-        base = context._attesta_shared = tempfile.mkdtemp(prefix="attesta-shared-")
-    path = f"{base}/attesta/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,6 @@ import duckdb
 import pytest
 
 from attesta.plans import registry
-from conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -21,17 +20,17 @@ def plain(v):
 
 
 @pytest.fixture(scope="module")
-def duck():
+def duck(sf):
     con = duckdb.connect()
     for t in TABLES:
-        path = f"{SF}/{t}.parquet"
+        path = f"{sf}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}{'/*.parquet' if os.path.isdir(path) else ''}')")
     return con
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
-def test_query_equals_sql(spark, duck, name):
-    found = registry.QUERIES[name](spark, SF)
+def test_query_equals_sql(spark, duck, sf, name):
+    found = registry.QUERIES[name](spark, sf)
     want = duck.execute(registry.ORACLE_SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(found.columns) == sorted(names)
@@ -41,11 +40,11 @@ def test_query_equals_sql(spark, duck, name):
     assert ours == theirs
 
 
-def test_queries_without_sql_run(spark):
+def test_queries_without_sql_run(spark, sf):
     for name in set(registry.QUERIES) - set(registry.ORACLE_SQL):
-        assert registry.QUERIES[name](spark, SF).count() > 0, name
+        assert registry.QUERIES[name](spark, sf).count() > 0, name
 
 
-def test_shingle_scan_is_pruned_and_needs_no_sort_of_texts(spark):
-    plan = registry.QUERIES["sim_overall"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+def test_shingle_scan_is_pruned_and_needs_no_sort_of_texts(spark, sf):
+    plan = registry.QUERIES["sim_overall"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "CartesianProduct" not in plan
