@@ -6,13 +6,16 @@ megabyte, so that the numpy arrays of a slice stay small whatever the batch size
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attesta.scratch import forget, shared_folder, stage
+
+__all__ = ["Prefixes", "bounded", "forget", "free", "mix", "named", "powers", "raw", "read", "runs_of", "shared_folder", "slices", "words", "written"]
 
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 2000
@@ -31,21 +34,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where none is set (tests)."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_attesta_shared", None)
-    if not base:  # the setting itself can't be changed in a running session
-        base = context._attesta_shared = tempfile.mkdtemp(prefix="attesta-shared-")
-    return base
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     bounded(df.sparkSession)
-    path = f"{shared_folder(df.sparkSession)}/attesta/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage(df, label)
+
+
+def free(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, or variants of them that are not taken, whatever the case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(names: Iterable[str]) -> list[Column]:
+    """Columns by their exact names, dots and backticks included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -12,13 +12,18 @@ weighted Jaccard similarity. Work a document is O(shingles + k log k).
 Bands of the signature propose pairs. A bucket first proposes each member against
 one pivot, the member that shares most buckets with others. Proposed pairs are
 verified on whole texts; classes are connected components of verified links, found
-by min-label propagation with pointer jumping over written tables. A bucket that
-still holds several classes then has its members compared across classes, in blocks
-of bounded rows and bytes: members of its largest class meet the others, and the
-others meet each other. Signatures that agree too seldom for the threshold settle
-most of these comparisons, the rest are made on the texts' cells, and a block gives
-the links of a spanning forest only. So every link between texts that share a band
-is within a class, however many classes a bucket holds.
+by min-label propagation with pointer jumping over written tables.
+
+A bucket that still holds several classes then has its members compared across
+classes on all their cells, in blocks of bounded rows and bytes: members of its
+largest class meet the others, and the others meet each other. That is linear in
+the largest class. Buckets in which the others fill more than one block (many
+texts of one template, say) are not compared pair by pair: their members go to new
+buckets by the rarest cells of each text, one cell in five or so. Two texts of
+similarity t share one of their |x| - ceil(t |x|) + 1 rarest cells in any fixed
+order of cells, so this loses nothing; the order comes from a sketch of bounded
+size that counts cells over these members. No pair is settled by signatures, so
+every link between texts that share a band is within a class.
 
 Defined results: null texts and texts without a word are in a class of their own;
 equal texts are always one class; a text of fewer than five words has its whole
@@ -29,6 +34,7 @@ other than the two named are ignored. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefixes, mix, raw, read, runs_of, slices, words, written
+from .common import Prefixes, forget, mix, raw, read, runs_of, slices, words, written
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _DART = np.uint64(0xD1342543DE82EF95)
 BLOCK, BLOCK_CHARS = 256, 1 << 22  # members and characters of a block of a bucket
+SKETCH_BITS = 18  # counters by which cells are ordered, whatever the corpus
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +62,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     total = np.zeros(len(word), np.uint64)
     for k in range(size):  # words beyond the text's last count as absent
         here = np.zeros(len(word), np.uint64)
-        here[: len(word) - k] = word[k:]
+        here[: max(0, len(word) - k)] = word[k:]
         here[position + k >= count[row]] = 0
         total = mix(total + here + _GOLD)
     keep = (position + size <= count[row]) | (position == 0)
@@ -157,52 +164,42 @@ def _verifier(size: int, weighting: str, threshold: float):
     return verify
 
 
-def _signer(size: int, k: int, bands: int, weighting: str):
-    """Adds 16 bits of each signature value, and the band keys, to texts that have a word."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                cell, row = layers(*shingles(*raw(part.column("text")), size), weighting)
-                signature, _ = dart_signatures(cell, row, part.num_rows, k)
-                short, keys = (signature & np.uint64(0xFFFF)).astype("<u2"), band_keys(signature, bands)
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("text"), *(pa.array([x.tobytes() for x in m], pa.binary()) for m in (short, keys))], ["node", "text", "short", "keys"])
-
-    return sign
-
-
-def _forest(key: int, block: np.ndarray, comp: list[bytes], short: np.ndarray, keys: np.ndarray, cells: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int]]:
-    """Links between classes of one pair of blocks that a spanning forest needs; a pair is compared in its first common band only."""
+def shared_cells(cell: np.ndarray, row: np.ndarray, n: int, width: int = 4096) -> np.ndarray:
+    """(n, n) counts of cells that two rows share; no row holds a cell twice."""
+    _, inverse, count = np.unique(cell, return_inverse=True, return_counts=True)
+    use = count[inverse] > 1
+    at, of = (np.cumsum(count > 1) - 1)[inverse[use]], row[use]
+    order = np.argsort(at, kind="stable")
+    at, of = at[order], of[order]
+    out = np.zeros((n, n), np.float32)
+    for lo in range(0, int((count > 1).sum()), width):
+        a, b = np.searchsorted(at, (lo, lo + width))
+        part = np.zeros((n, width), np.float32)
+        part[of[a:b], at[a:b] - lo] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _forest(comp: list[bytes], cell: np.ndarray, row: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+    """Links between classes that a spanning forest of the rows needs."""
+    n = len(comp)
     _, label = np.unique(np.array(comp, object), return_inverse=True)
-    least = threshold - 3.8 * np.sqrt(threshold * (1 - threshold) / short.shape[1])  # of agreements; 1 in 10,000 links has fewer
-    inner = block.min() == block.max()
-    for a in range(len(block)):
-        rest = np.flatnonzero((label != label[a]) & ((np.arange(len(block)) > a) if inner else (block > block[a])))
-        rest = rest[(short[rest] == short[a]).mean(1) >= least]
-        same = keys[rest] == keys[a]
-        rest = rest[keys[a][same.argmax(1)] == key] if len(rest) else rest
-        if not len(rest):
-            continue
-        flat = np.concatenate([cells[b] for b in rest])
-        size = np.array([len(cells[b]) for b in rest])
-        at = np.minimum(np.searchsorted(cells[a], flat), len(cells[a]) - 1)
-        shared = np.bincount(np.repeat(np.arange(len(rest)), size), cells[a][at] == flat, minlength=len(rest))
-        for b in rest[shared >= threshold * (size + len(cells[a]) - shared)]:
+    shared, size = shared_cells(cell, row, n), np.bincount(row, minlength=n)
+    near = (shared >= threshold * (size[:, None] + size[None] - shared)) & (label[:, None] != label[None])
+    for a in np.flatnonzero(near.any(1)):
+        for b in np.flatnonzero(near[a]):
             if label[b] != label[a]:
                 label[label == label[b]] = label[a]
-                yield a, int(b)
+                yield int(a), int(b)
 
 
-def _comparer(size: int, bands: int, weighting: str, threshold: float):
+def _comparer(size: int, weighting: str, threshold: float):
     """Links of each run of rows of one (key, i, j)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(group: pa.Table) -> pa.RecordBatch:
             cell, row = layers(*shingles(*raw(group.column("text")), size), weighting)
-            order = np.lexsort((cell, row))
-            cells = np.split(cell[order], np.cumsum(np.bincount(row, minlength=group.num_rows))[:-1])
-            column = lambda name, kind: np.frombuffer(raw(group.column(name))[0].tobytes(), kind).reshape(group.num_rows, -1)
-            found = list(_forest(group.column("key")[0].as_py(), group.column("b").to_numpy(), group.column("comp").to_pylist(), column("short", "<u2"), column("keys", "<i8"), cells, threshold))
+            found = list(_forest(group.column("comp").to_pylist(), cell, row, threshold))
             node = group.column("node").combine_chunks()
             return pa.RecordBatch.from_arrays([node.take(pa.array([x[i] for x in found], pa.int64())) for i in (0, 1)], ["a", "b"])
 
@@ -224,27 +221,87 @@ def _comparer(size: int, bands: int, weighting: str, threshold: float):
     return compare
 
 
-def across(member: DataFrame, classes: DataFrame, text: DataFrame, size: int, k: int, bands: int, weighting: str, threshold: float) -> DataFrame:
-    """(a, b): links between members of one bucket that are in different classes, as many as join all such classes."""
-    placed = written(member.join(classes, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
+def _sketcher_of_cells(size: int, weighting: str):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                cell, _ = layers(*shingles(*raw(part.column("text")), size), weighting)
+                total += np.bincount((cell >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["slot", "n"])
+
+    return count
+
+
+def _rare_cells(size: int, weighting: str, threshold: float, sketch: np.ndarray):
+    """(key, node): the rarest cells of each text, as many as two texts of the threshold can't both lack."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                cell, row = layers(*shingles(*raw(part.column("text")), size), weighting)
+                order = np.lexsort((cell, sketch[(cell >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], row))
+                cell, row = cell[order], row[order]
+                first, count = runs_of(row, part.num_rows)
+                take = count - np.ceil(threshold * count - 1e-9).astype(np.int64) + 1
+                use = np.arange(len(row)) - first[row] < take[row]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[use].view(np.int64)), part.column("node").take(pa.array(row[use]))], ["key", "node"])
+
+    return pick
+
+
+def _mixed(placed: DataFrame, label: str) -> DataFrame:
+    """(key, node, comp, main) of the buckets that hold several classes; main marks the largest class."""
     shares = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("key").agg(F.count("*").alias("c"), F.max(F.struct("n", "comp")).alias("p")).filter("c > 1")
     mixed = written(mixed.select("key", F.col("p.comp").alias("main")), "mixed")
-    rest = written(placed.join(mixed, "key").select("key", "node", "comp", (F.col("comp") == F.col("main")).alias("main")), "rest")
-    signed = text.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_signer(size, k, bands, weighting), "node binary, text string, short binary, keys binary")
-    signed = written(signed, "signed")
+    rest = written(placed.join(mixed, "key").select("key", "node", "comp", (F.col("comp") == F.col("main")).alias("main")), label)
+    forget(mixed)
+    return rest
 
-    rest = rest.join(signed.select("node", F.length("text").alias("size")), "node")
+
+def _blocks(rest: DataFrame, text: DataFrame) -> DataFrame:
+    """(key, outer, inner): how many blocks the members outside and inside the largest class fill."""
+    sized = rest.join(text.select("node", F.length("text").alias("size")), "node")
     parts = lambda main: F.ceil(F.greatest(F.sum(F.expr(f"int(main = {main})")) / BLOCK, F.sum(F.expr(f"if(main = {main}, size, 0L)")) / BLOCK_CHARS)).cast("int")
-    counts = written(rest.groupBy("key").agg(parts("false").alias("outer"), parts("true").alias("inner")), "blocks")
+    return written(sized.groupBy("key").agg(parts("false").alias("outer"), parts("true").alias("inner")), "blocks")
+
+
+def _compared(rest: DataFrame, counts: DataFrame, text: DataFrame, compare) -> DataFrame:
+    """(a, b): links found block by block."""
     rest = rest.join(counts, "key")
     block = F.when(F.col("main"), F.col("outer") + F.pmod(F.xxhash64("node"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("node"), F.col("outer"))).cast("int")
     meets = F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1))
     rest = rest.select("key", "node", "comp", block.alias("b"), meets.alias("x"))
-    rest = rest.select("key", "node", "comp", "b", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"))
-    rest = rest.join(signed, "node").select("key", "i", "j", "b", "node", "comp", "short", "keys", "text")
+    rest = rest.select("key", "node", "comp", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"))
+    rest = rest.join(text, "node").select("key", "i", "j", "node", "comp", "text")
     rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return written(rest.mapInArrow(_comparer(size, bands, weighting, threshold), "a binary, b binary"), "found")
+    return written(rest.mapInArrow(compare, "a binary, b binary"), "found")
+
+
+def across(member: DataFrame, classes: DataFrame, text: DataFrame, size: int, weighting: str, threshold: float) -> list[DataFrame]:
+    """(a, b): links between members of one bucket that are in different classes, as many as join all such classes."""
+    compare = _comparer(size, weighting, threshold)
+    placed = written(member.join(classes, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
+    rest = _mixed(placed, "rest")
+    counts = _blocks(rest, text)
+    wide = written(rest.join(counts.filter("outer > 1").select("key"), "key", "left_semi").select("node", "comp").distinct(), "wide")
+    found = [_compared(rest, counts.filter("outer = 1"), text, compare)]
+    forget(placed, rest, counts)
+    if not wide.isEmpty():
+        texts = text.join(wide.select("node"), "node", "left_semi").select("node", "text")
+        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        for r in texts.mapInArrow(_sketcher_of_cells(size, weighting), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # 2**SKETCH_BITS rows at most
+            sketch[r["slot"]] = r["n"]
+        rare = texts.mapInArrow(_rare_cells(size, weighting, threshold, sketch), "key bigint, node binary")
+        placed = written(rare.join(wide, "node").select("key", "node", "comp"), "placed")
+        rest = _mixed(placed, "rest")
+        counts = _blocks(rest, text)
+        found.append(_compared(rest, counts, text, compare))
+        forget(placed, rest, counts)
+    forget(wide)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -256,8 +313,10 @@ def components(links: DataFrame) -> DataFrame:
         step = written(labels.join(near, "node").select("node", F.least("comp", "m").alias("comp")), "labels")
         onto = step.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
         after = written(step.join(onto, "comp").select("node", F.col("further").alias("comp")), "labels")
-        moved = after.join(labels.select("node", F.col("comp").alias("was")), "node").filter("comp <> was")
-        if moved.isEmpty():
+        moved = not after.join(labels.select("node", F.col("comp").alias("was")), "node").filter("comp <> was").isEmpty()
+        forget(labels, step)
+        if not moved:
+            forget(both)
             return after
         labels = after
 
@@ -280,14 +339,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = sketch.filter("bands is not null").select("node", "doc_id", F.explode("bands").alias("key"))
     rows = written(rows.groupBy("key", "node").agg(F.min("doc_id").alias("doc_id")), "bands")  # equal texts once
     full = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    member = written(rows.join(full, "key"), "members")
-    popular = member.groupBy("node").agg(F.sum("n").alias("pop"))
-    member = written(member.join(popular, "node").select("key", "node", "doc_id", "pop"), "members")
+    shared = written(rows.join(full, "key"), "members")
+    forget(rows, full)
+    popular = shared.groupBy("node").agg(F.sum("n").alias("pop"), F.min("doc_id").alias("doc_id"))
+    nodes = written(popular, "nodes")
+    member = written(shared.select("key", "node").join(nodes.select("node", "pop"), "node"), "members")
+    forget(shared)
 
-    nodes = written(member.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     same = base["doc_id"].eqNullSafe(nodes["doc_id"]) & (base["node"] == nodes["node"])
     text = base.join(nodes.hint("merge"), same, "left_semi").select("node", "text")
     text = written(text.dropDuplicates(["node"]), "texts")
+    forget(nodes)
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -297,13 +359,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivot = written(member.groupBy("key").agg(F.max(F.struct("pop", "node")).alias("p")).select("key", F.col("p.node").alias("b")), "pivots")
     tested = written(member.join(pivot, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
     links = written(verified(tested), "verified")
+    forget(pivot, tested)
     classes = components(links)
-    found = across(member, classes, text, size, k, bands, weighting, threshold)
-    if not found.isEmpty():
-        classes = components(links.union(found))
+    found = across(member, classes, text, size, weighting, threshold)
+    forget(member, text)
+    more = functools.reduce(DataFrame.union, found)
+    if not more.isEmpty():
+        forget(classes)
+        classes = components(links.union(more))
+    forget(links, *found)
 
     placed = sketch.select("doc_id", "node", F.col("bands").isNotNull().alias("has")).filter("has").join(classes, "node", "left")
     placed = written(placed.select("doc_id", F.coalesce("comp", "node").alias("class")), "placed")
+    forget(classes)
     least = written(placed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
     result = placed.join(least, "class").select("doc_id", "class_id", "class_size")
     alone = sketch.filter("bands is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
