@@ -249,3 +249,21 @@ def test_top_k_of_few_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (50, [0.5, 0.5])], schema)
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in topk.top_inner_products(few).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 1), (0, 3, 50), (50, 1, 1), (50, 2, 1), (50, 3, 0)]
+
+
+def test_top_k_of_large_components_and_repeated_queries(spark):
+    schema = "vec_id bigint, embedding array<double>"
+    rows = spark.createDataFrame([(0, [5e9, 1.0]), (1, [1.0, 0.0]), (3, [-1.0, 0.0]), (4, [1e20, 0.0]), (50, [0.0, 0.0])], schema)
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in topk.top_inner_products(rows.filter("vec_id < 4")).orderBy("rank").collect()]
+    assert got == [(0, 1, 327680000000000), (0, 3, -327680000000000)]
+    assert [r["score"] for r in topk.top_inner_products(rows.filter("vec_id in (4, 50)")).collect()] == [0]
+    for beyond in ([(0, [5e9]), (2, [2e10])], [(0, [1.0]), (2, [1e308])]):
+        with pytest.raises(Exception, match="OverflowError"):
+            topk.top_inner_products(spark.createDataFrame(beyond, schema)).collect()
+    twice = spark.createDataFrame([(50, [1.0]), (50, [2.0]), (7, [3.0])], schema)
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_inner_products(twice).collect()) == [(1, 7, 196608), (1, 7, 393216), (2, 50, 131072), (2, 50, 131072)]
+
+
+def test_sets_of_like_reach():
+    of, reach = topk._sets([(1, 3), (2, 5), (3, 20), (4, 1)], 8)
+    assert of == {1: (0, 1), 2: (0, 1), 3: (1, 3), 4: (4, 1)} and reach == [2, 3, 3, 3, 4]
