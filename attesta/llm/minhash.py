@@ -16,10 +16,10 @@ by min-label propagation with pointer jumping over written tables.
 
 A bucket that still holds several classes then has its members compared across
 classes on all their cells, in blocks of bounded rows and bytes: members of its
-largest class meet the others, and the others meet each other. That is linear in
-the largest class. Buckets in which the others fill more than one block (many
-texts of one template, say) are not compared pair by pair: their members go to new
-buckets by the rarest cells of each text, one cell in five or so. Two texts of
+largest class meet the others, and the others meet each other. That copies no member
+more than twice WIDE times on average. Buckets in which the others fill more than
+WIDE blocks (many texts of one template, say) are not compared block by block: their
+members go to new buckets by the rarest cells of each text, one cell in five or so. Two texts of
 similarity t share one of their |x| - ceil(t |x|) + 1 rarest cells in any fixed
 order of cells, so this loses nothing; the order comes from a sketch of bounded
 size that counts cells over these members. No pair is settled by signatures, so
@@ -46,7 +46,7 @@ from .common import Prefixes, forget, mix, raw, read, runs_of, slices, words, wr
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _DART = np.uint64(0xD1342543DE82EF95)
-BLOCK, BLOCK_CHARS = 256, 1 << 22  # members and characters of a block of a bucket
+BLOCK, BLOCK_CHARS, WIDE = 256, 1 << 21, 8  # members and characters of a block of a bucket, and blocks that meet pair by pair
 SKETCH_BITS = 18  # counters by which cells are ordered, whatever the corpus
 
 
@@ -286,8 +286,8 @@ def across(member: DataFrame, classes: DataFrame, text: DataFrame, size: int, we
     placed = written(member.join(classes, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
     rest = _mixed(placed, "rest")
     counts = _blocks(rest, text)
-    wide = written(rest.join(counts.filter("outer > 1").select("key"), "key", "left_semi").select("node", "comp").distinct(), "wide")
-    found = [_compared(rest, counts.filter("outer = 1"), text, compare)]
+    wide = written(rest.join(counts.filter(F.col("outer") > WIDE).select("key"), "key", "left_semi").select("node", "comp").distinct(), "wide")
+    found = [_compared(rest, counts.filter(F.col("outer") <= WIDE), text, compare)]
     forget(placed, rest, counts)
     if not wide.isEmpty():
         texts = text.join(wide.select("node"), "node", "left_semi").select("node", "text")

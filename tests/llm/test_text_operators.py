@@ -72,9 +72,29 @@ def test_near_duplicates_of_odd_rows(make):
     assert minhash.near_duplicates(make([])).count() == 0
 
 
-def test_buckets_of_many_classes_lose_no_link(make, monkeypatch):
+@pytest.mark.parametrize("n", range(7))
+def test_near_duplicates_of_a_few_words(make, n):
+    texts = [" ".join("abcdefg"[:n]), " ".join("tuvwxyz"[:n])]
+    for use in (texts[:1], texts, texts + texts[:1]):
+        found = by_id(minhash.near_duplicates(make(use)))
+        assert found[0]["class_id"] == 0 and found[len(use) - 1]["class_id"] == (0 if len(use) == 3 and n else len(use) - 1)
+    for size in range(n + 3):
+        hashes, row = minhash.shingles(np.frombuffer(texts[0].encode(), np.uint8), np.array([0, len(texts[0])]), size + 1)
+        assert len(hashes) == len(row) == (max(1, n - size) if n else 0)
+
+
+def test_shared_cells_are_counted_exactly():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 300, 80)).astype(np.uint64) for _ in range(20)]
+    got = minhash.shared_cells(np.concatenate(sets), np.repeat(np.arange(20), [len(x) for x in sets]), 20, 64)
+    assert all(got[a, b] == len(np.intersect1d(sets[a], sets[b])) for a in range(20) for b in range(20) if a != b)
+
+
+@pytest.mark.parametrize("wide", [0, 1, 100])
+def test_buckets_of_many_classes_lose_no_link(make, monkeypatch, wide):
     """Copies of one text at many distances: most miss 0.8 against any pivot, and some still reach each other."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "WIDE", wide)
     rng = random.Random(8)
     base, texts = sentence(120, rng).split(), []
     for _ in range(60):
