@@ -1,15 +1,19 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Every source is a queue: its documents' ids, in input order, as one stream of
-packets of `packet` ids. Each round adds to every queue's deficit its share of a
-window; a queue sends whole packets while its deficit covers them and carries the
-rest to the next round. What is sent forms one tape, cut at every window, so all
-windows but the last are full and each holds the target mixture to within a packet
-a queue, whichever partition its documents come from.
+Every source is a queue: its documents' ids, in input order, as one stream. Each
+round adds to every queue's deficit its share of a window; a queue sends the whole
+quanta that its deficit covers, as one run, and carries the rest to the next round.
+What is sent forms one tape, cut at every window, so all windows but the last are
+full, whichever partition their documents come from. A queue whose share of a window
+is `packet` ids or more has a quantum of one id, so a window holds its share to
+within an id or two and the shift of rounds against windows; a smaller queue sends
+packets of `packet` ids (or all it has), fewer rounds apart, so that no run is a mere scrap. Queues
+begin with different parts of a quantum as credit, or small queues of one share would
+all send in the same round.
 
 The schedule has a closed form: after r rounds a queue of share w has sent
-floor(r w window / packet) packets, and all it has once its credit covers that.
-So a piece's place on the tape follows from its place in its queue and the
+floor((r w window + credit) / quantum) quanta, and all it has once its rounds' shares
+cover that. So a piece's place on the tape follows from its place in its queue and the
 queues' totals, and deficits cross windows and partitions without any task
 waiting for another. Places in a queue are prefix sums: within a partition while
 encoding, then over the partitions of a queue. Only one total a source reaches the
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import read, slices, written
 from .tokens import encoder, id_bytes, ids_of
 
-WINDOW, PACKET, UNIT, BLOCK = 2048, 256, 16, 1 << 22
+WINDOW, PACKET, UNIT, BLOCK = 2048, 32, 16, 1 << 18
 MAX_QUEUES = 1024  # whose shares UNIT bits suffice for; more queues have more bits
 
 
@@ -42,21 +46,34 @@ class Schedule:
     """Where each id of each queue lies on the tape. totals and weights: by queue number."""
 
     def __init__(self, totals: np.ndarray, weights: np.ndarray, window: int, packet: int):
-        self.totals, self.window, self.packet = totals.astype(np.int64), window, packet
+        self.totals, self.window = totals.astype(np.int64), window
         share = weights / max(weights.sum(), 1e-300)
         self.unit = UNIT + (max(0, len(totals) - 1) // MAX_QUEUES).bit_length()
         self.weight = np.maximum(1, np.round(share * 2**self.unit)).astype(np.int64)
+        self.step = window * self.weight  # what a round adds, in parts of an id
+        self.quantum = np.where(self.step >= packet << self.unit, 1, np.clip(self.totals, 1, packet))
+        spread = np.arange(len(self.totals)) * 0.6180339887498949 % 1
+        self.credit = (spread * (self.quantum << self.unit)).astype(np.int64)
+
+    def sent_by(self, rounds: np.ndarray, queue: np.ndarray | slice) -> np.ndarray:
+        """Ids that the queues have sent after so many rounds."""
+        step, quantum, total = self.step[queue], self.quantum[queue], self.totals[queue]
+        whole = (rounds * step + self.credit[queue]) // (quantum << self.unit) * quantum
+        return np.where(rounds * step >> self.unit >= total, total, np.minimum(whole, total))
 
     def sent(self, rounds: np.ndarray) -> np.ndarray:
         """(rounds, queues): ids that each queue has sent after so many rounds."""
-        credit = rounds[:, None] * (self.window * self.weight)[None] >> self.unit
-        return np.where(credit >= self.totals, self.totals, credit // self.packet * self.packet)
+        return self.sent_by(rounds[:, None], slice(None))
+
+    def round_of(self, queue: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The round that sends an id."""
+        quantum, step = self.quantum[queue], self.step[queue]
+        by_quanta = -((self.credit[queue] - ((at // quantum + 1) * quantum << self.unit)) // step)
+        return np.minimum(by_quanta, -(-(self.totals[queue] << self.unit) // step))
 
     def place(self, queue: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Tape positions of ids that begin a packet or lie in one."""
-        need = np.minimum((at // self.packet + 1) * self.packet, self.totals[queue])
-        step = self.window * self.weight[queue]
-        rounds, which = np.unique(-(-(need << self.unit) // step), return_inverse=True)
+        """Tape positions of ids."""
+        rounds, which = np.unique(self.round_of(queue, at), return_inverse=True)
         order = np.argsort(which, kind="stable")
         out = np.empty(len(at), np.int64)
         rows = max(1, BLOCK // max(1, len(self.totals)))
@@ -72,13 +89,18 @@ class Schedule:
 
     def pieces(self, queue: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Document, start in it, length and tape position of the pieces of documents at `start` in their queues."""
-        first, last = start // self.packet, (start + np.maximum(count, 1) - 1) // self.packet
+        fine = self.quantum[queue] == 1  # runs by rounds; the others by packets
+        end = start + np.maximum(count, 1) - 1
+        first = np.where(fine, self.round_of(queue, start), start // self.quantum[queue])
+        last = np.where(fine, self.round_of(queue, end), end // self.quantum[queue])
         times = np.where(count > 0, last - first + 1, 0)
         doc = np.repeat(np.arange(len(start)), times)
-        step = np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
-        lo = np.maximum((first[doc] + step) * self.packet, start[doc])
-        hi = np.minimum((first[doc] + step + 1) * self.packet, (start + count)[doc])
-        tape = self.place(queue[doc], lo)
+        run = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
+        q, by_round = queue[doc], fine[doc]
+        lo = np.where(by_round, self.sent_by(run - 1, q), run * self.quantum[q])
+        hi = np.where(by_round, self.sent_by(run, q), (run + 1) * self.quantum[q])
+        lo, hi = np.maximum(lo, start[doc]), np.minimum(hi, (start + count)[doc])
+        tape = self.place(q, lo)
         new = np.ones(len(doc), bool)  # neighbours on the tape are one piece
         new[1:] = (doc[1:] != doc[:-1]) | (tape[1:] != tape[:-1] + (hi - lo)[:-1])
         head = np.flatnonzero(new)
