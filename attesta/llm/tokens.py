@@ -3,11 +3,14 @@
 A pre-token is encoded once and looked up afterwards: byte-pair encoding never
 merges across pre-tokens, so a text's ids are its pre-tokens' ids in a row.
 Texts with a character whose class or case differs between Unicode versions, or
-any other rare one, skip the fast path and go to the library whole.
+any other rare one, skip the fast path and go to the library whole. So do all texts
+of a file whose normalizer, pre-tokenizer or model options are not one of the two
+pipelines that the fast path follows (PIPELINES).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -22,6 +25,35 @@ from pyspark.sql import functions as F
 from .common import Prefixes, mix, raw, slices
 
 MEMO = 300_000  # pre-tokens a worker keeps
+# What tokenizers files hold whose split the fast path knows, and whether it lowers case and drops white space.
+PIPELINES = (
+    ({"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}, False),
+    (
+        {
+            "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+            "pre_tokenizer": {
+                "type": "Sequence",
+                "pretokenizers": [
+                    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+                ],
+            },
+        },
+        True,
+    ),
+)
+MODEL = {"type": "BPE", "dropout": None, "byte_fallback": False, "fuse_unk": False, "continuing_subword_prefix": None}
+
+
+def known_pipeline(path: str) -> bool | None:
+    """Whether the file's words are lower-cased; None if the fast path doesn't know its pipeline."""
+    with open(path, encoding="utf-8") as stored:
+        stored = json.load(stored)
+    plain = stored.get("truncation") is None and stored.get("padding") is None and all(stored["model"].get(k) == v for k, v in MODEL.items())
+    for pipeline, lower in PIPELINES:
+        if plain and all(stored.get(k) == v for k, v in pipeline.items()):
+            return lower
+    return None
 
 
 def spans(points: list[int]) -> str:
@@ -239,7 +271,8 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.lower = bool(self.library.normalizer)
+        lower = known_pipeline(path)
+        self.known, self.lower = lower is not None, bool(lower)
         self.end = end
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
@@ -251,6 +284,9 @@ class TextEncoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of the texts in them."""
+        if not self.known:
+            lists = [x.ids + ([] if self.end is None else [self.end]) for x in self.library.encode_batch(texts, add_special_tokens=False)]
+            return np.fromiter((i for x in lists for i in x), np.uint32), np.cumsum([0, *map(len, lists)])
         rare = unsafe().search
         skip = [i for i, t in enumerate(texts) if rare(t) or any(x in t for x in self.special)]
         plain = texts
