@@ -14,8 +14,12 @@ read on hypothesis by hypothesis, as lazy automata do when their cache is full.
 A pre-token that is a token itself is that token, as in the usual library. Ids of
 pre-tokens met before are looked up.
 
-Decoding joins the tokens' bytes; Utf8Stream is a state machine that holds back an
-unfinished character at the end of a chunk.
+Decoding is a stream too: ids come in chunks of any size, and a finite-state machine
+over UTF-8 decides how many bytes of what has come are whole characters; the rest of
+an unfinished character waits for the next chunk. The machine has a state for each
+way to be inside a character. A token is one transition of it, read from a table, and
+as any token that begins a character leads to one state whatever came before, only
+the few tokens after the last such one need be followed. The query decodes so.
 
 Defined results: null and empty texts have no token, and the hashes of an empty
 string; other columns are ignored; rows, ids and null ids are kept as they are.
@@ -39,6 +43,9 @@ from .common import read, slices
 from .tokens import Memo, spans, unsafe
 
 STATES = 50_000  # transducer states made; beyond them the hypotheses are followed without new states
+RARE = 100_000  # pre-tokens of texts with rare characters that a worker keeps
+CHUNK = 1 << 14  # ids that the query decodes at a time
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -260,6 +267,13 @@ class Codec:
         self.size = np.array([len(x) for x in names], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(names), np.uint8)
+        moves, steps = np.tile(np.arange(len(_HELD), dtype=np.uint8), (top, 1)), utf8_steps()
+        for i in range(int(self.size.max(initial=0))):
+            use = np.flatnonzero(self.size > i)
+            moves[use] = steps[moves[use], self.flat[self.start[use] + i][:, None]]
+        self.resets = (moves == moves[:, :1]).all(1)
+        self.moves = moves.tolist()
+        self.rare: dict[str, list[int]] = {}
 
     def piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -270,7 +284,15 @@ class Codec:
         rare = unsafe().search
 
         def whole(i: int) -> list[int]:
-            return [x for p in library_pattern().findall(texts[i]) for x in self.piece(p.encode())]
+            out: list[int] = []
+            for p in library_pattern().findall(texts[i]):
+                ids = self.rare.get(p)
+                if ids is None:
+                    if len(self.rare) >= RARE:
+                        self.rare.clear()
+                    ids = self.rare[p] = self.piece(p.encode())
+                out += ids
+            return out
 
         flat, ends = self.memo.numbers(texts, False, whole, [i for i, t in enumerate(texts) if rare(t)])
         ids, size = self.memo.gather(flat)
@@ -287,41 +309,54 @@ class Codec:
         data = self.flat[np.repeat(self.start[ids] - (ends - size), size) + np.arange(total)]
         return data, np.concatenate(([0], ends))[offsets]
 
+    def stream(self) -> TokenStream:
+        return TokenStream(self)
+
     def decode_stream(self, chunks: Iterator[list[int]]) -> Iterator[str]:
         """Text pieces of a stream of id chunks; a character cut by a chunk's end comes with the next."""
-        stream = Utf8Stream()
+        stream = self.stream()
         for ids in chunks:
-            data, _ = self.decode_batch(np.asarray(ids, np.int64), np.array([0]))
-            yield stream.feed(data.tobytes())
-        yield stream.close()
-
+            yield stream.feed(np.asarray(ids, np.int64)).decode("utf-8", "replace")
+        yield stream.close().decode("utf-8", "replace")
 
-class Utf8Stream:
-    """Incremental UTF-8: state is how many continuation bytes the open character still lacks, and its bytes so far."""
 
-    def __init__(self):
-        self.open = b""
+# States of the machine: bytes of the open character so far, and which bytes may follow. 0 is between characters.
+_HELD = np.array([0, 1, 1, 1, 1, 2, 1, 1, 1, 2, 3], np.int64)
 
-    @staticmethod
-    def lacking(tail: bytes) -> int:
-        """How many of the last bytes begin a character that isn't finished."""
-        for back in range(1, min(4, len(tail)) + 1):
-            b = tail[-back]
-            if b & 0xC0 == 0x80:
-                continue
-            need = 4 if 0xF0 <= b <= 0xF4 else 3 if 0xE0 <= b <= 0xEF else 2 if 0xC2 <= b <= 0xDF else 1
-            return back if need > back else 0
-        return 0
-
-    def feed(self, data: bytes) -> str:
-        data = self.open + data
-        hold = self.lacking(data[-4:])
-        self.open = data[len(data) - hold :] if hold else b""
-        return data[: len(data) - hold].decode("utf-8", "replace")
 
-    def close(self) -> str:
-        rest, self.open = self.open, b""
-        return rest.decode("utf-8", "replace")
+@lru_cache(1)
+def utf8_steps() -> np.ndarray:
+    """(state, byte): the next state. A byte that may not follow ends the open character and is read from state 0."""
+    steps = np.zeros((len(_HELD), 256), np.uint8)
+    for lead, state in ((range(0xC2, 0xE0), 1), (range(0xE1, 0xF0), 2), ([0xE0], 3), ([0xED], 4), (range(0xF1, 0xF4), 6), ([0xF0], 7), ([0xF4], 8)):
+        steps[0, list(lead)] = state
+    steps[1:] = steps[0]
+    for state, first, last, after in ((1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 5), (3, 0xA0, 0xBF, 5), (4, 0x80, 0x9F, 5), (5, 0x80, 0xBF, 0), (6, 0x80, 0xBF, 9), (7, 0x90, 0xBF, 9), (8, 0x80, 0x8F, 9), (9, 0x80, 0xBF, 10), (10, 0x80, 0xBF, 0)):
+        steps[state, first : last + 1] = after
+    return steps
+
+
+class TokenStream:
+    """Bytes of the whole characters of an id stream, as they become whole."""
+
+    def __init__(self, codec: Codec):
+        self.codec, self.state, self.held = codec, 0, b""
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        codec = self.codec
+        last = np.flatnonzero(codec.resets[ids[-8:]])
+        tail = ids[-8:][last[-1] :] if len(last) else ids
+        for i in tail.tolist():
+            self.state = codec.moves[i][self.state]
+        data = self.held + codec.decode_batch(ids, np.array([0]))[0].tobytes()
+        whole = len(data) - int(_HELD[self.state])
+        self.held = data[whole:]
+        return data[:whole]
+
+    def close(self) -> bytes:
+        """What an unfinished character left."""
+        rest, self.held, self.state = self.held, b"", 0
+        return rest
 
 
 @lru_cache(2)
@@ -352,10 +387,15 @@ def encode_and_decode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_
         for batch in batches:
             for part in slices(batch, "att_text"):
                 ids, offsets = c.encode_batch(part.column("att_text").to_pylist())
-                data, at = c.decode_batch(ids, offsets)
-                whole, at = memoryview(data), at.tolist()
+                hashes = []
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    stream, digest = c.stream(), hashlib.sha256()
+                    for i in range(a, b, CHUNK):
+                        digest.update(stream.feed(ids[i : min(i + CHUNK, b)]))
+                    digest.update(stream.close())
+                    hashes.append(digest.hexdigest())
                 out = [part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(decimal_digests(ids, offsets, len(c.size)))]
-                out.append(pa.array([hashlib.sha256(whole[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]))
+                out.append(pa.array(hashes))
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])

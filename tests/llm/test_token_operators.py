@@ -65,12 +65,37 @@ def test_any_text_round_trips(codec, text):
     ids = ours.encode(text)
     assert ids == library.encode_ordinary(text)
     assert "".join(ours.decode_stream([i] for i in ids)) == text
+    assert "".join(ours.decode_stream([ids])) == text
 
 
-def test_utf8_stream_holds_back_unfinished_characters():
-    s = bpe.Utf8Stream()
-    assert [s.feed(b) for b in (b"a\xf0\x9f", b"\x99", b"\x82b\xe6\x97")] == ["a", "", "🙂b"] and s.close() == "�"
-    assert bpe.Utf8Stream().feed(b"\xff\x80") == "��"
+def test_stream_holds_back_unfinished_characters(codec):
+    ours, _ = codec
+    single = lambda data: np.array([ours.ranks[bytes([b])] for b in data], np.int64)
+    s = ours.stream()
+    assert [s.feed(single(b)) for b in (b"a\xf0\x9f", b"\x99", b"\x82b\xe6\x97")] == [b"a", b"", "🙂b".encode()] and s.close() == b"\xe6\x97"
+    assert "".join(ours.decode_stream([[i] for i in single(b"\xff\x80\xe6\x97")])) == b"\xff\x80\xe6\x97".decode("utf-8", "replace")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.binary(max_size=6), st.text(max_size=3).map(str.encode)), max_size=12), st.integers(1, 5))
+def test_stream_equals_whole_decoding_of_any_bytes(codec, parts, size):
+    ours, _ = codec
+    data = b"".join(parts)
+    ids = [i for p in parts for i in (ours.encode(p.decode("utf-8", "ignore")) if p.decode("utf-8", "ignore").encode() == p else [ours.ranks[bytes([b])] for b in p])]
+    assert "".join(ours.decode_stream(ids[i : i + size] for i in range(0, len(ids), size))) == data.decode("utf-8", "replace")
+
+
+def test_other_tokenizers_files_go_to_the_library(vocabulary, tmp_path):
+    import json
+
+    stored = json.load(open(vocabulary("byte_bpe_50k.json")))
+    stored["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(stored))
+    ids, offsets = tokens.TextEncoder(str(path), 1)(["one two", "", "three"])
+    library = Tokenizer.from_file(str(path))
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t, add_special_tokens=False).ids + [1] for t in ("one two", "", "three")]
+    assert tokens.known_pipeline(str(path)) is None and tokens.known_pipeline(vocabulary("word_bpe_49k.json")) is True
 
 
 def test_bpe_query_columns(make, vocabulary, codec):
