@@ -1,27 +1,28 @@
 """Exact repeated-substring removal: a depth-limited radix sort of suffixes, most significant digit first.
 
-Two suffixes belong to one group of the sort at depth d when their first d bytes
-are equal; groups of two or more at the threshold depth are exactly the repeated
-windows. Only suffixes still in a group of two or more are taken to the next
-digit. The order among groups is not needed, so a digit is compared by a 64-bit
-fingerprint, which lets Spark's hash exchange be the bucket step.
-
-To sort a corpus without moving every suffix, suffixes are bucketed first by the
-content around them:
-
-1. Digit one, sparse. The anchor of a window of `depth` bytes is its leftmost
-   smallest `gram`-byte string under a hash. Equal windows have equal anchors at
-   equal distances, so windows are sorted by anchor, and consecutive windows that
-   share an anchor travel as one row (one row per about 76 bytes). A gram that
-   occurs once ends there.
-2. Digit two. Rows of one gram are split by the fingerprint of all bytes their
-   windows span. A class with two members is repeated as a whole, and one member
-   stands for the class from here on.
-3. Further digits. Classes that share a gram but not the span are split into
-   blocks of neighbouring windows, (32, 6, 1) windows long. A block whose common
-   core occurs once holds no repeated window and ends; a block whose whole hull
-   occurs twice is repeated; the others go on to shorter blocks. A block of one
-   window is the window itself, at full depth.
+Two windows of `depth` bytes are equal when their suffixes stay in one group of a
+radix sort through `depth` bytes, so groups of two or more at that depth are exactly
+the repeated windows. To sort a corpus without moving every suffix, only one suffix
+in about 76 bytes is sorted, the one that begins at an anchor:
+
+1. Sparse buckets. The anchor of a window is its leftmost smallest `gram`-byte string
+   under a hash. Equal windows have equal anchors at equal distances, so windows are
+   bucketed by the gram, and consecutive windows that share an anchor travel as one
+   run. A gram that occurs once ends there.
+2. Runs of one gram that agree in all bytes they span (by gram and a 64-bit hash of
+   the span) are one class. A class with two members is repeated as a whole, and one
+   member stands for it from here on. A gram of one class ends there.
+3. Digit passes. The classes of a gram carry their bytes to one task. There the
+   suffixes that begin at the anchors are sorted in passes over digits of eight bytes,
+   most significant first; only groups of two or more go on to the next digit, and no
+   digit beyond the depth is read. The reversed strings that end at the anchors are
+   sorted alike. A window that begins d bytes before its anchor is d bytes of the one
+   and depth - d bytes of the other, so its group is the pair of its groups at these
+   depths. Every comparison here is one of bytes.
+4. A gram of more than LIMIT classes is not brought to one task: its windows are
+   bucketed further, by all bytes that a block of neighbouring windows has in common,
+   with blocks of 32, of 6 and of 1 window, until a bucket holds few classes. A block
+   of one window is the window itself; its bytes are then counted by a grouped sum.
 
 Counts are grouped sums with map-side partial sums, so a passage that thousands
 of texts hold costs one row a task. Equal texts share one key (the md5 of the
@@ -31,11 +32,13 @@ by its text. Texts far above a slice are anchored piece by piece.
 Defined results: null and empty texts have no window and nothing removed; texts
 shorter than `depth` bytes are kept whole; matches never cross rows; an equal row
 (same id or not) counts as another place; null ids are kept; other columns pass
-through. remove_repeats() drops a character of which only some bytes remain.
+through, whatever their names. remove_repeats() drops a character of which only some
+bytes remain.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -44,10 +47,12 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Prefixes, mix, raw, read, slices, written
+from .common import Prefixes, forget, free, mix, named, raw, read, slices, written
 
 DEPTH, GRAM, BLOCKS, SEGMENT = 200, 50, (32, 6, 1), 1 << 21
+LIMIT, CHUNK = 4096, 1 << 14  # classes of a bucket that one task sorts, and classes it holds at a time
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,12 +125,13 @@ def _anchorer(depth: int, gram: int, narrow: bool):
     return run
 
 
-_ROW = "g bigint, span bigint, n bigint, node binary, place int, near int, far int, b int, size int"
+_ITEM = "g bigint, span bigint, place int, near int, far int, b int, size int"
+_ROW = "g bigint, span bigint, b int, core bigint, near int, far int, bytes binary"
 
 
-def _splitter(depth: int, gram: int, size: int):
-    """Split each block into blocks of `size` windows, with fingerprints of what the windows share and of all they span."""
-    names = ["g", "span", "n", "place", "near", "far", "b", "size"]
+def _blocks(depth: int, gram: int, size: int):
+    """The bytes of each block of `size` windows of each listed run, and a hash of what all windows of the block have in common."""
+    names = ["g", "span", "place", "near", "far", "b", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,76 +141,187 @@ def _splitter(depth: int, gram: int, size: int):
                 count = np.diff(np.asarray(lists.offsets)).astype(np.int64)
                 row = np.repeat(np.arange(part.num_rows), count)
                 flat = lists.flatten()
-                g, span, n, place, near, far, b, wide = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in names)
-                stop = np.minimum(np.minimum(b + wide, depth - gram + 1), far + 1)
-                lo = np.maximum(b, b + (np.maximum(near, b) - b) // size * size)
-                times = np.maximum(0, -((lo - stop) // size))
+                g, span, place, near, far, b, wide = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in names)
+                last = np.minimum(b + wide - 1, far)
+                lo = b + np.maximum(near - b, 0) // size * size
+                times = np.maximum(0, (last - lo) // size + 1)
                 item = np.repeat(np.arange(len(g)), times)
-                step = np.arange(len(item)) - np.repeat(np.cumsum(times) - times, times)
-                s0 = lo[item] + step * size
-                s1 = np.minimum(np.minimum(s0 + size, (b + wide)[item]), depth - gram + 1) - 1
-                begin, end = offsets[row[item]], offsets[row[item] + 1]
-                at = begin + place[item]
-                hashes = Prefixes(data)
-                core = hashes(at - s0, at - s1 + depth)
-                inside = (at - s1 >= begin) & (at - s0 + depth <= end)
-                hull = mix(span[item].view(np.uint64) + _GOLD)  # a hull beyond the text has no equal
-                hull[inside] = hashes((at - s1)[inside], (at - s0 + depth)[inside])
-                node = part.column("node").take(pa.array(row[item]))
-                longs = [pa.array(x[item]) for x in (g, span, n)]
-                ints = [pa.array(x.astype(np.int32)) for x in (place[item], near[item], far[item], s0, s1 - s0 + 1)]
-                yield pa.RecordBatch.from_arrays([*longs, node, *ints, pa.array(core.view(np.int64)), pa.array(hull.view(np.int64))], ["g", "span", "n", "node", "place", "near", "far", "b", "size", "core", "hull"])
+                s0 = lo[item] + (np.arange(len(item)) - np.repeat(np.cumsum(times) - times, times)) * size
+                s1 = np.minimum(s0 + size, depth - gram + 1) - 1
+                nearest, farthest = np.maximum(near[item], s0), np.minimum(last[item], s1)
+                at = offsets[row[item]] + place[item]
+                core = Prefixes(data)(at - s0, at - s1 + depth)
+                for i in range(0, len(item), 1 << 14):
+                    use = slice(i, i + (1 << 14))
+                    begin, length = (at - farthest)[use], (farthest - nearest)[use] + depth
+                    ends = np.concatenate(([0], np.cumsum(length)))
+                    held = data[np.repeat(begin - ends[:-1], length) + np.arange(ends[-1])]
+                    held = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(held)])
+                    longs = [pa.array(x[item[use]]) for x in (g, span)]
+                    ints = [pa.array(x[use].astype(np.int32)) for x in (s0, nearest, farthest)]
+                    yield pa.RecordBatch.from_arrays([*longs, ints[0], pa.array(core[use].view(np.int64)), *ints[1:], held], ["g", "span", "b", "core", "near", "far", "bytes"])
 
     return run
 
 
+def digit_passes(text: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of a byte matrix within their groups, most significant digit first, and the common prefix with the row before; -1 where a group begins."""
+    n, width = text.shape
+    words = np.ascontiguousarray(np.pad(text, ((0, 0), (0, -width % 8)))).view(">u8").astype(np.uint64)
+    order = np.lexsort((words[:, 0], group))
+    opens = np.ones(n, bool)
+    opens[1:] = (group[order[1:]] != group[order[:-1]]) | (words[order[1:], 0] != words[order[:-1], 0])
+    for digit in range(1, words.shape[1]):
+        alone = opens & np.append(opens[1:], True)
+        at = np.flatnonzero(~alone)  # places in groups of two or more
+        if not len(at):
+            break
+        label = np.cumsum(opens[at])
+        step = np.lexsort((words[order[at], digit], label))
+        order[at] = order[at][step]
+        value = words[order[at], digit]
+        opens[at[1:]] |= (label[1:] == label[:-1]) & (value[1:] != value[:-1])
+    prefix = np.full(n, -1)
+    differs = text[order[1:]] != text[order[:-1]]
+    same = group[order[1:]] == group[order[:-1]]
+    prefix[1:][same] = np.where(differs.any(1), differs.argmax(1), width)[same]
+    return order, prefix
+
+
+def equal_windows(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, near: np.ndarray, far: np.ndarray, depth: int) -> np.ndarray:
+    """(rows, distances) flags of windows that two rows of a group have in common. A row's bytes are its windows far to near."""
+    n, width = len(near), int(far.max()) + 1
+
+    def matrix(begin: np.ndarray, length: np.ndarray, step: int, columns: int) -> np.ndarray:
+        out = np.zeros((n, columns), np.uint8)
+        row = np.repeat(np.arange(n), length)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+        out[row, k] = data[begin[row] + step * k]
+        return out
+
+    anchor = offsets[:-1] + far
+    classes = []
+    for text in (matrix(anchor - 1, far, -1, max(1, width - 1)), matrix(anchor, depth - near, 1, depth)):
+        order, prefix = digit_passes(text, group)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        classes.append((prefix, place))
+    (before, left), (after, right) = classes
+    found = np.zeros((n, width), bool)
+    for d in range(int(near.min()), width):
+        use = np.flatnonzero((near <= d) & (far >= d))
+        pair = np.cumsum(before < d)[left[use]] * (n + 1) + np.cumsum(after < depth - d)[right[use]]
+        _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
+        found[use[count[inverse] > 1], d] = True
+    return found
+
+
+def _sorter(depth: int):
+    """Distances of repeated windows, as runs, of each class. Rows come with their buckets (g, b, core) in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sort(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+            data, offsets = raw(table.column("bytes"))
+            near, far = (table.column(x).to_numpy().astype(np.int64) for x in ("near", "far"))
+            found = np.pad(equal_windows(data, offsets, group, near, far, depth), ((0, 0), (1, 1))).astype(np.int8)
+            edge = np.diff(found, axis=1)
+            row, first = np.nonzero(edge == 1)
+            _, stop = np.nonzero(edge == -1)
+            of = [table.column(x).combine_chunks().take(pa.array(row)) for x in ("g", "span")]
+            return pa.RecordBatch.from_arrays([*of, pa.array(first.astype(np.int32)), pa.array((stop - first).astype(np.int32))], ["g", "span", "b", "size"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) < CHUNK:
+                continue
+            table = pa.Table.from_batches(held)
+            group = _bucket_of(table)
+            whole = int(np.searchsorted(group, group[-1]))  # the last bucket may go on
+            if whole:
+                yield sort(table.slice(0, whole), group[:whole])
+                held = table.slice(whole).combine_chunks().to_batches()
+        if sum(x.num_rows for x in held):
+            table = pa.Table.from_batches(held)
+            yield sort(table, _bucket_of(table))
+
+    return run
+
+
+def _bucket_of(table: pa.Table) -> np.ndarray:
+    """Number of each row's bucket, ascending."""
+    key = np.stack([table.column(x).to_numpy().astype(np.int64) for x in ("g", "b", "core")], 1)
+    return np.cumsum(np.append(True, (key[1:] != key[:-1]).any(1)))
+
+
+def _sorted(rows: DataFrame, depth: int) -> DataFrame:
+    dealt = rows.repartition("g", "b", "core").sortWithinPartitions("g", "b", "core")
+    return written(dealt.mapInArrow(_sorter(depth), "g bigint, span bigint, b int, size int"), "sorted")
+
+
 def repeated_ranges(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """(node, ranges): the byte ranges of each distinct text that repeated windows cover. texts: (node, text), a row for each occurrence."""
+    """(node, ranges): the byte ranges of each distinct text that repeated windows cover. texts: (id, node, text), a row for each occurrence."""
     if not 0 < gram < depth:
         raise ValueError("gram is below depth")
+    width = depth - gram + 1
     small = texts.select("text").mapInArrow(_anchorer(depth, gram, True), "g bigint")
-    shared = written(small.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), "digit1")
+    shared = written(small.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), "grams")
     rows = texts.select("node", "text").mapInArrow(_anchorer(depth, gram, False), "node binary, g bigint, span bigint, place int, near int, far int")
     hits = written(rows.join(shared, "g"), "hits")  # a table of its own: what follows would keep a hot gram in one task
+    forget(shared)
     place = written(hits.groupBy("g", "span", "node", "place", "near", "far").agg(F.count("*").alias("m")), "anchors")
+    forget(hits)
 
     classes = place.groupBy("g", "span").agg(F.sum("m").alias("n"), F.min(F.struct("node", "place", "near", "far")).alias("r"))
-    classes = written(classes.select("g", "span", "n", "r.*"), "digit2")
-    mixed = written(classes.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), "mixed")
-    todo = classes.join(mixed, "g").withColumns({"b": F.lit(0), "size": F.lit(depth - gram + 1)})
-    todo = written(todo.select(*(x.split()[0] for x in _ROW.split(", "))), "todo")
+    classes = written(classes.select("g", "span", "n", "r.*"), "classes")
+    mixed = written(classes.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1"), "mixed")
+    todo = written(classes.join(mixed, "g").select("g", "span", "node", "place", "near", "far", F.lit(0).alias("b"), F.lit(width).alias("size"), (F.col("c") <= LIMIT).alias("few")), "todo")
+    whole = written(classes.filter("n > 1").select("g", "span"), "whole")
+    forget(classes, mixed)
+
     needed = written(todo.select("node").distinct(), "nodes")
-    text = written(texts.join(needed.hint("merge"), "node", "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
-
-    whole = place.join(written(classes.filter("n > 1").select("g", "span"), "whole"), ["g", "span"])
-    ranges = whole.select("node", (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + depth).alias("stop"))
-    found = None
-    for size in BLOCKS:
-        lists = todo.groupBy("node").agg(F.collect_list(F.struct("g", "span", "n", "place", "near", "far", "b", "size")).alias("todo"))
-        split = lists.join(text, "node").mapInArrow(_splitter(depth, gram, size), _ROW + ", core bigint, hull bigint")
-        split = written(split, "split")
-        hulls = split.groupBy("g", "b", "core", "hull").agg(F.sum("n").alias("n"), F.min(F.struct("span", "node", "place", "near", "far", "size")).alias("r"))
-        hulls = written(hulls, "hulls")
-        twice = split.join(hulls.filter("n > 1").select("g", "b", "core", "hull"), ["g", "b", "core", "hull"])
-        twice = twice.select("g", "span", "b", "size")
-        found = twice if found is None else found.union(twice)
-        if size > 1:
-            cores = hulls.groupBy("g", "b", "core").agg(F.count("*").alias("c")).filter("c > 1").select("g", "b", "core")
-            todo = hulls.join(written(cores, "cores"), ["g", "b", "core"])
-            todo = todo.select("g", "r.span", "n", "r.node", "r.place", "r.near", "r.far", "b", "r.size")
-    found = written(found.distinct(), "found")
-    part = place.join(found, ["g", "span"])
+    owner = written(texts.select("id", "node").join(needed, "node").groupBy("node").agg(F.min("id").alias("id")), "owners")  # one row for each text
+    same = texts["id"].eqNullSafe(owner["id"]) & (texts["node"] == owner["node"])
+    text = written(texts.join(owner.hint("merge"), same, "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
+    forget(needed, owner)
+
+    def blocks(items: DataFrame, size: int) -> DataFrame:
+        lists = items.groupBy("node").agg(F.collect_list(F.struct("g", "span", "place", "near", "far", "b", "size")).alias("todo"))
+        return lists.join(text, "node").mapInArrow(_blocks(depth, gram, size), _ROW)
+
+    found = [_sorted(blocks(todo.filter("few"), width), depth)]
+    many = todo.filter("not few")
+    for size in BLOCKS if not many.isEmpty() else ():
+        split = written(blocks(many, size), "split")
+        if size == 1:
+            last = split.groupBy("g", "b", "bytes").agg(F.count("*").alias("c")).filter("c > 1").select("g", "b", "bytes")
+            found.append(written(split.join(last, ["g", "b", "bytes"]).select("g", "span", "b", F.lit(1).alias("size")), "sorted"))
+        else:
+            counts = written(split.groupBy("g", "b", "core").agg(F.count("*").alias("c")).filter("c > 1"), "counts")
+            found.append(_sorted(split.join(counts.filter(F.col("c") <= LIMIT), ["g", "b", "core"]), depth))
+            more = split.join(counts.filter(F.col("c") > LIMIT), ["g", "b", "core"]).select("g", "span", "b", F.lit(size).alias("size"))
+            runs = todo.select("g", "span", "node", "place", "near", "far")
+            many = written(more.join(runs, ["g", "span"]), "many")
+            forget(counts)
+            if many.isEmpty():
+                break
+        forget(split)
+    part = written(place.join(functools.reduce(DataFrame.union, found), ["g", "span"]), "part")
+    forget(todo, text, *found)
     lo, hi = F.greatest("b", "near"), F.least(F.col("b") + F.col("size") - 1, F.col("far"))
+    ranges = place.join(whole, ["g", "span"]).select("node", (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + depth).alias("stop"))
     ranges = ranges.union(part.filter(lo <= hi).select("node", F.col("place") - hi, F.col("place") - lo + depth))
-    return written(ranges.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "ranges")
+    ranges = written(ranges.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "ranges")
+    forget(part, whole, place)
+    return ranges
 
 
-def _remover(out: list[str], clean: bool):
+def _remover(text: str, ranges: str, n_kept: int, names: list[str], clean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "att_text"):
-                data, offsets = raw(part.column("att_text"))
-                lists = part.column("att_ranges")
+            for part in slices(batch, text):
+                data, offsets = raw(part.column(text))
+                lists = part.column(ranges)
                 count = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
                 row = np.repeat(np.arange(part.num_rows), count)
                 flat = lists.flatten()
@@ -224,32 +341,37 @@ def _remover(out: list[str], clean: bool):
                     new = [pa.array([x.decode("utf-8", "ignore") for x in pieces], pa.string())]
                 else:
                     new = [pa.array(np.diff(offsets)), pa.array(np.diff(total)), pa.array(np.diff(spans)), pa.array([hashlib.sha256(x).hexdigest() for x in pieces])]
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in out), *new], [*out, *(["att_clean"] if clean else ["n_bytes", "n_removed", "n_spans", "kept_sha256"])])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n_kept)), *new], names)
 
     return run
 
 
-def _with_ranges(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.withColumns({"att_text": text, "att_node": F.unhex(F.md5(text))})
-    found = repeated_ranges(base.select(F.col("att_node").alias("node"), F.col("att_text").alias("text")), depth)
-    return base.join(found.select(F.col("node").alias("att_node"), F.col("ranges").alias("att_ranges")).hint("merge"), "att_node", "left")
+def _cleaned(docs: DataFrame, kept: list[str], id_col: str, text_col: str, depth: int, schema: StructType, clean: bool) -> DataFrame:
+    """The kept columns of docs and what _remover() gives of each row."""
+    text, node, ranges = free([*kept, *schema.names], "att_text", "att_node", "att_ranges")
+    whole = F.coalesce(named([text_col])[0], F.lit(""))
+    base = docs.select(*named(kept), whole.alias(text), F.unhex(F.md5(whole)).alias(node))
+    given = named([id_col])[0] if id_col in docs.columns else F.lit(None).cast("long")
+    found = repeated_ranges(docs.select(given.alias("id"), F.unhex(F.md5(whole)).alias("node"), whole.alias("text")), depth)
+    found = found.select(F.col("node").alias(node), F.col("ranges").alias(ranges))
+    return base.join(found.hint("merge"), node, "left").select(*named(kept), text, ranges).mapInArrow(_remover(text, ranges, len(kept), schema.names, clean), schema)
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
-    base = _with_ranges(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", depth).drop("text")
-    kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(_remover(["doc_id"], False), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = base.select("doc_id").schema
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")):
+        schema = schema.add(name, kind)
+    return _cleaned(base, ["doc_id"], "doc_id", "text", depth, schema, False)
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """docs with repeated bytes taken out of the text column; other columns as they were."""
-    base = _with_ranges(docs, text_col, depth)
+def remove_repeats(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, id_col: str = "doc_id") -> DataFrame:
+    """docs with repeated bytes taken out of the text column; other columns as they were. id_col: tells copies apart, if there is one."""
     kept = [c for c in docs.columns if c != text_col]
-    schema = docs.select(*kept).schema.add("att_clean", "string")
-    done = base.mapInArrow(_remover(kept, True), schema)
-    return done.select(*(F.col("att_clean").alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    (clean,) = free(kept, text_col + "_clean")
+    done = _cleaned(docs, kept, id_col, text_col, depth, docs.select(*named(kept)).schema.add(clean, "string"), True)
+    return done.select(*(named([clean])[0].alias(c) if c == text_col else named([c])[0] for c in docs.columns))
 
 
 def op3_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -150,9 +150,10 @@ def brute_repeats(texts, depth):
     return out
 
 
-@pytest.mark.parametrize("blocks", [(32, 6, 1), (1,)])
-def test_repeats_equal_brute_force(make, monkeypatch, blocks):
-    monkeypatch.setattr(repeats, "BLOCKS", blocks)
+@pytest.mark.parametrize(("blocks", "limit", "chunk"), [((32, 6, 1), 4096, 1 << 14), ((32, 6, 1), 3, 5), ((1,), 0, 5)])
+def test_repeats_equal_brute_force(make, monkeypatch, blocks, limit, chunk):
+    for name, value in (("BLOCKS", blocks), ("LIMIT", limit), ("CHUNK", chunk)):
+        monkeypatch.setattr(repeats, name, value)
     shared = sentence(30)
     texts = [sentence(60) for _ in range(6)]
     texts += [t[:100] + shared + t[100:] for t in texts] + [shared[3:] + "é日" * 70, "é日" * 70, "ab" * 400, texts[0], "z" * 199, "y" * 200, "w" * 201, None, ""]
@@ -176,6 +177,20 @@ def test_repeats_in_long_text_and_odd_rows(make, monkeypatch):
     assert cleaned.columns == same.columns and [r["text"] for r in cleaned.collect()] == ["", ""]
 
 
+def test_digit_passes_order_rows_by_bytes():
+    rng = np.random.default_rng(6)
+    text = rng.integers(0, 2, (300, 27)).astype(np.uint8) * np.uint8(255)
+    text[rng.integers(0, 300, 150)] = text[7]
+    text[:, :20] = text[7, :20]
+    group = np.sort(rng.integers(0, 4, 300))
+    order, prefix = repeats.digit_passes(text, group)
+    key = [(group[i], text[i].tobytes()) for i in order]
+    assert key == sorted(key) and sorted(order.tolist()) == list(range(300))
+    for i in range(1, 300):
+        same = next((k for k in range(27) if key[i][1][k] != key[i - 1][1][k]), 27)
+        assert prefix[i] == (same if key[i][0] == key[i - 1][0] else -1)
+
+
 def test_anchors_are_sparse():
     text = sentence(3000).encode()
     row, *_ = repeats.anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
