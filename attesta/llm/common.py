@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from attesta.scratch import forget, shared_folder, stage
 
-__all__ = ["Prefixes", "bounded", "forget", "free", "mix", "named", "powers", "raw", "read", "runs_of", "shared_folder", "slices", "words", "written"]
+__all__ = ["Prefixes", "bounded", "carried", "forget", "free", "mix", "named", "powers", "raw", "read", "restored", "runs_of", "shared_folder", "slices", "words", "written"]
 
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 2000
@@ -56,6 +56,16 @@ def named(names: Iterable[str]) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def carried(docs: DataFrame, kept: list[str], **more: Column) -> DataFrame:
+    """The kept columns as k0, k1, ..., whatever their names, and more ones by name."""
+    return docs.select(*(c.alias(f"k{i}") for i, c in enumerate(named(kept))), *(c.alias(n) for n, c in more.items()))
+
+
+def restored(done: DataFrame, kept: list[str], more: dict[str, str]) -> DataFrame:
+    """carried() columns by their own names, and more ones renamed."""
+    return done.select(*(F.col(f"k{i}").alias(n) for i, n in enumerate(kept)), *(F.col(a).alias(b) for a, b in more.items()))
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (from 0) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

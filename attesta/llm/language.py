@@ -12,9 +12,10 @@ Forward-backward runs over all words of a slice at once: texts are cut into segm
 the segments' transfer matrices are multiplied side by side, boundary vectors are
 carried through them, and posteriors follow inside each segment. This is exact.
 
-The field is fitted on a bounded sample: about TRAIN texts of each of the MAX_LANGS
-most frequent languages, of at most LONGEST characters, chosen by the hash of the
-text. Every row is predicted from its whole text alone.
+The field is fitted on a bounded sample: up to `train_size` distinct texts of every
+language that occurs, chosen by the hash of the text; of a text longer than `span`
+characters a span of that size is taken, at a place given by its hash. Every row is
+predicted from its whole text alone.
 
 Defined results: null texts and texts without a letter are `und` with score 0; with
 no labelled text every row is `und`; equal texts get equal results; null ids and
@@ -27,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Prefixes, mix, raw, read, runs_of, slices, words
+from .common import SLICE_BYTES, Prefixes, carried, mix, raw, read, restored, runs_of, slices, words
 
-TRAIN, MAX_LANGS, LONGEST, SEGMENT, BITS = 400, 64, 50_000, 64, 17
+TRAIN, SPAN, SEGMENT, BITS = 400, 20_000, 64, 17
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -167,13 +169,13 @@ class Field:
     def emission(self, item: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(item, self.weights[feature, j], minlength=n) for j in range(len(self.labels))], 1)
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mean posterior of each label for each text, and its count of words."""
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean posterior of each label for each text, its count of words, and the mean of its words' greatest posteriors."""
         n = len(offsets) - 1
         data = lowered(data)
         start, stop, row = words(data, offsets, _LETTER)
         if not len(start):
-            return np.zeros((n, len(self.labels))), np.zeros(n, np.int64)
+            return np.zeros((n, len(self.labels))), np.zeros(n, np.int64), np.zeros(n)
         hashes = Prefixes(data)
         word = hashes(start, stop)
         word, where, inverse = np.unique(word, return_index=True, return_inverse=True)
@@ -181,7 +183,7 @@ class Field:
         p, _ = posteriors(emission, row, n, self.start, self.transition)
         count = np.bincount(row, minlength=n)
         total = np.stack([np.bincount(row, p[:, j], minlength=n) for j in range(p.shape[1])], 1)
-        return total / np.maximum(count, 1)[:, None], count
+        return total / np.maximum(count, 1)[:, None], count, np.bincount(row, p.max(1), minlength=n) / np.maximum(count, 1)
 
 
 def train(texts: list[str], labels: list[str], epochs: int = 3, sequences: int = 4000, seed: int = 7) -> Field | None:
@@ -196,14 +198,16 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, sequences: int =
         return None
     hashes = Prefixes(data)
     word = hashes(begin, stop)
-    gold = np.array([names.index(x) for x in labels])[row]
+    number = {x: i for i, x in enumerate(names)}
+    label = np.array([number[x] for x in labels])
+    gold = label[row]
     first, count = runs_of(row, len(texts))
-    by = [np.flatnonzero((np.array([names.index(x) for x in labels]) == j) & (count > 0)) for j in range(len(names))]
+    by = [np.flatnonzero((label == j) & (count > 0)) for j in range(len(names))]
     by = [b for b in by if len(b)]
     field = Field(names, Lexicon(word, gold, len(names)))
     rng = np.random.default_rng(seed)
     spliced = []
-    for _ in range(sequences):
+    for _ in range(max(sequences, 60 * len(names))):
         at = []
         for _ in range(int(rng.integers(1, 4))):
             text = int(rng.choice(by[int(rng.integers(len(by)))]))
@@ -241,18 +245,19 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, sequences: int =
     return field
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_size: int = TRAIN) -> Field | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_size: int = TRAIN, span: int = SPAN) -> Field | None:
     """Fit on the rows that are not held out."""
-    use = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = use.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    use = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    use = use.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    langs = use.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language
     if not langs:
         return None
-    share = F.lit(0.0)
-    for r in langs:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, train_size / r["count"]))).otherwise(share)
-    hashed = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    chosen = use.filter((hashed < share) & (F.length("text") <= LONGEST)).select("text", "lang")
-    rows = chosen.orderBy(F.xxhash64("text"), "text", "lang").limit(2 * train_size * len(langs)).collect()
+    shares = F.create_map(*(F.lit(x) for r in langs for x in (r["lang"], min(1.0, 2 * train_size / r["n"]))))
+    chosen = use.filter(F.pmod("h", F.lit(1_000_003)) / F.lit(1_000_003.0) < shares[F.col("lang")])
+    chosen = chosen.withColumn("text", F.when(F.length("text") <= span, F.col("text")).otherwise(F.substring("text", F.pmod("h", F.length("text") - span).cast("int") + 1, F.lit(span))))
+    chosen = chosen.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    line = Window.partitionBy("lang").orderBy("h")
+    rows = chosen.withColumn("n", F.row_number().over(line)).filter(F.col("n") <= train_size).orderBy("h", "lang").select("text", "lang").collect()  # train_size a language
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -260,20 +265,24 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def languages(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row; keep: columns to carry along instead of doc_id, with (att_lang, att_score)."""
-    kept, names = (keep, ["att_lang", "att_score"]) if keep is not None else ([id_col], ["lang_pred", "score"])
-    base = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("att_text"))
-    schema = base.drop("att_text").schema.add(names[0], "string").add(names[1], "double")
+def languages(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "sure")) -> DataFrame:
+    """(doc_id, lang_pred, score, sure) for every row. keep: columns to carry along instead of doc_id; names: of the three new columns.
+
+    sure: the mean over the words of each word's greatest posterior, high also in a text of several languages.
+    """
+    kept = keep if keep is not None else [id_col]
+    base = carried(docs, kept, text=F.coalesce(F.col(text_col), F.lit("")))
+    schema = StructType(base.schema.fields[:-1]).add("lang", "string").add("score", "double").add("sure", "double")
+    size = SLICE_BYTES if field is None else min(SLICE_BYTES, max(1 << 14, (1 << 24) // len(field.labels) ** 2))  # a segment holds a matrix of all labels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "att_text"):
-                data, offsets = raw(part.column("att_text"))
+            for part in slices(batch, "text", size):
+                data, offsets = raw(part.column("text"))
                 if field is None:
-                    name, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
+                    name, score, sure = ["und"] * part.num_rows, np.zeros(part.num_rows), np.zeros(part.num_rows)
                 else:
-                    mean, count = field.predict(data, offsets)
+                    mean, count, sure = field.predict(data, offsets)
                     ascii_letter = np.concatenate(([0], np.cumsum(_LETTER[data] & (data < 128))))[offsets]
                     for i in np.flatnonzero((np.diff(ascii_letter) == 0) & (count > 0)):  # is there a letter among other characters?
                         if not any(map(str.isalpha, data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))):
@@ -281,13 +290,14 @@ def languages(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text
                     best = mean.argmax(1)
                     name = [field.labels[j] if c else "und" for j, c in zip(best, count, strict=True)]
                     score = np.where(count > 0, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(name, pa.string()), pa.array(score)], [*kept, *names])
+                    sure = np.where(count > 0, np.clip(sure, 0, 1), 0.0)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), pa.array(name, pa.string()), pa.array(score), pa.array(sure)], schema.names)
 
-    return base.mapInArrow(run, schema)
+    return restored(base.mapInArrow(run, schema), kept, dict(zip(("lang", "score", "sure"), names, strict=True)))
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     """Every document's language, fitted on the rows that are not held out."""
     docs = read(spark, sf_dir, "documents")
     found = languages(docs, fit(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "sure")
