@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Prefixes, forget, free, mix, named, raw, read, slices, written
+from .common import Prefixes, carried, forget, mix, named, raw, read, restored, slices, written
 
 DEPTH, GRAM, BLOCKS, SEGMENT = 200, 50, (32, 6, 1), 1 << 21
 LIMIT, CHUNK = 4096, 1 << 14  # classes of a bucket that one task sorts, and classes it holds at a time
@@ -316,12 +316,12 @@ def repeated_ranges(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
     return ranges
 
 
-def _remover(text: str, ranges: str, n_kept: int, names: list[str], clean: bool):
+def _remover(n_kept: int, names: list[str], clean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
-                data, offsets = raw(part.column(text))
-                lists = part.column(ranges)
+            for part in slices(batch, "text"):
+                data, offsets = raw(part.column("text"))
+                lists = part.column("ranges")
                 count = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
                 row = np.repeat(np.arange(part.num_rows), count)
                 flat = lists.flatten()
@@ -346,32 +346,29 @@ def _remover(text: str, ranges: str, n_kept: int, names: list[str], clean: bool)
     return run
 
 
-def _cleaned(docs: DataFrame, kept: list[str], id_col: str, text_col: str, depth: int, schema: StructType, clean: bool) -> DataFrame:
-    """The kept columns of docs and what _remover() gives of each row."""
-    text, node, ranges = free([*kept, *schema.names], "att_text", "att_node", "att_ranges")
+def _cleaned(docs: DataFrame, kept: list[str], id_col: str, text_col: str, depth: int, new: dict[str, str], clean: bool) -> DataFrame:
+    """The kept columns of docs, as carried() has them, and what _remover() gives of each row. new: its columns and their types."""
     whole = F.coalesce(named([text_col])[0], F.lit(""))
-    base = docs.select(*named(kept), whole.alias(text), F.unhex(F.md5(whole)).alias(node))
+    base = carried(docs, kept, node=F.unhex(F.md5(whole)), text=whole)
     given = named([id_col])[0] if id_col in docs.columns else F.lit(None).cast("long")
     found = repeated_ranges(docs.select(given.alias("id"), F.unhex(F.md5(whole)).alias("node"), whole.alias("text")), depth)
-    found = found.select(F.col("node").alias(node), F.col("ranges").alias(ranges))
-    return base.join(found.hint("merge"), node, "left").select(*named(kept), text, ranges).mapInArrow(_remover(text, ranges, len(kept), schema.names, clean), schema)
+    schema = StructType(base.schema.fields[:-2])
+    for name, kind in new.items():
+        schema = schema.add(name, kind)
+    return base.join(found.hint("merge"), "node", "left").drop("node").mapInArrow(_remover(len(kept), schema.names, clean), schema)
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = base.select("doc_id").schema
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")):
-        schema = schema.add(name, kind)
-    return _cleaned(base, ["doc_id"], "doc_id", "text", depth, schema, False)
+    new = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
+    return restored(_cleaned(docs, [id_col], id_col, text_col, depth, new, False), ["doc_id"], {n: n for n in new})
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, id_col: str = "doc_id") -> DataFrame:
     """docs with repeated bytes taken out of the text column; other columns as they were. id_col: tells copies apart, if there is one."""
     kept = [c for c in docs.columns if c != text_col]
-    (clean,) = free(kept, text_col + "_clean")
-    done = _cleaned(docs, kept, id_col, text_col, depth, docs.select(*named(kept)).schema.add(clean, "string"), True)
-    return done.select(*(named([clean])[0].alias(c) if c == text_col else named([c])[0] for c in docs.columns))
+    done = _cleaned(docs, kept, id_col, text_col, depth, {"clean": "string"}, True)
+    return restored(done, kept, {"clean": text_col}).select(*named(docs.columns))
 
 
 def op3_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

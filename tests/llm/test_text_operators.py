@@ -256,6 +256,24 @@ def test_language_field(make):
     assert language.languages(make(["abc"], langs={0: None}), None).head()["lang_pred"] == "und"
 
 
+def test_every_language_is_learned(make):
+    rng = random.Random(2)
+    stems = {f"l{i:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for i in range(70)}
+    texts, langs = [], {}
+    for lang, words_ in stems.items():
+        for _ in range(6):
+            langs[len(texts)] = lang
+            texts.append(" ".join(rng.choice(words_) for _ in range(40)))
+    langs[len(texts)] = "long"  # a language of long and repeated texts only
+    texts.append("umpa lumpa dumpa " * 40_000)
+    docs = make(texts, langs=langs)
+    docs = docs.union(docs.filter("lang = 'long'").selectExpr("doc_id + 1 as doc_id", "text", "lang", "source", "n_chars", "node", "bands", "queue", "score"))
+    field = language.fit(docs)
+    assert len(field.labels) == 71
+    found = by_id(language.languages(docs, field))
+    assert all(found[i]["lang_pred"] == lang for i, lang in langs.items())
+
+
 def test_forward_backward_is_exact():
     import itertools
 
