@@ -6,7 +6,8 @@ that docs has; the last returns the pieces of packed windows.
 
 Defined results: an empty table goes through every stage and gives no piece; null and
 empty texts leave at the first stage; rows with a null doc_id stay in the duplicates
-stage; equal rows count as duplicates; further columns of documents are carried along.
+stage; equal rows count as duplicates; further columns of documents are carried along,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -16,30 +17,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import language, minhash, packing, quality, repeats
-from attesta.llm.common import read, written
+from attesta.llm.common import forget, free, named, read, written
 
-#: Least mean posterior of a document's language.
+#: Least mean, over a document's words, of a word's greatest posterior. A text of several languages can be sure of each word.
 SURE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those whose words favour no language."""
-    found = language.languages(docs, language.fit(docs), keep=docs.columns)
-    return found.filter((F.col("att_lang") != "und") & (F.col("att_score") >= SURE)).select(*docs.columns)
+    names = free(docs.columns, "att_lang", "att_score", "att_sure")
+    found = language.languages(docs, language.fit(docs), keep=docs.columns, names=names)
+    return found.filter((F.col(names[0]) != "und") & (F.col(names[2]) >= SURE)).select(*named(docs.columns))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score below the classifier's cut."""
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
-    return quality.qualities(docs, model, keep=docs.columns).filter(F.col("att_score") >= quality.CUT).select(*docs.columns)
+    (score,) = free(docs.columns, "att_score")
+    return quality.qualities(docs, model, keep=docs.columns, name=score).filter(F.col(score) >= quality.CUT).select(*named(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each near-duplicate class."""
     found = minhash.near_duplicates(docs)
-    first = written(found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("att_id")).distinct(), "kept")
-    kept = docs.join(first.hint("merge"), docs["doc_id"].eqNullSafe(first["att_id"]), "left_semi")
-    return kept.withColumn("att_node", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "att_node"]).select(*docs.columns)
+    att_id, node = free(docs.columns, "att_id", "att_node")
+    first = written(found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(att_id)).distinct(), "kept")
+    kept = docs.join(first.hint("merge"), docs["doc_id"].eqNullSafe(first[att_id]), "left_semi")
+    return kept.withColumn(node, F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", node]).select(*named(docs.columns))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +51,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     cleaned = repeats.remove_repeats(docs)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+    return cleaned.select(*named(docs.columns))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +72,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = before = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -48,6 +48,39 @@ def test_empty_table_goes_through(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_further_columns_of_any_name_stay_intact(spark, tmp_path):
+    taken = ["att_text", "ATT_NODE", "att_ranges", "att_id", "att_lang", "att_score", "att_sure", "text_clean", "node", "class_id", "bands", "queue", "ids", "part", "score", "id", "h", "a.b", "key"]
+    texts = ["one two three four five six seven eight nine ten " + text(30) for _ in range(6)]
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in taken)
+    rows = [(i, t, "en", "s", len(t), *(f"{c}{i}" for c in taken)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, kinds)
+    spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns, name
+        assert sorted(tuple(r)[5:] for r in found.collect()) == sorted(r[5:] for r in rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 6
+
+
+def test_tables_of_a_few_words(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for n in range(1, 7):
+        docs = spark.createDataFrame([(1, " ".join("abcdef"[:n]), "en", "s", n)], schema)
+        for name, stage in corpus_pipeline.STAGES:
+            assert stage(spark, docs, str(tmp_path)).count() == 1, (n, name)
+
+
+def test_a_clean_text_of_three_languages_stays(spark, tmp_path):
+    random.seed(9)
+    stems = {"aa": ["ska", "ola", "ima"], "bb": ["tre", "ned", "ewe"], "cc": ["usu", "ruk", "gum"]}
+    say = lambda lang, n: " ".join("".join(random.choice(stems[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(i, say(lang, 60), lang, "s", 1) for i, lang in enumerate(["aa", "bb", "cc"] * 40)]
+    rows.append((1000, " ".join(say(lang, 20) for lang in stems), None, "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {r[0] for r in rows}
+
+
 def test_ten_queries_are_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
     assert minhash.op1_minhash_near_dedup.__doc__
