@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read, slices
-from .tokens import Memo, spans, unsafe
+from .tokens import TEXT_SLICE, Memo, spans, unsafe
 
 STATES = 50_000  # transducer states made; beyond them the hypotheses are followed without new states
 RARE = 100_000  # pre-tokens of texts with rare characters that a worker keeps
@@ -385,7 +385,7 @@ def encode_and_decode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks)
         for batch in batches:
-            for part in slices(batch, "att_text"):
+            for part in slices(batch, "att_text", TEXT_SLICE):
                 ids, offsets = c.encode_batch(part.column("att_text").to_pylist())
                 hashes = []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import read, slices, written
-from .tokens import encoder, id_bytes, ids_of
+from .tokens import TEXT_SLICE, encoder, id_bytes, ids_of
 
 WINDOW, PACKET, UNIT, BLOCK = 2048, 32, 16, 1 << 18
 MAX_QUEUES = 1024  # whose shares UNIT bits suffice for; more queues have more bits
@@ -127,7 +127,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, part_id, held = encoder(tokenizer, end), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for part in slices(batch, "att_text"):
+            for part in slices(batch, "att_text", TEXT_SLICE):
                 ids, offsets = to_ids(part.column("att_text").to_pylist())
                 before = []
                 for q, n in zip(part.column("queue").to_pylist(), np.diff(offsets).tolist(), strict=True):

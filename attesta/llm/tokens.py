@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import Prefixes, mix, raw, slices
 
 MEMO = 300_000  # pre-tokens a worker keeps
+TEXT_SLICE = 1 << 18  # bytes of text encoded at a time
 # What tokenizers files hold whose split the fast path knows, and whether it lowers case and drops white space.
 PIPELINES = (
     ({"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}, False),
@@ -174,37 +175,23 @@ def pre_tokens(joined: str, texts: np.ndarray, single: bool) -> tuple[np.ndarray
     return start, stop, np.searchsorted(texts, start, "right") - 1, Prefixes(point, _code_point_hashes())(start, stop)
 
 
-class Memo(dict):
-    """Pre-token to number; number n stands for flat[start[n]:start[n] + length[n]]."""
+class Memo:
+    """Hash of a pre-token to number, in sorted arrays; number n stands for flat[start[n]:start[n] + length[n]]."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], first: list[list[int]]):
-        super().__init__()
         self.encode, self.first = encode, first
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self.n, self.new, self.held = 0, [], 0
-        self.flat, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        for ids in self.first:
-            self._store([ids], [self._number()])
-
-    def _number(self) -> int:
-        self.n += 1
-        return self.n - 1
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = self._number()
-        self.new.append(key)
-        return n
-
-    def own(self, ids: list[int]) -> int:
-        """A number for ids that no later text looks up."""
-        n = self._number()
-        self._store([ids], [n])
-        return n
-
-    def _store(self, lists: list[list[int]], numbers: list[int]) -> None:
+        self.n, self.held = 0, 0
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.flat, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self._store(self.first)
+
+    def _store(self, lists: list[list[int]]) -> np.ndarray:
+        """Numbers for new lists of ids."""
+        numbers = np.arange(self.n, self.n + len(lists))
+        self.n += len(lists)
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         total = int(size.sum())
         while self.held + total > len(self.flat):
@@ -214,12 +201,7 @@ class Memo(dict):
         self.flat[self.held : self.held + total] = np.fromiter((i for x in lists for i in x), np.uint32, total)
         self.start[numbers], self.length[numbers] = self.held + np.cumsum(size) - size, size
         self.held += total
-
-    def settle(self) -> None:
-        """Encode the pre-tokens met since the last call."""
-        if self.new:
-            self._store(self.encode(self.new), [dict.__getitem__(self, x) for x in self.new])
-            self.new = []
+        return numbers
 
     def numbers(self, texts: list[str], single: bool, otherwise: Callable[[int], list[int]], skip: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all texts in a row, a 0 after each text, and the texts' ends in them. Texts in skip get the ids that otherwise() gives."""
@@ -232,24 +214,31 @@ class Memo(dict):
         filled = np.flatnonzero(size)
         start, stop, row, key = pre_tokens(joined, at[filled], single)
         row = filled[row] if len(row) else row
-        _, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-        number = self.__getitem__
-        named = np.fromiter((number(joined[a:b]) for a, b in zip(start[where].tolist(), stop[where].tolist(), strict=True)), np.int64, len(where))
-        count = np.bincount(row, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
+        key, where, inverse = np.unique(key, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, key)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == key[known]
+        named = np.zeros(len(key), np.int64)
+        named[known] = self.number[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            named[new] = self._store(self.encode([joined[a:b] for a, b in zip(start[where[new]].tolist(), stop[where[new]].tolist(), strict=True)]))
+            self.keys = np.insert(self.keys, place[new], key[new])
+            self.number = np.insert(self.number, place[new], named[new])
+        own = np.bincount(row, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
+        count = own.copy()
         count[skip] = 1
         ends = np.cumsum(count + 1)
         flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
-        first = np.cumsum(np.bincount(row, minlength=len(texts))) - np.bincount(row, minlength=len(texts)) if len(row) else None
         if len(row):
-            flat[(ends - count - 1)[row] + np.arange(len(row)) - first[row]] = named[inverse]
-        for i in skip:
-            flat[ends[i] - 2] = self.own(otherwise(i))
-        self.settle()
+            flat[(ends - count - 1)[row] + np.arange(len(row)) - (np.cumsum(own) - own)[row]] = named[inverse]
+        if skip:
+            flat[ends[skip] - 2] = self._store([otherwise(i) for i in skip])  # no later text looks these up
         return flat, ends
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the numbers in a row, and how many each gave."""
-        size = self.length[numbers]
+        size = self.length[numbers].astype(np.int64)
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         return self.flat[np.repeat(self.start[numbers] - (ends - size), size) + np.arange(total)], size
@@ -318,7 +307,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, keep: list[str], path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(path, end)
         for batch in batches:
-            for part in slices(batch, "att_text"):
+            for part in slices(batch, "att_text", TEXT_SLICE):
                 ids, offsets = to_ids(part.column("att_text").to_pylist())
                 kept = [part.column(x) for x in ("doc_id", *keep)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(offsets)), id_bytes(ids, offsets, width)], ["doc_id", *keep, "n_tokens", "ids"])
