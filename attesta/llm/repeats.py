@@ -52,7 +52,7 @@ from pyspark.sql.types import StructType
 from .common import Prefixes, carried, forget, mix, named, raw, read, restored, slices, written
 
 DEPTH, GRAM, BLOCKS, SEGMENT = 200, 50, (32, 6, 1), 1 << 21
-LIMIT, CHUNK = 4096, 1 << 14  # classes of a bucket that one task sorts, and classes it holds at a time
+LIMIT, CHUNK = 512, 1 << 14  # classes of a bucket that one task sorts, and classes it holds at a time
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
