@@ -17,7 +17,7 @@ from attesta.scratch import forget, shared_folder, stage
 
 __all__ = ["Prefixes", "bounded", "carried", "forget", "free", "mix", "named", "powers", "raw", "read", "restored", "runs_of", "shared_folder", "slices", "words", "written"]
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 BATCH_ROWS = 2000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -52,7 +52,7 @@ from pyspark.sql.types import StructType
 from .common import Prefixes, carried, forget, mix, named, raw, read, restored, slices, written
 
 DEPTH, GRAM, BLOCKS, SEGMENT = 200, 50, (32, 6, 1), 1 << 21
-LIMIT, CHUNK = 512, 1 << 14  # classes of a bucket that one task sorts, and classes it holds at a time
+LIMIT, CHUNK, SALTS = 512, 1 << 14, 32  # classes of a bucket that one task sorts, classes it holds at a time, and tasks that share a hot key
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -259,6 +259,12 @@ def _sorted(rows: DataFrame, depth: int) -> DataFrame:
     return written(dealt.mapInArrow(_sorter(depth), "g bigint, span bigint, b int, size int"), "sorted")
 
 
+def _salted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with keys, the rows of one key dealt to SALTS tasks by their span. keys are hot ones: each is sent so often."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("span"), F.lit(SALTS)).cast("int"))
+    return salted.join(keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "salt"]).drop("salt")
+
+
 def repeated_ranges(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """(node, ranges): the byte ranges of each distinct text that repeated windows cover. texts: (id, node, text), a row for each occurrence."""
     if not 0 < gram < depth:
@@ -295,11 +301,11 @@ def repeated_ranges(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
         split = written(blocks(many, size), "split")
         if size == 1:
             last = split.groupBy("g", "b", "bytes").agg(F.count("*").alias("c")).filter("c > 1").select("g", "b", "bytes")
-            found.append(written(split.join(last, ["g", "b", "bytes"]).select("g", "span", "b", F.lit(1).alias("size")), "sorted"))
+            found.append(written(_salted(split, last, ["g", "b", "bytes"]).select("g", "span", "b", F.lit(1).alias("size")), "sorted"))
         else:
             counts = written(split.groupBy("g", "b", "core").agg(F.count("*").alias("c")).filter("c > 1"), "counts")
             found.append(_sorted(split.join(counts.filter(F.col("c") <= LIMIT), ["g", "b", "core"]), depth))
-            more = split.join(counts.filter(F.col("c") > LIMIT), ["g", "b", "core"]).select("g", "span", "b", F.lit(size).alias("size"))
+            more = _salted(split, counts.filter(F.col("c") > LIMIT), ["g", "b", "core"]).select("g", "span", "b", F.lit(size).alias("size"))
             runs = todo.select("g", "span", "node", "place", "near", "far")
             many = written(more.join(runs, ["g", "span"]), "many")
             forget(counts)
