@@ -1,13 +1,14 @@
 """Text expressions: Unicode folding, white space, lines, ordering of strings, names and locators.
 
-Everything is a Column expression that stays in the JVM, but for `nfkc`, `casefold`
-and `fold_marks`: Spark has no Unicode normal forms and no case folding, so these
-three are Arrow-batched UDFs.
+Everything is a Column expression that stays in the JVM, but for Unicode folding: Spark
+has no Unicode normal forms and no case folding, so these are Arrow-batched UDFs. Plain
+ASCII folds in the JVM; its rows go through the UDFs as nulls.
 """
 
 from __future__ import annotations
 
 import mimetypes
+import re
 import unicodedata
 
 import pandas as pd
@@ -31,22 +32,40 @@ SUFFIX_TYPES = {
 }
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+PLAIN = r"^[\x00-\x1b\x20-\x7f]*$"  # white space that Java and Python agree on
 
 
 @F.pandas_udf(StringType())
-def casefold(s: pd.Series) -> pd.Series:
+def _casefold(s: pd.Series) -> pd.Series:
     return s.map(str.casefold, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
-def fold_marks(s: pd.Series) -> pd.Series:
-    """NFKD without combining marks, case-folded."""
+def _fold_marks(s: pd.Series) -> pd.Series:
     return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).casefold(), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def _normalized(s: pd.Series) -> pd.Series:
+    joined = re.compile(r"(?<=\w)-\s*\n\s*(?=\w)").sub
+    return s.map(lambda x: " ".join(joined("", unicodedata.normalize("NFKC", x)).split()).casefold(), na_action="ignore")
+
+
+def _folded(x: Column, plain: Column, udf) -> Column:
+    """plain for ASCII texts, what the UDF gives for all others."""
+    ascii_ = x.rlike(PLAIN)
+    return F.when(ascii_, plain).otherwise(udf(F.when(~ascii_, x)))
+
+
+def casefold(x: Column | str) -> Column:
+    return _folded(col(x), F.lower(col(x)), _casefold)
+
+
+def fold_marks(x: Column | str) -> Column:
+    """NFKD without combining marks, case-folded."""
+    return _folded(col(x), F.lower(col(x)), _fold_marks)
+
+
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -66,8 +85,9 @@ def join_hyphens(x: Column | str) -> Column:
 
 
 def normalize_text(x: Column | str) -> Column:
-    """NFKC, hyphenated line ends joined, white space collapsed, case folded."""
-    return casefold(clean(join_hyphens(nfkc(col(x)))))
+    """NFKC, hyphenated line ends joined, white space collapsed, case folded; null is empty."""
+    x = F.coalesce(col(x), F.lit(""))
+    return _folded(x, F.lower(clean(join_hyphens(x))), _normalized)
 
 
 def blank(x: Column | str) -> Column:
@@ -80,6 +100,19 @@ def lines(x: Column | str) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
 
 
+def before(sizes: Column, chunk: int = 256) -> Column:
+    """For each item of an int array the sum of the items before it, by chunks, so that long arrays cost no square."""
+
+    def running(a: Column) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), empty_array("int").alias("out"))
+        step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))
+        return F.aggregate(a, start, step, lambda acc: acc["out"])
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / chunk).cast("int")), lambda i: F.slice(sizes, i * chunk + 1, chunk))
+    starts = running(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + x)))
+    return F.flatten(F.zip_with(parts, starts, lambda p, s: F.transform(running(p), lambda x: x + s)))
+
+
 def unique(a: Column | str) -> Column:
     """Distinct and non-empty, in first order."""
     return F.array_distinct(F.filter(col(a), lambda x: x.isNotNull() & (x != "")))

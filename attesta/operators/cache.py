@@ -1,18 +1,20 @@
 """Incremental text cache: blocks of extracted sources, reused while source and content hash are the same.
 
-The cache is a table of block rows (CACHE), kept as JSON lines partitioned by a safe
-file name of the source. Only sources without a valid, equal entry are extracted
-again; a dynamic partition overwrite replaces just those.
+The cache is a table of block rows (CACHE) with the safe file name of their source,
+kept as JSON lines in BUCKETS folders by the hash of that name, so a corpus of millions
+of sources is a few hundred folders. Only sources without a valid, equal entry are
+extracted again; a dynamic partition overwrite replaces just the buckets they are in.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions import text as X
+from attesta.scratch import exists, forget, stage
 
-VERSION = "3"
+VERSION, BUCKETS = "3", 256
 CACHE = (
     "block_count int, cache_schema_version string, document_hash string, document_id string, source_id string, extraction_method string, extraction_status string, "
     "text_quality string, record_type string, block_index int, block_id string, text_original string, text_normalized string, locator_type string, locator_value string"
@@ -60,12 +62,35 @@ def misses(current: DataFrame, valid: DataFrame, force: bool = False) -> DataFra
     return current if force else current.join(valid.filter("valid").select("source_id", F.col("document_hash").alias("sha256")), ["source_id", "sha256"], "left_anti")
 
 
+def _bucket(file: Column | str) -> Column:
+    return F.pmod(F.xxhash64(file), F.lit(BUCKETS)).cast("int")
+
+
+def place(folder: str, file: Column) -> Column:
+    """Where the entry of a source is: its bucket and its name in it."""
+    return F.concat(F.lit(f"{folder}/bucket="), _bucket(file).cast("string"), F.lit("#"), file)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The cache table with `file`; lines that aren't JSON objects give rows of nulls, which validity() refuses."""
-    return spark.read.schema(CACHE + ", file string").option("mode", "PERMISSIVE").json(path)
+    """The cache table with `file`, empty where there is none yet. A broken line gives a row of nulls, so its entry has a line too few."""
+    schema = CACHE + ", file string"
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema + ", bucket int").option("mode", "PERMISSIVE").json(path).drop("bucket")
 
 
 def write(rows: DataFrame, path: str) -> None:
     """Replace the entries (by `file`) that rows have and leave all others."""
-    out = rows.repartition("file").sortWithinPartitions("file", "block_index")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").json(path)
+    spark = rows.sparkSession
+    fresh = stage(rows.withColumn("bucket", _bucket("file")), "fresh")
+    if exists(spark, path):
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS at most
+        held = spark.read.schema(CACHE + ", file string, bucket int").json(path).filter(F.col("bucket").isin(touched) & F.col("file").isNotNull())
+        kept = held.join(fresh.select("file").distinct(), "file", "left_anti").select(fresh.columns)
+        whole = stage(fresh.union(kept), "whole")
+        forget(fresh)
+    else:
+        whole = fresh
+    out = whole.repartition("bucket").sortWithinPartitions("bucket", "file", "block_index")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(path)
+    forget(whole)

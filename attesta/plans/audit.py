@@ -12,6 +12,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
@@ -26,6 +27,7 @@ from attesta.operators import manifest as M
 from attesta.operators.mapping import coalesce_sources
 from attesta.sources import bibliography as B
 from attesta.sources import documents as D
+from attesta.sources import live
 from attesta.sources import manifest_csv as V
 
 from .tables import stage
@@ -44,9 +46,13 @@ class Request:
     output: str | None = None
     force: bool = False
     fail_on_missing: bool = False
-    live: DataFrame | None = None
-    """(key, status, candidates) of a look-up in a reference manager, or None."""
-    live_sources: DataFrame | None = None
+    live: bool = False
+    """Whether the citation keys of the targets are looked up in a reference manager."""
+    require_live: bool = False
+    fetch: live.Fetch | None = None
+    """What asks the reference manager; its local service if None."""
+    readers: Mapping[str, D.Reader] | None = None
+    """Readers by suffix, beside the known ones."""
 
 
 @dataclass
@@ -74,11 +80,11 @@ def targets(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
     return out
 
 
-def corpus(spark: SparkSession, request: Request) -> tuple[DataFrame, DataFrame | None]:
-    """All source records, and the imported manifest rows."""
+def corpus(spark: SparkSession, request: Request, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """All source records, and the imported manifest rows. answers: of a look-up in a reference manager."""
     parts, imported = [spark.createDataFrame([], I.SOURCE)], []
     if request.sources:
-        found = D.requested(spark, request.sources, request.cache_dir).select("path")
+        found = D.requested(spark, request.sources, request.cache_dir)
         stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
         raw = found.select(
             F.array(stem).alias("aliases"), F.lit("").alias("title"), X.empty_array().alias("authors"), X.empty_array("boolean").alias("protected"), F.lit(None).cast("int").alias("year"),
@@ -91,29 +97,26 @@ def corpus(spark: SparkSession, request: Request) -> tuple[DataFrame, DataFrame
         rows = stage(V.read(spark, path, str(Path(path).resolve().parent)), "rows")
         imported.append(rows)
         parts.append(V.sources_of(rows))
-    if request.live_sources is not None:
-        parts.append(request.live_sources)
+    if answers is not None:
+        parts.append(live.source_records(answers))
     rows = stage(M.coalesce_imported(reduce(DataFrame.unionByName, imported)), "imported") if imported else None
     return stage(reduce(DataFrame.unionByName, parts), "sources"), rows
 
 
-def cache_sources(spark: SparkSession, sources: DataFrame, cache_dir: str, force: bool) -> tuple[DataFrame, DataFrame]:
-    """Artifacts, and cache results, of all coalesced sources; only what the cache lacks is extracted and written."""
+def cache_sources(spark: SparkSession, sources: DataFrame, cache_dir: str, force: bool, readers: Mapping[str, D.Reader] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Artifacts, and cache results, of all coalesced sources; only what the cache lacks is extracted and written. readers: by suffix, beside the known ones."""
     merged = stage(coalesce_sources(sources), "coalesced")
     wanted = merged.select("source_id", F.posexplode("local_files").alias("turn", "path"))
-    listed = [r["path"] for r in wanted.select("path").distinct().toLocalIterator()]  # the paths that the corpus names
-    there = D.requested(spark, listed) if listed else spark.createDataFrame([], "path string, sha256 string, media_type string, length bigint, content binary")
-    held = Path(cache_dir, "entries")
-    cached = K.read(spark, str(held)) if held.exists() else spark.createDataFrame([], K.CACHE + ", file string")
-    current = stage(wanted.join(there.drop("content"), "path", "left").withColumn("file", X.cache_name("source_id", "path")), "current")
-    planned = stage(K.plan(current.filter("sha256 is not null"), K.validity(cached), force), "planned")
+    there = stage(D.opened(wanted.select("path"), content=False), "there")
+    held = f"{cache_dir.rstrip('/')}/entries"
+    current = stage(wanted.join(there, "path", "left").withColumn("file", X.cache_name("source_id", "path")), "current")
+    planned = stage(K.plan(current.filter("sha256 is not null"), K.validity(K.read(spark, held)), force), "planned")
     fresh = planned.filter("not reused")
-    wish = fresh.select("path").distinct()
-    parsed = D.extract(there.join(wish, "path", "left_semi").select("path", "sha256", "media_type", "content"), "source")
+    parsed = D.extract(D.opened(fresh.select("path")).filter("sha256 is not null").select("path", "sha256", "media_type", "content"), "source", readers)
     done = stage(fresh.select("source_id", "turn", "file", "path").join(parsed, "path"), "parsed")
     good = done.filter(~F.col("extraction_status").startswith("error:"))
     if not good.isEmpty():
-        K.write(K.records(good, "file"), str(held))
+        K.write(K.records(good, "file"), held)
     old = planned.filter("reused").select("source_id", "turn", "path", "sha256", "media_type", F.col("old_status").alias("extraction_status"), F.col("old_quality").alias("text_quality"), F.lit(True).alias("reused"))
     new = done.select("source_id", "turn", "path", "sha256", "media_type", "extraction_status", "text_quality", F.lit(False).alias("reused"))
     lost = current.filter("sha256 is null").select("source_id", "turn", "path", F.lit("").alias("sha256"), X.media_type("path").alias("media_type"), F.lit("missing").alias("extraction_status"), F.lit("unknown").alias("text_quality"), F.lit(False).alias("reused"))
@@ -124,20 +127,24 @@ def cache_sources(spark: SparkSession, sources: DataFrame, cache_dir: str, force
     text = lambda c, default="": F.coalesce(c, F.lit(default)).alias(c)
     artifacts = told.select(
         "source_id", text("source_path"), text("media_type"), F.coalesce("sha256", F.lit("")).alias("source_sha256"), text("extraction_status", "missing"), text("text_quality", "unknown"),
-        F.when(ok, F.concat(F.lit(f"{held}/"), X.cache_name("source_id", "source_path"))).otherwise(F.lit("")).alias("cache_path"), F.concat("own", F.coalesce("conflicts", X.empty_array())).alias("conflicts"),
+        F.when(ok, K.place(held, X.cache_name("source_id", "source_path"))).otherwise(F.lit("")).alias("cache_path"), F.concat("own", F.coalesce("conflicts", X.empty_array())).alias("conflicts"),
     )
     return stage(artifacts, "artifacts"), chosen.select("source_id", "extraction_status", "text_quality", "reused")
 
 
 def run(spark: SparkSession, request: Request) -> Outcome:
     found = targets(spark, request.targets)
-    sources, imported = corpus(spark, request)
-    artifacts, cached = cache_sources(spark, sources, request.cache_dir, request.force)
+    answers = None
+    if request.live:
+        keys = found["mentions"].select(F.explode("citation_keys").alias("key")).distinct()
+        answers = stage(live.look_up(keys, request.fetch, request.require_live), "answers")
+    sources, imported = corpus(spark, request, answers)
+    artifacts, cached = cache_sources(spark, sources, request.cache_dir, request.force, request.readers)
     rows = stage(M.build(found["mentions"], sources, artifacts), "manifest")
     if imported is not None:
         rows = stage(M.merge(imported, rows, stage(M.resolutions(found["mentions"], sources), "now")), "merged")
-    if request.live is not None:
-        rows = stage(M.live_refresh(rows, request.live), "live")
+    if answers is not None:
+        rows = stage(M.live_refresh(rows, answers.select("key", "status", "candidates")), "live")
     if request.output:
         V.write(M.in_order(rows), request.output)
     total = M.summary(rows, cached)
@@ -155,11 +162,15 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--output")
     parser.add_argument("--force", action="store_true")
     parser.add_argument("--fail-on-missing", action="store_true")
+    parser.add_argument("--zotero-live", action="store_true")
+    parser.add_argument("--require-zotero", action="store_true")
     a = parser.parse_args(argv)
+    if a.require_zotero and not a.zotero_live:
+        parser.error("--require-zotero needs --zotero-live")
     if a.command == "manifest" and not a.target:
         parser.error("manifest needs a target")
     spark = SparkSession.builder.appName("attesta").getOrCreate()
-    done = run(spark, Request(str(Path(a.cache_dir).resolve()), a.target, a.source, a.bibliography, a.manifest, a.output, a.force, a.fail_on_missing))
+    done = run(spark, Request(str(Path(a.cache_dir).resolve()), a.target, a.source, a.bibliography, a.manifest, a.output, a.force, a.fail_on_missing, a.zotero_live, a.require_zotero))
     print(json.dumps(done.summary | {"target_diagnostics": done.diagnostics, "target_unusable": len(done.diagnostics)}, sort_keys=True))
     return done.code
 

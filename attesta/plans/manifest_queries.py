@@ -1,12 +1,16 @@
 """Mapping, manifest, merge, cache and bibliography queries, with the SQL that says the same.
 
-At scale a part is a source, an order is a target document and a line item is a
-citation of its part's key. Every tenth part is missing from the sources, and each
-fiftieth part's key is also the alias of a second source, so it is ambiguous.
+At scale a part is a source, an order is a target document and a line item cites its
+part's key and its supplier's. No source has a supplier's key, so those are not found;
+a supplier is a source too, under the key of the part of its number, which so is
+ambiguous.
 """
 
 from __future__ import annotations
 
+import urllib.error
+import urllib.parse
+
 from pyspark.sql import functions as F
 
 from attesta.functions import text as X
@@ -15,6 +19,7 @@ from attesta.operators import manifest as M
 from attesta.operators import mapping as P
 from attesta.operators import reports as R
 from attesta.sources import bibliography as B
+from attesta.sources import live
 from attesta.sources import manifest_csv as V
 
 from .tables import read, values
@@ -48,18 +53,24 @@ LIVE = [(i * 4, s, c) for i, (s, c) in enumerate([("enriched", []), ("attachment
 
 
 def _sources(spark, sf_dir):
-    part = read(spark, sf_dir, "part").filter("p_partkey % 10 <> 0").withColumn("key", F.col("p_partkey").cast("string"))
-    fields = [F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.col("p_size").alias("year"), F.lit("").alias("doi"), F.lit("").alias("url")]
-    own = part.select(F.concat(F.lit("part:"), "key").alias("source_id"), F.array("key").alias("aliases"), *fields, F.array(F.concat(F.lit("/p/"), "key")).alias("local_files"), F.lit("part").alias("provider"))
-    other = part.filter("p_partkey % 50 = 1").select(F.concat(F.lit("alt:"), "key").alias("source_id"), F.array("key").alias("aliases"), *fields, X.empty_array().alias("local_files"), F.lit("alt").alias("provider"))
-    return own.union(other)
+    part, supplier = read(spark, sf_dir, "part"), read(spark, sf_dir, "supplier")
+
+    def records(of, prefix, number, title, authors, year, files):
+        key = F.col(number).cast("string")
+        return of.select(
+            F.concat(F.lit(prefix + ":"), key).alias("source_id"), F.array(key).alias("aliases"), F.col(title).alias("title"), authors.alias("authors"), F.col(year).cast("int").alias("year"),
+            F.lit("").alias("doi"), F.lit("").alias("url"), files(key).alias("local_files"), F.lit(prefix).alias("provider"),
+        )
+
+    own = records(part, "part", "p_partkey", "p_name", F.array("p_brand"), "p_size", lambda k: F.array(F.concat(F.lit("/p/"), k)))
+    return own.union(records(supplier, "alt", "s_suppkey", "s_name", X.empty_array(), "s_nationkey", lambda k: X.empty_array()))
 
 
 def _mentions(spark, sf_dir):
     line = read(spark, sf_dir, "lineitem")
     return line.select(
-        F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("path"), F.array(F.col("l_partkey").cast("string")).alias("citation_keys"), F.lit("").alias("raw_text"),
-        F.lit("line").alias("locator_type"), F.col("l_linenumber").cast("string").alias("locator_value"),
+        F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("path"), F.array(F.col("l_partkey").cast("string"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("citation_keys"),
+        F.lit("").alias("raw_text"), F.lit("line").alias("locator_type"), F.col("l_linenumber").cast("string").alias("locator_value"),
     )
 
 
@@ -77,7 +88,7 @@ def map_cascade(spark, sf_dir):
 
 
 def map_citations(spark, sf_dir):
-    keys = _mentions(spark, sf_dir).select(F.get("citation_keys", 0).alias("request_id")).distinct()
+    keys = _mentions(spark, sf_dir).select(F.explode("citation_keys").alias("request_id")).distinct()
     return P.map_identifiers(keys, _sources(spark, sf_dir)).select("request_id", "status", "rule", F.array_join("source_ids", "|").alias("source_ids"))
 
 
@@ -205,6 +216,58 @@ def attachment_choice(spark, sf_dir):
     return M.pick_attachment(attempts).select("source_id", "source_path", "extraction_status", F.array_join("conflicts", "|").alias("conflicts"))
 
 
+def current_resolutions(spark, sf_dir):
+    """What the citations resolve to now, by key."""
+    found = M.resolutions(_mentions(spark, sf_dir), _sources(spark, sf_dir))
+    return found.select("key", "now")
+
+
+def path_rows(spark, sf_dir):
+    """Manifest rows that have a key and a path but no id, as an older tool left them: read back with the id of their record."""
+    part = read(spark, sf_dir, "part")
+    raw = part.select(F.concat(F.lit(" k"), F.col("p_partkey").cast("string"), F.lit(" ")).alias("bibliography_key"), F.col("p_name").alias("title"), F.to_json(F.array("p_brand")).alias("authors"), F.col("p_size").cast("string").alias("year"), F.concat(F.lit("lib/../"), F.col("p_partkey").cast("string")).alias("canonical_pdf_path"))
+    return V.parse(raw, "/base").select("source_id", "bibliography_key", F.array_join("aliases", "|").alias("aliases"), "source_path", "mapping_status", "mapping_rule")
+
+
+def live_authors(spark, sf_dir):
+    """Authors of items whose creators are a customer and the nation's, in the roles that count and in one that does not."""
+    who = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    person = lambda role, name, first, last: F.struct(role.alias("creatorType"), name.alias("name"), first.alias("firstName"), last.alias("lastName"))
+    none = F.lit(None).cast("string")
+    creators = F.array(
+        person(F.lit("author"), F.col("c_name"), F.lit("not"), F.lit("used")), person(F.when(F.col("c_custkey") % 2 == 0, "bookAuthor").otherwise("editor"), F.lit(""), F.col("n_name"), F.lit("Office")),
+        person(F.lit("author"), none, F.lit(""), F.col("c_mktsegment")), person(F.lit("author"), none, none, none),
+    )
+    return who.select("c_custkey", F.array_join(live.creator_authors(creators), "|").alias("authors"))
+
+
+def extra_keys(spark, sf_dir):
+    """The citation key in an item's extra field, where there is a line for it."""
+    key = F.col("p_partkey").cast("string")
+    extra = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Pages: 9\n  citation KEY : k"), key, F.lit("  \nx"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("Citation Key: two words "), key))
+    return read(spark, sf_dir, "part").select("p_partkey", live.extra_key(extra).alias("key"))
+
+
+def _made_up_service(route):
+    """A service that holds, for the key kN, N % 3 items, the second of an older style; keys that 7 divides fail."""
+    parts = urllib.parse.urlsplit(route)
+    query = urllib.parse.parse_qs(parts.query)
+    if "q" not in query:
+        return []
+    n = int(query["q"][0][1:])
+    if n % 7 == 0:
+        raise urllib.error.HTTPError(route, 404 if n % 2 else 503, "", None, None)
+    items = [{"data": {"key": f"A{n}", "citationKey": f"k{n}", "title": f"Item {n}", "DOI": f"10.1000/{n}", "date": "May 1987"}}, {"key": f"B{n}", "extra": f"note\nCitation Key: k{n}"}, {"key": "C", "citationKey": f"k{n}0"}]
+    return items[: n % 3] + items[2:]
+
+
+def live_lookup(spark, sf_dir):
+    """Every part's key looked up in a made-up service."""
+    keys = read(spark, sf_dir, "part").select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("key"))
+    answers = live.look_up(keys, _made_up_service)
+    return answers.select("key", "status", F.array_join("candidates", "|").alias("candidates"), F.coalesce("title", F.lit("")).alias("title"), F.array_join(F.coalesce("aliases", X.empty_array()), "|").alias("aliases"))
+
+
 def _cache(spark, sf_dir):
     """Documents as cache files of a row a line; some lack a row, some doubled a block, some have another version."""
     docs = read(spark, sf_dir, "documents")
@@ -252,9 +315,9 @@ def bibtex_records(spark, sf_dir):
     return _told(found).join(found.select("source_id", F.array_join("local_files", "|").alias("files")), "source_id")
 
 
-_SRC = """WITH src AS (SELECT 'part:' || p_partkey AS sid, CAST(p_partkey AS VARCHAR) AS key, p_size, 'part' AS provider FROM part WHERE p_partkey % 10 <> 0
-UNION ALL SELECT 'alt:' || p_partkey, CAST(p_partkey AS VARCHAR), p_size, 'alt' FROM part WHERE p_partkey % 50 = 1),
-cit AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS key, 'order-' || l_orderkey AS file, 'line:' || l_linenumber AS loc FROM lineitem),
+_SRC = """WITH src AS (SELECT 'part:' || p_partkey AS sid, CAST(p_partkey AS VARCHAR) AS key, p_size, 'part' AS provider FROM part
+UNION ALL SELECT 'alt:' || s_suppkey, CAST(s_suppkey AS VARCHAR), s_nationkey, 'alt' FROM supplier),
+cit AS (SELECT DISTINCT unnest([CAST(l_partkey AS VARCHAR), 's' || l_suppkey]) AS key, 'order-' || l_orderkey AS file, 'line:' || l_linenumber AS loc FROM lineitem),
 idx AS (SELECT key, count(*) AS n FROM cit GROUP BY key),
 mp AS (SELECT idx.key, n, count(sid) AS c, coalesce(string_agg(sid, '|' ORDER BY sid), '') AS ids FROM idx LEFT JOIN src USING (key) GROUP BY idx.key, n),
 st AS (SELECT *, CASE c WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE c WHEN 0 THEN 'none' ELSE 'identifier' END AS rule FROM mp),
@@ -309,6 +372,12 @@ SELECT sid AS source_id, bk AS bibliography_key, path AS source_path, aliases, C
 CASE WHEN len(paths) > 0 AND NOT keyed THEN 'explicit-corpus' ELSE (['resolved', 'ambiguous', 'unresolved', 'not-applicable'])[s + 1] END AS mapping_rule, CASE WHEN len(paths) > 1 THEN 'source_path: ' || array_to_string(paths, ' <> ') ELSE '' END AS conflicts FROM g""",
     "live_refresh": _LIVE,
     "live_status": "SELECT key, CASE WHEN len(l) = 1 THEN 'enriched' ELSE 'ambiguous' END AS status, CASE WHEN len(l) > 1 THEN array_to_string(l, '|') ELSE '' END AS candidates FROM (SELECT CAST(s_suppkey % 60 AS VARCHAR) AS key, list_sort(list_distinct(list('I' || s_suppkey))) AS l FROM supplier GROUP BY 1)",
+    "current_resolutions": f"{_SRC} SELECT key, ids AS now FROM st WHERE c = 1",
+    "path_rows": """SELECT 'source:' || sha256(lower(p_name) || chr(31) || p_brand || chr(31) || p_size) AS source_id, 'k' || p_partkey AS bibliography_key, 'k' || p_partkey AS aliases, '/base/' || p_partkey AS source_path, 'not-applicable' AS mapping_status, 'explicit-corpus' AS mapping_rule FROM part""",
+    "live_authors": "SELECT c_custkey, c_name || CASE WHEN c_custkey % 2 = 0 THEN '|' || n_name || ' Office' ELSE '' END || '|' || c_mktsegment AS authors FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "extra_keys": "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'k' || p_partkey ELSE '' END AS key FROM part",
+    "live_lookup": """SELECT 'k' || p_partkey AS key, s AS status, CASE WHEN s = 'ambiguous' THEN 'A' || p_partkey || '|B' || p_partkey ELSE '' END AS candidates, CASE WHEN s = 'enriched' THEN 'Item ' || p_partkey ELSE '' END AS title, CASE WHEN s = 'enriched' THEN 'k' || p_partkey || '|A' || p_partkey ELSE '' END AS aliases
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN CASE WHEN p_partkey % 2 = 1 THEN 'not_found' ELSE 'error:http_503' END ELSE (['not_found', 'enriched', 'ambiguous'])[p_partkey % 3 + 1] END AS s FROM part)""",
     "newest_attachments": "SELECT l_orderkey AS item_key, arg_max('/f/' || l_linenumber, (l_shipdate, l_linenumber)) AS path FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 10 GROUP BY 1",
     "attachment_choice": """WITH a AS (SELECT l_orderkey AS sid, l_linenumber AS t, CASE l_partkey % 3 WHEN 0 THEN 'extracted' WHEN 1 THEN 'missing' ELSE 'error:ValueError' END AS st, l_partkey % 3 = 0 AND l_suppkey % 5 <> 0 AS ok FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2)),
 b AS (SELECT *, min(CASE WHEN ok THEN t END) OVER (PARTITION BY sid) AS stop, min(t) OVER (PARTITION BY sid) AS first FROM a), c AS (SELECT * FROM b WHERE stop IS NULL OR t <= stop)

@@ -17,10 +17,11 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return docs, S.word_counts(docs, "doc_id", "text"), matches
 
 
-def _adjust(words: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Exclusions of the sample: the first ten words of even documents, and every relation to each seventh source."""
-    spans = words.filter("doc % 2 = 0 and n_words >= 10").select("doc", F.lit(1).alias("first"), F.lit(10).alias("last"))
-    return S.exclude_words(spans, words, matches.filter("source % 7 <> 0"))
+def _adjusted(words: DataFrame, matches: DataFrame) -> DataFrame:
+    """Raw and adjusted similarity. Gone are the first ten words of even documents, and every relation to each seventh source."""
+    gone = words.withColumns({"first": F.lit(1), "last": F.when((F.col("doc") % 2 == 0) & (F.col("n_words") >= 10), 10).otherwise(0)}).select("doc", "first", "last")
+    fewer, marked = S.exclude_words(gone, words, matches.withColumn("adjusted", F.col("source") % 7 != 0))
+    return S.overall_where(marked, fewer, adjusted="adjusted_words")
 
 
 def _types(matches: DataFrame) -> DataFrame:
@@ -52,9 +53,7 @@ def sim_match_type(spark, sf_dir):
 
 def sim_raw_adjusted(spark, sf_dir):
     _, words, matches = _parts(spark, sf_dir)
-    fewer, kept = _adjust(words, matches)
-    adjusted = S.overall(kept, fewer).select("doc", F.col("n_words").alias("adjusted_words"), F.col("matched").alias("adjusted_matched"), F.col("similarity").alias("adjusted"))
-    return S.overall(matches, words).join(adjusted, "doc")
+    return _adjusted(words, matches)
 
 
 def sim_passages(spark, sf_dir):
@@ -79,20 +78,30 @@ def sim_coverage(spark, sf_dir):
 
 def sim_scorecard(spark, sf_dir):
     _, words, matches = _parts(spark, sf_dir)
-    fewer, kept = _adjust(words, matches)
-    return S.scorecard(S.overall(matches, words), S.overall(kept, fewer), S.corpus_coverage(_expected(spark, sf_dir)))
+    return S.scorecard(_adjusted(words, matches), S.corpus_coverage(_expected(spark, sf_dir)))
+
+
+def _judged(matches: DataFrame) -> DataFrame:
+    """Whether someone verified a match: a judgement of the sample, by target and source."""
+    return matches.withColumn("verified", (F.col("doc") + F.col("source")) % 3 != 0)
 
 
 def sim_unverified(spark, sf_dir):
-    """Candidates that no one verified: out of every measure, listed by target and source."""
-    left_out = _parts(spark, sf_dir)[2].filter("source % 10 = 0")
-    return _passages(left_out).groupBy("doc", "source").agg(F.count("*").alias("n_candidates"), F.sum("n_words").alias("n_words"))
+    """Candidates by whether they were verified; those that were not are out of every measure and are listed by target and source."""
+    found = S.passages(_judged(_parts(spark, sf_dir)[2]), ["doc", "block", "source", "verified"])
+    return found.groupBy("doc", "source", "verified").agg(F.count("*").alias("n_candidates"), F.sum("n_words").alias("n_words"))
 
 
 def sim_verified(spark, sf_dir):
-    """Overall similarity of verified matches alone."""
+    """Overall similarity of verified matches beside that of all."""
     _, words, matches = _parts(spark, sf_dir)
-    return S.overall(matches.filter("source % 10 <> 0"), words)
+    return S.overall_where(_judged(matches), words, verified="n_words")
+
+
+def sim_evidence(spark, sf_dir):
+    """Every passage with the lines it stands in."""
+    docs, sources = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return S.evidence(S.spans(S.shingles(docs, "doc_id", "text"), S.shingles(sources, "item_id", "text")), docs, sources)
 
 
 def sim_inaccessible(spark, sf_dir):
@@ -138,7 +147,14 @@ _COVERAGE = "SELECT count(*) AS expected, CAST(sum(CASE WHEN item_id % 5 <> 0 TH
 
 SQL = {
     "sim_overall": f"{_BASE} {_OVERALL.format(m='m')}",
-    "sim_verified": f"{_BASE} {_OVERALL.format(m='(SELECT * FROM m WHERE source % 10 <> 0)')}",
+    "sim_verified": f"""{_BASE} SELECT w.doc, n_words, coalesce(c, 0) AS matched, round(100.0 * coalesce(c, 0) / nullif(n_words, 0), 4) AS similarity, n_words AS verified_words, coalesce(v, 0) AS verified_matched,
+round(100.0 * coalesce(v, 0) / nullif(n_words, 0), 4) AS verified FROM w LEFT JOIN (SELECT doc, count(DISTINCT pos) AS c, count(DISTINCT CASE WHEN (doc + source) % 3 <> 0 THEN pos END) AS v FROM m GROUP BY doc) h USING (doc)""",
+    "sim_evidence": f"""{_BASE}, tl AS (SELECT doc_id AS doc, generate_subscripts(l, 1) AS block, unnest(l) AS target_text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+sl AS (SELECT item_id AS source, generate_subscripts(l, 1) AS source_block, unnest(l) AS source_text FROM (SELECT item_id, string_split(coalesce(text, ''), chr(10)) AS l FROM benchmark)),
+mb AS (SELECT DISTINCT d.doc, d.block, CAST(d.pos + k AS BIGINT) AS pos, s.doc AS source, s.block AS source_block, CAST(s.pos + k AS BIGINT) AS source_pos FROM ds d JOIN bs s USING (gram), (SELECT unnest([0, 1, 2, 3]) AS k)),
+ib AS (SELECT *, pos - source_pos AS shift, pos - row_number() OVER (PARTITION BY doc, block, source, source_block, pos - source_pos ORDER BY pos) AS island FROM mb),
+e AS (SELECT doc, block, source, source_block, min(pos) AS first, max(pos) AS last, min(source_pos) AS source_first FROM ib GROUP BY doc, block, source, source_block, shift, island)
+SELECT doc, block, source, source_block, first, last, source_first, 'line:' || block AS target_locator, 'line:' || source_block AS source_locator, target_text, source_text FROM e JOIN tl USING (doc, block) JOIN sl USING (source, source_block)""",
     "sim_per_source": f"{_BASE} SELECT doc, source, count(DISTINCT pos) AS matched, round(100.0 * count(DISTINCT pos) / nullif(any_value(n_words), 0), 4) AS similarity FROM m JOIN w USING (doc) GROUP BY doc, source",
     "sim_match_type": f"""{_BASE}, typed AS (SELECT doc, (['{"', '".join(S.MATCH_TYPES)}'])[source % 4 + 1] AS match_type, count(DISTINCT pos) AS c FROM m GROUP BY 1, 2)
 SELECT e.doc, e.match_type, coalesce(c, 0) AS matched FROM (SELECT doc, {_TYPES} AS match_type FROM w) e LEFT JOIN typed USING (doc, match_type)""",
@@ -154,7 +170,7 @@ SELECT doc, n_words, matched, CASE WHEN NOT nil THEN similarity END AS raw, adju
 CASE WHEN whole THEN 'Complete' ELSE 'Partial' END AS label, CASE WHEN whole THEN 'Overall similarity' ELSE 'Observed overall similarity' END AS metric,
 CASE WHEN nil THEN NULL WHEN similarity < 15 THEN 'Low' WHEN similarity <= 40 THEN 'Medium' ELSE 'High' END AS band,
 CASE WHEN n_words = 0 THEN 'stop' WHEN analyzed = 0 THEN 'diagnostic' WHEN whole THEN 'complete' ELSE 'partial' END AS route FROM j""",
-    "sim_unverified": f"{_BASE} SELECT doc, source, count(*) AS n_candidates, CAST(sum(n_words) AS BIGINT) AS n_words FROM passages WHERE source % 10 = 0 GROUP BY doc, source",
+    "sim_unverified": f"{_BASE} SELECT doc, source, (doc + source) % 3 <> 0 AS verified, count(*) AS n_candidates, CAST(sum(n_words) AS BIGINT) AS n_words FROM passages GROUP BY doc, source",
     "sim_inaccessible": "SELECT item_id AS source FROM benchmark WHERE item_id % 5 = 0",
     "sim_source_results": f"""{_BASE}, h AS (SELECT source, count(DISTINCT doc) AS n_targets, count(DISTINCT (doc, pos)) AS matched FROM m GROUP BY source)
 SELECT item_id AS source, coalesce(n_targets, 0) AS n_targets, coalesce(matched, 0) AS matched FROM benchmark LEFT JOIN h ON source = item_id WHERE item_id % 5 <> 0""",

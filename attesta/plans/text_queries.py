@@ -6,7 +6,13 @@ one definition for the query and its SQL.
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from attesta.functions import citations as C
 from attesta.functions import identity as I
@@ -73,6 +79,57 @@ def html_diagnostics(spark, sf_dir):
     return D.extract(files, "target").groupBy("extraction_status", "text_quality", "media_type").agg(F.count("*").alias("n"))
 
 
+def _markdown(spark, sf_dir):
+    """Every document as a Markdown file: front matter, a heading, its text, a fence that hides a citation, and one that shows."""
+    number = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("---\ntitle: T\n---\n## Doc "), number, F.lit(" {#d}\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n```\n@hidden\n```\nSee [@k"), number, F.lit("; @shared].\n"))
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("/docs/"), number, F.lit(".md")).alias("path"), F.encode(text, "UTF-8").alias("content"))
+    return D.tables(D.extract(docs.select("path", F.sha2("content", 256).alias("sha256"), X.media_type("path").alias("media_type"), "content"), "target"))
+
+
+def markdown_blocks(spark, sf_dir):
+    return _markdown(spark, sf_dir)["blocks"].select("path", "block_index", "block_id", "locator_value", "heading", F.md5("text_original").alias("digest"))
+
+
+def markdown_mentions(spark, sf_dir):
+    found = _markdown(spark, sf_dir)["mentions"]
+    return found.select("path", "raw_text", F.array_join("citation_keys", "|").alias("keys"), "locator_value", "mapping_status")
+
+
+def latex_blocks(spark, sf_dir):
+    """Every turn of a conversation as a TeX file under a section, with a comment and a citation over two lines after it."""
+    name = F.concat(F.lit("/tex/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(".tex"))
+    text = F.concat(F.lit("\\section*{"), F.col("role"), F.lit("}\n"), F.coalesce("text", F.lit("")), F.lit("\n% gone\n5\\% of \\citep[p.~1]\n{a, b}"))
+    files = read(spark, sf_dir, "conversations").select(name.alias("path"), F.encode(text, "UTF-8").alias("content"))
+    out = D.tables(D.extract(files.select("path", F.sha2("content", 256).alias("sha256"), X.media_type("path").alias("media_type"), "content"), "target"))
+    blocks = out["blocks"].groupBy("path", "heading").agg(F.count("*").alias("n"), F.max_by("text_original", "block_index").alias("last"), F.max("block_index").cast("bigint").alias("top"))
+    return blocks.join(out["mentions"].select("path", F.array_join("citation_keys", "|").alias("keys"), "locator_value"), "path")
+
+
+@F.pandas_udf(BinaryType())
+def _word_file(turns: pd.Series) -> pd.Series:
+    """A Word package with a heading and a paragraph for each turn."""
+
+    def of(texts) -> bytes:
+        out, space = io.BytesIO(), 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+        body = "".join(f"<w:p><w:r><w:t>{escape(t)}</w:t></w:r></w:p>" for t in texts)
+        with zipfile.ZipFile(out, "w") as package:
+            package.writestr("word/document.xml", f'<w:document {space}><w:body><w:p><w:pPr><w:pStyle w:val="h"/></w:pPr><w:r><w:t>Talk</w:t></w:r></w:p>{body}</w:body></w:document>')
+            package.writestr("word/styles.xml", f'<w:styles {space}><w:style w:styleId="h"><w:name w:val="Heading 1"/></w:style></w:styles>')
+        return out.getvalue()
+
+    return turns.map(of)
+
+
+def ooxml_blocks(spark, sf_dir):
+    """Every conversation as a Word file."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda t: t["text"])
+    talks = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    files = talks.select(F.concat(F.lit("/talks/"), F.col("conv_id").cast("string"), F.lit(".docx")).alias("path"), _word_file("turns").alias("content"))
+    out = D.tables(D.extract(files.select("path", F.lit("").alias("sha256"), X.media_type("path").alias("media_type"), "content"), "source"))
+    return out["blocks"].select("path", "block_id", "locator_type", "locator_value", "heading", F.md5("text_original").alias("digest"))
+
+
 def page_quality(spark, sf_dir):
     """Each line of a document taken as a page."""
     pages = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("page"))
@@ -144,11 +201,12 @@ def file_hashes(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), F.concat(F.lit("target-"), F.sha2(F.encode("text", "UTF-8"), 256)).alias("document_id"))
 
 
-# Claims are orders; a line item is a citation of its part, with a label drawn from its keys.
+# Claims are orders and, with numbers below zero, customers; a line item is a citation of its part, with a label drawn from its keys. No line item cites for a customer.
 def _claims(spark, sf_dir):
-    orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem").filter("l_orderkey % 4 <> 0")
+    orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
     cited = lines.select(F.col("l_orderkey").alias("claim_id")).distinct().withColumn("has", F.lit(True))
-    claims = orders.select(F.col("o_orderkey").alias("claim_id"), (F.col("o_orderkey") % 5 != 0).alias("eligible")).join(cited, "claim_id", "left")
+    claims = orders.select(F.col("o_orderkey").alias("claim_id")).union(read(spark, sf_dir, "customer").select(-F.col("c_custkey")))
+    claims = claims.withColumn("eligible", F.col("claim_id") % 5 != 0).join(cited, "claim_id", "left")
     label = F.get(F.array(*map(F.lit, U.LABELS)), ((F.col("l_partkey") + F.col("l_suppkey") + F.col("l_orderkey")) % 5).cast("int"))
     citations = lines.select(F.col("l_orderkey").alias("claim_id"), F.col("l_partkey").alias("source_id"), F.col("l_linestatus").alias("function"), label.alias("label"))
     expected = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), (F.col("p_partkey") % 7 != 0).alias("readable"))
@@ -204,8 +262,8 @@ def _sql_norm(x: str) -> str:
 
 
 _LABEL = "(['" + "', '".join(U.LABELS) + "'])[(l_partkey + l_suppkey + l_orderkey) % 5 + 1]"
-_CLAIMS = f"""WITH cit0 AS (SELECT l_orderkey AS claim_id, l_partkey AS source_id, l_linestatus AS function, {_LABEL} AS label FROM lineitem WHERE l_orderkey % 4 <> 0),
-claims AS (SELECT o_orderkey AS claim_id, o_orderkey % 5 <> 0 AS eligible, o_orderkey IN (SELECT claim_id FROM cit0) AS has_citation FROM orders),
+_CLAIMS = f"""WITH cit0 AS (SELECT l_orderkey AS claim_id, l_partkey AS source_id, l_linestatus AS function, {_LABEL} AS label FROM lineitem),
+claims AS (SELECT claim_id, claim_id % 5 <> 0 AS eligible, claim_id IN (SELECT claim_id FROM cit0) AS has_citation FROM (SELECT o_orderkey AS claim_id FROM orders UNION ALL SELECT -c_custkey FROM customer)),
 cit AS (SELECT claim_id, source_id, function, min(label) AS label FROM cit0 GROUP BY ALL),
 expected AS (SELECT p_partkey AS source_id, p_partkey % 7 <> 0 AS readable FROM part),
 fl AS (SELECT claim_id, bool_or(label = 'contradicts') AS c, bool_or(label = 'full') AS f, bool_or(label = 'unverifiable') AS u FROM cit GROUP BY claim_id),
@@ -220,6 +278,20 @@ _LINE = r"SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM
 SQL = {
     "text_lines": rf"SELECT doc_id AS document_id, 'line-' || i AS block_id, CAST(i AS VARCHAR) AS locator_value, length(line) AS n_chars, md5(line) AS digest FROM ({_LINE}) WHERE regexp_matches(line, '\S')",
     "text_normalized": f"SELECT doc_id, md5({_sql_norm('text')}) AS digest FROM documents",
+    "markdown_blocks": rf"""WITH f AS (SELECT doc_id, '---' || chr(10) || 'title: T' || chr(10) || '---' || chr(10) || '## Doc' || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '~' || chr(10) || '~' || chr(10) || '~' || chr(10) || 'See [@k' || doc_id || '; @shared].' AS t FROM documents),
+l AS (SELECT doc_id, generate_subscripts(l, 1) AS i, len(l) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM f)),
+m AS (SELECT *, i <= 4 OR i BETWEEN n - 3 AND n - 1 OR NOT regexp_matches(line, '\S') AS gap FROM l),
+g AS (SELECT *, sum(CAST(gap AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM m),
+b AS (SELECT doc_id, min(i) AS lo, max(i) AS hi, string_agg(line, chr(10) ORDER BY i) AS t FROM g WHERE NOT gap GROUP BY doc_id, island)
+SELECT '/docs/' || doc_id || '.md' AS path, row_number() OVER (PARTITION BY doc_id ORDER BY lo) AS block_index, 'line-' || lo AS block_id, CASE WHEN lo = hi THEN '' || lo ELSE lo || '-' || hi END AS locator_value, 'Doc ' || doc_id AS heading, md5(t) AS digest FROM b""",
+    "markdown_mentions": rf"""WITH l AS (SELECT doc_id, generate_subscripts(l, 1) + 5 AS i, unnest(l) AS text FROM (SELECT doc_id, string_split(coalesce(text, '') || chr(10) || chr(10) || '~' || chr(10) || '~' || chr(10) || '~' || chr(10) || 'See [@k' || doc_id || '; @shared].', chr(10)) AS l FROM documents)),
+k AS (SELECT doc_id, i, rtrim({_AT}, '.,;:!?') AS key FROM l)
+SELECT '/docs/' || doc_id || '.md' AS path, '@' || key AS raw_text, key AS keys, CAST(i AS VARCHAR) AS locator_value, 'unresolved' AS mapping_status FROM k""",
+    "latex_blocks": r"""WITH t AS (SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS l FROM conversations),
+c AS (SELECT conv_id, turn, any_value(role) AS heading, len(any_value(l)) AS n, count(*) FILTER (regexp_matches(regexp_replace(x, '%.*$', ''), '\S')) AS shown FROM (SELECT *, unnest(l) AS x FROM t) GROUP BY conv_id, turn)
+SELECT '/tex/' || conv_id || '-' || turn || '.tex' AS path, heading, shown + 2 AS n, '{a, b}' AS last, shown + 2 AS top, 'a|b' AS keys, (n + 3) || '-' || (n + 4) AS locator_value FROM c""",
+    "ooxml_blocks": r"""WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) + 1 AS i FROM conversations UNION ALL SELECT DISTINCT conv_id, 'Talk', 1 FROM conversations)
+SELECT '/talks/' || conv_id || '.docx' AS path, 'paragraph-' || i AS block_id, 'paragraph' AS locator_type, CAST(i AS VARCHAR) AS locator_value, 'Talk' AS heading, md5(text) AS digest FROM t WHERE regexp_matches(coalesce(text, ''), '\S')""",
     "text_turns": r"SELECT conv_id || ':' || turn AS document_id, count(*) AS n_blocks, max(CAST(i AS VARCHAR)) AS last FROM (SELECT conv_id, turn, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations)) WHERE regexp_matches(line, '\S') GROUP BY 1",
     "page_quality": rf"""WITH p AS (SELECT doc_id AS document_id, count(*) AS n_pages, CAST(sum(length(regexp_replace(line, '\s', '', 'g'))) AS BIGINT) AS n_solid, CAST(sum(length(line) - length(replace(line, '{chr(0xFFFD)}', ''))) AS BIGINT) AS n_broken FROM ({_LINE}) GROUP BY 1)
 SELECT *, CASE WHEN n_solid = 0 THEN 'empty' WHEN n_solid < 100 * n_pages THEN 'needs_ocr' WHEN 100 * n_broken > n_solid THEN 'needs_review' ELSE 'extracted' END AS extraction_status,

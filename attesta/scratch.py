@@ -44,6 +44,11 @@ def forget(*tables: DataFrame | None) -> None:
             remove(table.sparkSession, path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder on any file system that Hadoop knows."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

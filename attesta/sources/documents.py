@@ -1,16 +1,20 @@
 """Documents from files: listing, hashing, dispatch by suffix, extraction, and the tables that follow.
 
-Files come from the binaryFile source, so listing and reading are distributed. One
-mapInPandas pass extracts every format; a reader's failure becomes the status
+Folders are read with the binaryFile source and named files on the executors, so
+reading is distributed. One mapInPandas pass extracts every format by a reader for its
+suffix (READERS, or readers of the caller's own); a reader's failure becomes the status
 error:<Exception> of that document and never fails the task.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import io
 import shutil
 import subprocess
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from pathlib import Path
 
 import pandas as pd
@@ -25,7 +29,9 @@ SUFFIXES = tuple(X.SUFFIX_TYPES)
 _BLOCK = "array<struct<block_id:string,text_original:string,locator_type:string,locator_value:string,heading:string>>"
 _MENTION = "array<struct<raw_text:string,citation_keys:array<string>,locator_type:string,locator_value:string,mapping_status:string>>"
 _PARSED = f"document_id string, role string, path string, media_type string, sha256 string, extraction_method string, extraction_status string, text_quality string, conversion_note string, error string, blocks {_BLOCK}, mentions {_MENTION}"
-_METHODS = {"markdown": "native-markup", "plain": "native-text", "latex": "native-latex", "html": "html-parser", "ooxml": "ooxml", "doc": "soffice-docx", "pdf": "pdftotext-layout"}
+#: Blocks and mentions, extraction method, status and quality of a file's bytes.
+Read = tuple[formats.Parsed, str, str, str]
+Reader = Callable[[bytes], Read]
 
 
 def local(path) -> str:
@@ -43,61 +49,97 @@ def files(spark: SparkSession, paths: list[str], suffixes: tuple[str, ...] = SUF
 
 
 def requested(spark: SparkSession, paths: list[str], exclude: str | None = None) -> DataFrame:
-    """Explicit sources: files under folders, and every named file even if it is absent or unsupported (content null)."""
-    folders = [p for p in paths if Path(p).is_dir()]
-    named = [str(Path(p).expanduser().resolve()) for p in paths if not Path(p).is_dir()]
-    there = [p for p in named if Path(p).is_file()]
-    out = spark.createDataFrame([(p,) for p in named], "path string").dropDuplicates()
-    found = files(spark, folders, exclude=exclude) if folders else None
-    if there:
-        own = files(spark, there, tuple({Path(p).suffix.lower() for p in there}))
-        found = own if found is None else found.unionByName(own).dropDuplicates(["path"])
-    if found is None:
-        return out.select("path", *(F.lit(None).cast(t).alias(c) for c, t in (("sha256", "string"), ("media_type", "string"), ("length", "bigint"), ("content", "binary"))))
-    return out.join(found, "path", "full_outer").select(*found.columns)
-
-
-def _doc(content: bytes) -> formats.Parsed:
+    """(path) of explicit sources: the files under folders, and every named file even if it is absent or unsupported."""
+    whole = [Path(p).expanduser().resolve() for p in paths]
+    folders = [str(p) for p in whole if p.is_dir()]
+    out = spark.createDataFrame([(str(p),) for p in whole if not p.is_dir()], "path string")
+    return (out.union(files(spark, folders, exclude=exclude).select("path")) if folders else out).distinct()
+
+
+def opened(paths: DataFrame, content: bool = True) -> DataFrame:
+    """(path, sha256, media_type, length[, content]) of named files, read on the executors, a file at a time; all null where there is none."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path in part.path:
+                digest, length, data = hashlib.sha256(), None, None
+                try:
+                    with open(path, "rb") as file:
+                        length, kept = 0, []
+                        for piece in iter(functools.partial(file.read, 1 << 20), b""):
+                            digest.update(piece)
+                            length += len(piece)
+                            if content:
+                                kept.append(piece)
+                    data = b"".join(kept) if content else None
+                except OSError:
+                    length = None
+                row = {"path": [path], "sha256": [None if length is None else digest.hexdigest()], "length": pd.array([length], "Int64"), "content": [data]}
+                yield pd.DataFrame(row)
+
+    found = paths.select("path").distinct().mapInPandas(run, "path string, sha256 string, length bigint, content binary")
+    kind = F.when(F.col("sha256").isNotNull(), X.media_type("path")).alias("media_type")
+    return found.select("path", "sha256", kind, "length", *["content"] * content)
+
+
+def _text(method: str, reader: Callable[[str], formats.Parsed]) -> Reader:
+    return lambda content: (reader(content.decode("utf-8")), method, "extracted", "good")
+
+
+def _word(content: bytes) -> Read:
+    return formats.ooxml(content), "ooxml", "extracted", "good"
+
+
+def _doc(content: bytes) -> Read:
+    """A legacy Word file by way of an office program's conversion."""
     office = shutil.which("soffice")
     if office is None:
         raise FileNotFoundError("soffice")
     with tempfile.TemporaryDirectory() as work:
         (Path(work) / "in.doc").write_bytes(content)
         subprocess.run([office, "--headless", "--convert-to", "docx", "--outdir", work, f"{work}/in.doc"], check=True, capture_output=True, timeout=120)
-        return formats.ooxml((Path(work) / "in.docx").read_bytes())
-
-
-def _pdf(content: bytes) -> list[str]:
-    if shutil.which("pdftotext") is None:
-        raise RuntimeError("no PDF text tool")
-    with tempfile.NamedTemporaryFile(suffix=".pdf") as file:
-        file.write(content)
-        file.flush()
-        done = subprocess.run(["pdftotext", "-layout", "-enc", "UTF-8", file.name, "-"], check=True, capture_output=True)
-    pages = done.stdout.decode("utf-8", "replace").split("\f")
-    return pages[:-1] if not pages[-1].strip() else pages
-
-
-def parse(suffix: str, content: bytes) -> tuple[formats.Parsed, str, str, str]:
-    """Blocks and mentions, method, status and quality."""
-    status = ("extracted", "good")
-    if suffix in (".docm", ".docx"):
-        method, parsed = "ooxml", formats.ooxml(content)
-    elif suffix == ".doc":
-        method, parsed = "doc", _doc(content)
-    elif suffix == ".pdf":
-        pages = _pdf(content)
-        method, parsed, status = "pdf", formats.pdf_pages(pages), formats.pdf_quality(pages)
-    else:
-        reader = {".md": formats.markdown, ".qmd": formats.markdown, ".tex": formats.latex, ".latex": formats.latex, ".htm": formats.html, ".html": formats.html}.get(suffix, formats.plain)
-        method, parsed = reader.__name__, reader(content.decode("utf-8"))
-    return parsed, _METHODS[method], *status
-
-
-def extract(found: DataFrame, role: str) -> DataFrame:
-    """One row a file with blocks and mentions as arrays. role: target or source."""
+        return formats.ooxml((Path(work) / "in.docx").read_bytes()), "soffice-docx", "extracted", "good"
+
+
+def pdf_texts(content: bytes) -> tuple[list[str], str]:
+    """Texts of the pages of a PDF, and what read them: the layout tool where there is one and it succeeds, else a library."""
+    tool = shutil.which("pdftotext")
+    if tool:
+        with tempfile.NamedTemporaryFile(suffix=".pdf") as file:
+            file.write(content)
+            file.flush()
+            done = subprocess.run([tool, "-layout", "-enc", "UTF-8", file.name, "-"], capture_output=True)
+        if done.returncode == 0:
+            pages = done.stdout.decode("utf-8", "replace").split("\f")
+            return pages if pages[-1].strip() else pages[:-1], "pdftotext-layout"
+    try:
+        import pypdf
+    except ImportError:
+        raise RuntimeError("neither pdftotext nor pypdf is there to read PDF") from None
+    return [page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(content)).pages], "pypdf"
+
+
+def _pdf(content: bytes) -> Read:
+    pages, method = pdf_texts(content)
+    return formats.pdf_pages(pages), method, *formats.pdf_quality(pages)
+
+
+READERS: dict[str, Reader] = {
+    **dict.fromkeys((".md", ".qmd"), _text("native-markup", formats.markdown)),
+    **dict.fromkeys((".tex", ".latex"), _text("native-latex", formats.latex)),
+    **dict.fromkeys((".htm", ".html"), _text("html-parser", formats.html)),
+    **dict.fromkeys((".docx", ".docm"), _word),
+    ".txt": _text("native-text", formats.plain),
+    ".doc": _doc,
+    ".pdf": _pdf,
+}
+
+
+def extract(found: DataFrame, role: str, readers: Mapping[str, Reader] | None = None) -> DataFrame:
+    """One row a file with blocks and mentions as arrays. role: target or source; readers: by suffix, instead of or beside READERS."""
     if role not in ("source", "target"):
         raise ValueError("role is source or target")
+    known = {**READERS, **(readers or {})}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -108,10 +150,10 @@ def extract(found: DataFrame, role: str) -> DataFrame:
                     suffix = Path(path).suffix.lower()
                     if content is None:
                         status = "missing"
-                    elif suffix not in SUFFIXES:
+                    elif suffix not in known:
                         status, error = "error:UnsupportedFormatError", suffix
                     else:
-                        (blocks, mentions), method, status, quality = parse(suffix, bytes(content))
+                        (blocks, mentions), method, status, quality = known[suffix](bytes(content))
                 except Exception as e:  # noqa: BLE001 - one document's failure is its own status
                     status, error = f"error:{type(e).__name__}", str(e)
                 if not blocks and (status, quality) == ("extracted", "good"):

@@ -27,8 +27,8 @@ def encode(rows: DataFrame) -> DataFrame:
 
 
 def write(rows: DataFrame, path: str) -> None:
-    """One CSV file in a folder; the commit protocol makes the replacement atomic."""
-    encode(rows).coalesce(1).write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").option("lineSep", "\n").csv(path)
+    """CSV files in a folder, in the order of the rows: a sort by range, so a large manifest is written by many tasks and a small one as one file."""
+    encode(rows).write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").option("lineSep", "\n").csv(path)
 
 
 def read(spark: SparkSession, path: str, folder: str) -> DataFrame:

@@ -7,8 +7,6 @@ The cache is the state, so a restart or a replayed batch writes nothing twice.
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,15 +27,14 @@ def files(spark: SparkSession, folder: str, per_batch: int = 1000) -> DataFrame:
 
 def update_cache(batch: DataFrame, cache_dir: str) -> None:
     """Bring the cache up to date with a batch of files; a source is known by its path."""
-    spark = batch.sparkSession
-    held = Path(cache_dir, "entries")
-    cached = K.read(spark, str(held)) if held.exists() else spark.createDataFrame([], K.CACHE + ", file string")
+    held = f"{cache_dir.rstrip('/')}/entries"
+    cached = K.read(batch.sparkSession, held)
     now = batch.withColumn("source_id", F.col("path"))
     fresh = K.misses(now, K.validity(cached)).select("path", "sha256", "media_type", "content")
     done = D.extract(fresh, "source").withColumn("source_id", F.col("path")).filter(~F.col("extraction_status").startswith("error:"))
     done = done.withColumn("file", X.cache_name("source_id", "path")).persist()
     if not done.isEmpty():
-        K.write(K.records(done, "file"), str(held))
+        K.write(K.records(done, "file"), held)
     done.unpersist()
 
 

@@ -1,13 +1,25 @@
 """The runs end to end, over files."""
 
+import http.server
+import json
+import os
+import re
+import sys
+import threading
+import types
+import unicodedata
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from attesta import scratch
 from attesta.functions import text as X
 from attesta.operators import cache as K
 from attesta.plans import audit
 from attesta.sources import bibliography as B
+from attesta.sources import documents as D
+from attesta.sources import live
 from attesta.sources import manifest_csv as V
 from attesta.streaming import incremental
 
@@ -90,3 +102,149 @@ def test_truncated_cache_is_invalid(spark, tmp_path):
     held = K.read(spark, cache + "/entries")
     assert K.validity(held.filter("block_index = 1")).head()["valid"] is False
     assert "_" not in held.select(X.suffix("source_id")).head()[0]
+
+
+class Shelf:
+    """A made-up local service: routes to payloads, or to errors to raise."""
+
+    def __init__(self, **routes):
+        self.routes = routes
+
+    def __call__(self, route):
+        said = self.routes.get(route.removeprefix("/api/users/0/items").split("&")[0], [])
+        if isinstance(said, Exception):
+            raise said
+        return said
+
+
+def test_live_answers(tmp_path):
+    there = tmp_path / "a b.pdf"
+    there.write_text("x")
+    pdf = lambda key, when: {"data": {"key": key, "filename": "X.PDF", "dateModified": when}}
+    item = {"data": {"key": "I", "citationKey": "k", "title": "T", "creators": [{"creatorType": "author", "name": "ACME"}, 3], "date": "1 May 1987"}}
+    shelf = Shelf(**{
+        "?q=k": [item, item, {"key": "J", "extra": "citation key: other"}], "/I/children": [pdf("old", "1"), pdf("new", "2"), pdf("mid", "15"), {"key": "web"}],
+        "/new/file/view/url": OSError("gone"), "/mid/file/view/url": {"path": "", "url": f"file://{tmp_path}/a%20b.pdf"}, "/given/file/view/url": str(tmp_path / "absent.pdf"),
+        "?q=two": [{"key": "A", "extra": "x\nCitation Key:  two \n"}, {"key": "B", "citationKey": "two"}], "/lone": {"key": "lone", "citationKey": "k"}, "/bad": ValueError("no"),
+    })
+    got = live.ask(shelf, "k", attachment="given")
+    assert (got["status"], got["aliases"], got["local_files"], got["title"], len(got["creators"])) == ("enriched", ["k", "I", "given", "new", "mid"], [str(there)], "T", 1)
+    assert live.ask(shelf, "two") == {"key": "two", "status": "ambiguous", "candidates": ["A", "B"]}
+    assert live.ask(shelf, "none")["status"] == "not_found" and live.ask(shelf, "x", item="list")["status"] == "not_found"
+    assert live.ask(shelf, "k", item="lone")["status"] == "enriched" and live.ask(shelf, "k", item="lone", attachment="given")["status"] == "attachment_unresolved"
+    shelf.routes["/I/children"] = ValueError("no json")
+    assert live.ask(shelf, "k")["status"] == "attachment_unresolved"
+
+
+def test_live_service_over_http(spark):
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            assert self.headers["Accept"] == "application/json"
+            if "missing" in self.path:
+                return self.send_error(404)
+            if "broken" in self.path:
+                return self.send_error(500)
+            said = json.dumps([{"key": "I", "citationKey": "here", "DOI": "10.1000/x"}] if "q=here" in self.path and "limit=25" in self.path else [])
+            self.send_response(200)
+            self.send_header("Content-Type", "application/json")
+            self.end_headers()
+            self.wfile.write(said.encode())
+
+        def log_message(self, *args):
+            pass
+
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        asked = spark.createDataFrame([("here",), ("nowhere",), ("missing",), ("broken",)], "key string")
+        answers = live.look_up(asked, live.Service(f"http://127.0.0.1:{server.server_port}/", 2.0)).collect()
+        server.shutdown()
+    assert {r["key"]: r["status"] for r in answers} == {"here": "enriched", "nowhere": "not_found", "missing": "not_found", "broken": "error:http_500"}
+    gone = live.look_up(asked, live.Service("http://127.0.0.1:9", 0.2))
+    assert {r["status"] for r in gone.collect()} == {"unavailable"}
+    with pytest.raises(Exception, match="not available"):
+        live.look_up(asked, live.Service("http://127.0.0.1:9", 0.2), required=True).collect()
+
+
+def test_manifest_run_with_live_look_up(spark, tmp_path):
+    made_up = lambda route: [{"key": "I9", "citationKey": "good", "title": "Live", "DOI": "10.1000/live"}] if "q=good" in route else []
+    paper = write(tmp_path / "in", paper__md="Claim [@good; @other].")
+    done = audit.run(spark, audit.Request(str(tmp_path / "cache"), [paper], live=True, fetch=made_up))
+    rows = {r["bibliography_key"]: r for r in done.rows.collect()}
+    assert rows["good"]["source_id"] == "doi:10.1000/live" and rows["good"]["mapping_status"] == "resolved"
+    assert rows["other"]["mapping_rule"] == "zotero-live" and any("not_found" in c for c in rows["other"]["conflicts"])
+
+
+def test_readers_of_the_callers_own(spark, tmp_path):
+    lib = write(tmp_path / "lib", a__txt="plain")
+    shout = lambda content: (([("b", content.decode().upper(), "line", "1", "h")], []), "own", "extracted", "good")
+    done = audit.run(spark, audit.Request(str(tmp_path / "cache"), sources=[lib], readers={".txt": shout}))
+    assert done.summary["extracted"] == 1
+    held = K.read(spark, str(tmp_path / "cache" / "entries")).head()
+    assert (held["text_original"], held["extraction_method"]) == ("PLAIN", "own")
+
+
+def test_cache_keeps_what_a_write_does_not_name(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "BUCKETS", 2)
+    path = str(tmp_path / "entries")
+    assert K.read(spark, path).count() == 0
+
+    def rows(names, text):
+        made = spark.createDataFrame([(n, i + 1, text) for n in names for i in range(2)], "file string, block_index int, text_original string")
+        return made.select(*(F.col(c) if c in made.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in (K.CACHE + ", file string").split(", "))))
+
+    K.write(rows([f"f{i}" for i in range(9)], "old"), path)
+    K.write(rows(["f3", "f9"], "new"), path)
+    got = {}
+    for r in K.read(spark, path).collect():
+        got.setdefault(r["file"], []).append(r["text_original"])
+    assert got == {f"f{i}": ["new" if i in (3, 9) else "old"] * 2 for i in range(10)}
+
+
+def test_pdf_falls_back_to_a_library(monkeypatch):
+    monkeypatch.setattr(D.shutil, "which", lambda name: None)
+    monkeypatch.setitem(sys.modules, "pypdf", None)
+    with pytest.raises(RuntimeError, match="pypdf"):
+        D.pdf_texts(b"%PDF")
+    page = lambda text: types.SimpleNamespace(extract_text=lambda: text)
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=lambda file: types.SimpleNamespace(pages=[page("word " * 60), page(None)])))
+    assert D.pdf_texts(b"%PDF") == (["word " * 60, ""], "pypdf")
+    parsed, method, status, quality = D.READERS[".pdf"](b"%PDF")
+    assert (len(parsed[0]), method, status, quality) == (1, "pypdf", "extracted", "good")
+    with pytest.raises(FileNotFoundError):
+        D.READERS[".doc"](b"x")
+
+
+def test_pdf_and_doc_tools(tmp_path, monkeypatch):
+    """Stand-ins for the two programs, which are not here."""
+    from test_formats import package
+
+    (tmp_path / "pdftotext").write_text("#!/bin/sh\nprintf 'one\\f\\nthree\\f'\n")
+    (tmp_path / "made.docx").write_bytes(package("<w:p><w:r><w:t>From an old file</w:t></w:r></w:p>"))
+    (tmp_path / "soffice").write_text(f'#!/bin/sh\ncp {tmp_path}/made.docx "$5/in.docx"\n')
+    for tool in ("pdftotext", "soffice"):
+        (tmp_path / tool).chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:{os.environ['PATH']}")
+    assert D.pdf_texts(b"") == (["one", "\nthree"], "pdftotext-layout")
+    parsed, method, *_ = D.READERS[".doc"](b"x")
+    assert parsed[0][0][1] == "From an old file" and method == "soffice-docx"
+
+
+def test_earlier_sums_of_long_arrays(spark):
+    rows = spark.createDataFrame([([1, 2, 3],), ([5],), (list(range(1000)),)], "a array<int>")
+    for given, got in ((r["a"], r["b"]) for r in rows.withColumn("b", X.before(F.col("a"), 7)).collect()):
+        assert got == [sum(given[:i]) for i in range(len(given))]
+
+
+def test_folding_of_plain_and_other_texts(spark):
+    texts = ["Plain  TEXT\n x-\n y", "ﬁne Straße É x", "a\x1cb\x1f C", "", None, "co-\n operate", "é-\n\ng"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = [" ".join(re.sub(r"(?<=\w)-\s*\n\s*(?=\w)", "", unicodedata.normalize("NFKC", t or "")).split()).casefold() for t in texts]
+    assert [r["n"] for r in rows.select("i", X.normalize_text("t").alias("n")).orderBy("i").collect()] == want
+
+
+def test_scratch_tables_go(spark):
+    table = scratch.stage(spark.range(3), "here")
+    path = table.__dict__["_attesta_table"]
+    assert scratch.exists(spark, path) and table.count() == 3
+    scratch.forget(table, None, spark.range(1))
+    assert not scratch.exists(spark, path)

@@ -103,13 +103,27 @@ def test_positions_of_two_sources_are_counted_once(spark):
 def test_withheld_scores_and_bands(spark):
     words = spark.createDataFrame([(1, 1000), (2, 0)], "doc int, n_words bigint")
     matches = spark.range(1, 301).select(F.lit(1).alias("doc"), F.col("id").alias("pos"))
-    raw = S.overall(matches, words)
+    gone = spark.createDataFrame([(1, 1, 100)], "doc int, first int, last int")
+    fewer, marked = S.exclude_words(gone, words, matches.withColumn("adjusted", F.col("pos") % 2 == 0))
+    raw = S.overall_where(marked, fewer, adjusted="adjusted_words")
     partial = spark.createDataFrame([("a", True), ("b", False)], "source string, analyzed boolean")
-    card = {r["doc"]: r for r in S.scorecard(raw, raw, S.corpus_coverage(partial)).collect()}
+    card = {r["doc"]: r for r in S.scorecard(raw, S.corpus_coverage(partial)).collect()}
+    assert (card[1]["adjusted_words"], card[1]["adjusted_matched"], card[1]["adjusted"]) == (900, 100, 11.1111)
     assert (card[1]["raw"], card[1]["band"], card[1]["label"], card[1]["route"]) == (30.0, "Medium", "Partial", "partial")
     assert card[2]["raw"] is None and card[2]["route"] == "stop"
     none = S.corpus_coverage(partial.withColumn("analyzed", F.lit(False)))
-    assert S.scorecard(raw, raw, none).filter("doc = 1").head()["raw"] is None
+    assert S.scorecard(raw, none).filter("doc = 1").head()["raw"] is None
+
+
+def test_spans_merge_shared_ngrams_of_one_distance(spark):
+    docs = spark.createDataFrame([(1, "x\na b c d e f g h i\nq a b c d"), (2, None)], "doc_id int, text string")
+    sources = spark.createDataFrame([(7, "0 0 a b c d e f zz\nf g h i a b c d")], "item_id int, text string")
+    left, right = S.shingles(docs, "doc_id", "text"), S.shingles(sources, "item_id", "text")
+    found = {tuple(r) for r in S.spans(left, right).collect()}
+    assert found == {(1, 2, 7, 1, 2, 7, 3), (1, 2, 7, 2, 7, 10, 10), (1, 2, 7, 2, 2, 5, 14), (1, 3, 7, 1, 12, 15, 3), (1, 3, 7, 2, 12, 15, 14)}
+    each = S.candidates(left, right)
+    assert each.count() == each.distinct().count() == 6 + 4 * 4
+    assert S.overall(each, S.word_counts(docs, "doc_id", "text")).filter("doc = 1").head()["matched"] == 13
 
 
 def test_passages_split_where_the_distance_changes(spark):
