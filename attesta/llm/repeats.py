@@ -286,7 +286,8 @@ def repeated_ranges(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
     forget(classes, mixed)
 
     needed = written(todo.select("node").distinct(), "nodes")
-    owner = written(texts.select("id", "node").join(needed, "node").groupBy("node").agg(F.min("id").alias("id")), "owners")  # one row for each text
+    first = texts.groupBy("node").agg(F.min("id").alias("id"))  # one row for each text, before anything joins on a hot one
+    owner = written(first.join(needed, "node"), "owners")
     same = texts["id"].eqNullSafe(owner["id"]) & (texts["node"] == owner["node"])
     text = written(texts.join(owner.hint("merge"), same, "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
     forget(needed, owner)
