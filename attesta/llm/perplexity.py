@@ -1,17 +1,23 @@
 """Quality rules: base counts of words, symbols and repeats, then perplexity bands by language.
 
-The language model is a modified Kneser-Ney model over character classes. Every
-character of every text belongs to one of 64 classes (letters apart, capitals
-together, digits together, and so on), so a 4-gram is a 24-bit number and the model
-can't outgrow 64**4 entries at any corpus size. Each task counts the grams of its
-whole texts; Spark sums the counts; discounts and continuation counts follow from
-them. The model is sorted key arrays with the log-probability of each gram, and
-back-off weights for grams it lacks.
-
-A document is rejected if its log-perplexity lies outside its language's band: the
-quartiles, widened by WIDE interquartile ranges and by SLACK at least, and further
-for short texts, whose averages vary more: by sqrt(1 + SHORT / words). Bands are
-computed from all documents that pass the base rules.
+The language model of each language is a modified Kneser-Ney model of real character
+4-grams, no character folded into another (but for those above U+FFFF, which share
+2,048 hashed codes). Spark counts in how many texts a 4-gram occurs, so that a text's
+own repeats are no evidence for it, and 4-grams of one text alone are pruned; their
+mass, as the discounts', goes to the shorter contexts. Continuation counts, discounts,
+back-off weights and probabilities follow level by level as grouped sums and joins.
+
+The model grows with the corpus and is nowhere as a whole. Texts are gathered in
+shards of consecutive rows, as compressed blocks, beside the distinct grams of the
+shard; that table is bucketed by shard. Each distinct gram of a shard is joined with
+its probability, and the answers meet the shard's blocks without moving these again. There they become a hash
+array: keys sorted by a 64-bit hash, with a table of where each leading-bits value
+begins, so a look-up is a gather and a step or two.
+
+A document is rejected if its log-perplexity a character lies outside its language's
+band: the quartiles, widened by `wide` interquartile ranges and by `slack` at least,
+and more for short texts, whose averages vary more: by sqrt(1 + median words / words).
+Quartiles and medians are those of all documents that pass the base rules.
 
 Defined results: a null or empty text has no word, all counts 0, and fails the base
 rules; a null language is `und`; a language in which no document passes the base
@@ -21,62 +27,59 @@ equal results; ids and null ids are kept; other columns are ignored.
 
 from __future__ import annotations
 
-import unicodedata
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Prefixes, mix, raw, read, runs_of, slices, words, written
+from attesta.scratch import remove
 
-ORDER, BITS, WIDE, SLACK, SHORT = 4, 6, 4.0, 0.05, 100
+from .common import Prefixes, bounded, forget, mix, raw, read, runs_of, shared_folder, slices, words, written
+
+ORDER, BITS, START, UNSEEN = 4, 16, 2, 2.0**-12
+WIDE, SLACK = 6.0, 0.05
+SHARD_BYTES, BLOCK_BYTES = 1 << 26, 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-@lru_cache(1)
-def classes() -> np.ndarray:
-    """Class of each code point; 0 stands for the start of a text."""
-    table = np.zeros(0x110000, np.uint8)
-    table[:] = 39 + np.arange(0x110000) % 25
-    for c in range(0x10000):
-        kind = unicodedata.category(chr(c))
-        if kind in ("Lu", "Lt"):
-            table[c] = 27
-        elif kind[0] == "N":
-            table[c] = 28
-        elif kind[0] in "ZC":
-            table[c] = 31
-        elif kind[0] in "PS":
-            table[c] = 36 if kind in ("Pd", "Pi", "Pf") else 38
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    for c, k in ((" ", 29), ("\n", 30), (".", 32), (",", 33), ("!", 34), ("?", 35), ("-", 36), ("'", 36), ('"', 36)):
-        table[ord(c)] = k
-    table[np.frombuffer(b"#*$%&|<>", np.uint8)] = 37
-    return table
-
-
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram that ends at each character, and the texts' offsets in characters."""
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    """The 4-gram that ends at each character, sixteen bits a character, and the texts' offsets in characters. Marks stand before a text."""
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.uint64)
+    rare = np.flatnonzero(points > 0xFFFF)
+    points[rare] = np.uint64(0xD800) + (mix(points[rare]) & np.uint64(0x7FF))  # no character has a code there
     begins = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     at = begins[offsets]
-    kind = classes()[points].astype(np.uint32)
-    position = np.arange(len(points)) - np.repeat(at[:-1], np.diff(at))
-    gram = kind.copy()
+    gram = points.copy()
     for k in range(1, ORDER):
-        before = np.zeros_like(kind)
-        before[k:] = kind[:-k]
-        before[position < k] = 0
-        gram |= before << np.uint32(BITS * k)
+        gram[k:] |= points[:-k] << np.uint64(BITS * k)
+        early = (at[:-1, None] + np.arange(k)).reshape(-1)
+        early = early[early < np.repeat(at[1:], k)]
+        mask = ~(np.uint64((1 << BITS) - 1) << np.uint64(BITS * k))
+        gram[early] = (gram[early] & mask) | np.uint64(START << BITS * k)
     return gram, at
 
 
+def texts_with(gram: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams and in how many texts each occurs. Fewer than 4096 texts at a time, so that hash and text share a word."""
+    distinct = np.sort(gram)
+    distinct = distinct[np.append(True, distinct[1:] != distinct[:-1])] if len(gram) else distinct
+    row = np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(at))
+    marked = np.sort((mix(gram) & ~np.uint64(0xFFF)) | row)
+    marked = marked[np.append(True, marked[1:] != marked[:-1])] >> np.uint64(12) if len(gram) else marked
+    opens = np.flatnonzero(np.append(True, marked[1:] != marked[:-1])) if len(gram) else np.zeros(0, np.int64)
+    count = np.diff(np.append(opens, len(marked)))
+    return distinct, count[np.searchsorted(marked[opens], mix(distinct) >> np.uint64(12))]
+
+
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The columns of COUNTS for each row."""
     n = len(offsets) - 1
@@ -122,109 +125,182 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [np.bincount(row, minlength=n), sums(inside & ((data & 0xC0) != 0x80)), sums(_SYMBOL[data]), duplicate, repeated]
 
 
-class KneserNey:
-    """Modified Kneser-Ney over packed grams; orders from ORDER down to 1, each with sorted keys."""
+class HashArray:
+    """Values by 64-bit key: keys in the order of their hashes, and where each value of the leading bits begins."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        hashed = mix(key)
+        order = np.argsort(hashed)
+        self.hashes = np.append(hashed[order], np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.value = np.append(value[order], np.nan).astype(np.float32)
+        self.shift = np.uint64(64 - max(1, len(key).bit_length()))
+        self.begin = np.searchsorted(self.hashes[:-1], np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift)
 
-    def __init__(self, gram: np.ndarray, count: np.ndarray):
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        want = mix(key)
+        at = self.begin[want >> self.shift]
+        todo = np.flatnonzero(self.hashes[at] < want)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.hashes[at[todo]] < want[todo]]
+        found = self.value[at]
+        found[self.hashes[at] != want] = np.nan
+        return found
+
+
+_GATHERED = "shard bigint, lang string, gram bigint, n bigint, block binary"
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed blocks of rows, and at the end of each shard its distinct grams by language with the number of their texts."""
+    shard, size = TaskContext.get().partitionId() << 24, 0
+    seen: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(gram)
-        keys, counts = gram[order].astype(np.uint32), count[order].astype(np.float64)
-        levels = []
-        for n in range(ORDER, 0, -1):
-            levels.append((keys, counts))
-            shorter = keys & np.uint32((1 << BITS * (n - 1)) - 1)  # how many characters precede it
-            keys, counts = np.unique(shorter, return_counts=True)
-            counts = counts.astype(np.float64)
-        lower = np.full(1, 1.0 / (1 << BITS))
-        lower_keys = np.zeros(1, np.uint32)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        for n in range(1, ORDER + 1):
-            keys, counts = levels[ORDER - n]
-            seen = [max(1.0, float((counts == k).sum())) for k in (1, 2, 3, 4)]
-            y = seen[0] / (seen[0] + 2 * seen[1])
-            cut = np.array([0.0, *(float(np.clip(k - (k + 1) * y * seen[k] / seen[k - 1], 0.05, k - 0.05)) for k in (1, 2, 3))])
-            discount = cut[np.minimum(counts, 3).astype(int)]
-            context = keys >> np.uint32(BITS)
-            contexts, inverse = np.unique(context, return_inverse=True)
-            total = np.bincount(inverse, counts)
-            weight = np.bincount(inverse, discount) / total
-            rest = lower[np.searchsorted(lower_keys, keys & np.uint32((1 << BITS * (n - 1)) - 1))]
-            p = (counts - discount) / total[inverse] + weight[inverse] * rest
-            self.levels.append((keys, np.log(p).astype(np.float32), contexts, np.log(weight).astype(np.float32)))
-            lower, lower_keys = p, keys
-
-    def log_probability(self, gram: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(gram), np.float32)
-        todo = np.arange(len(gram))
-        for n in range(ORDER, 0, -1):
-            keys, logs, contexts, weights = self.levels[n - 1]
-            want = gram[todo] & np.uint32((1 << BITS * n) - 1)
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            hit = keys[at] == want
-            out[todo[hit]] += logs[at[hit]]
-            todo = todo[~hit]
-            if not len(todo):
-                return out
-            context = want[~hit] >> np.uint32(BITS)
-            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-            known = contexts[at] == context
-            out[todo[known]] += weights[at[known]]
-        out[todo] -= np.float32(BITS * np.log(2))
-        return out
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << BITS * ORDER, np.uint32)
+        opens = np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1])) if len(gram) else np.zeros(0, np.int64)
+        return gram[order][opens], np.add.reduceat(n[order], opens) if len(opens) else n
+
+    def close() -> Iterator[pa.RecordBatch]:
+        for lang, parts in seen.items():
+            gram, n = merged(parts)
+            for i in range(0, len(gram), 1 << 16):
+                g = gram[i : i + (1 << 16)].view(np.int64)
+                yield _rows(shard, len(g), lang=[lang] * len(g), gram=g, n=n[i : i + (1 << 16)])
+        seen.clear()
+
     for batch in batches:
-        for part in slices(batch, "att_text"):
-            gram, _ = grams(*raw(part.column("att_text")))
-            gram.sort()
-            at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
-            total[gram[at]] += np.diff(np.append(at, len(gram))).astype(np.uint32)
-    seen = np.flatnonzero(total)
-    for i in range(0, len(seen), 1 << 16):
-        part = seen[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], ["gram", "n"])
+        for part in slices(batch, "text", BLOCK_BYTES):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(part)
+            yield _rows(shard, 1, block=[sink.getvalue().to_pybytes()])
+            for lang in pc.unique(part.column("lang")).to_pylist():
+                for piece in slices(part.filter(pc.equal(part.column("lang"), lang)).select(["text"]), "text"):
+                    seen.setdefault(lang, []).append(texts_with(*grams(*raw(piece.column("text")))))
+                if len(seen[lang]) > 64:
+                    seen[lang] = [merged(seen[lang])]
+            size += part.nbytes
+            if size >= SHARD_BYTES:
+                yield from close()
+                shard, size = shard + 1, 0
+    yield from close()
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> KneserNey | None:
-    """The model of all texts; None without a character."""
-    base = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("att_text"))
-    found = base.mapInArrow(_count, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # 64**4 rows at most
-    return KneserNey(found.column("gram").to_numpy().astype(np.uint32), found.column("n").to_numpy()) if found.num_rows else None
+def _rows(shard: int, rows: int, **given) -> pa.RecordBatch:
+    kinds = {"lang": pa.string(), "gram": pa.int64(), "n": pa.int64(), "block": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([shard] * rows, pa.int64()), *(pa.array(given[c], k) if c in given else pa.nulls(rows, k) for c, k in kinds.items())], ["shard", *kinds])
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", wide: float = WIDE, slack: float = SLACK) -> DataFrame:
-    """(doc_id, counts of COUNTS, base_failed, kept, lang, log_perplexity) for every row."""
-    spark = docs.sparkSession
-    model = fit(docs, text_col)
-    sent = spark.sparkContext.broadcast(model)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("att_text"))
-    kind = base.schema["doc_id"].dataType.simpleString()
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "att_text"):
-                data, offsets = raw(part.column("att_text"))
-                counts = base_counts(data, offsets)
-                log = np.full(part.num_rows, np.nan)
-                if sent.value is not None and len(data):
+def _tail(gram: Column, n: int) -> Column:
+    """The last n characters."""
+    return gram.bitwiseAND(F.lit((1 << BITS * n) - 1 if n < ORDER else -1))
+
+
+def _level(counts: DataFrame, order: int, least: int, shorter: DataFrame | None) -> DataFrame:
+    """(lang, gram, p) of one order. counts: (lang, gram, c); grams of fewer than `least` counts are pruned; shorter: the order below."""
+    times = lambda k: F.greatest(F.lit(1.0), F.sum((F.col("c") == k).cast("double")))
+    seen = counts.groupBy("lang").agg(*(times(k).alias(f"t{k}") for k in (1, 2, 3, 4)))  # a row a language
+    y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
+    cuts = [F.least(F.greatest(k - (k + 1) * y * F.col(f"t{k + 1}") / F.col(f"t{k}"), F.lit(0.05)), F.lit(k - 0.05)) for k in (1, 2, 3)]
+    cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    each = counts.join(seen.select("lang", *(c.alias(f"d{k}") for k, c in enumerate(cuts, 1))), "lang")
+    each = each.select("lang", "gram", "c", F.when(F.col("c") >= least, F.col("c") - cut).otherwise(0.0).alias("x"))
+    context = Window.partitionBy("lang", F.shiftrightunsigned("gram", BITS))
+    each = each.withColumns({"total": F.sum("c").over(context).cast("double"), "kept": F.sum("x").over(context)})
+    if shorter is None:
+        each = each.withColumn("low", F.lit(UNSEEN))
+    else:
+        low = shorter.select("lang", F.col("gram").alias("tail"), F.col("p").alias("low"))
+        each = each.withColumn("tail", _tail(F.col("gram"), order - 1)).join(low, ["lang", "tail"])
+    own = F.when(F.col("total") > 0, F.col("x") / F.col("total")).otherwise(0.0)
+    rest = F.when(F.col("total") > 0, 1 - F.col("kept") / F.col("total")).otherwise(1.0)
+    return each.select("lang", "gram", (own + rest * F.col("low")).alias("p"))
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang, gram, p): probability of the last character of each gram after the ones before it. counts: (lang, gram, c), texts that hold each gram."""
+    levels = {ORDER: written(counts, "level")}
+    for n in range(ORDER - 1, 0, -1):  # in how many ways a gram continues one that is kept
+        kept = (F.col("c") >= (2 if n == ORDER - 1 else 1)).cast("bigint")
+        tails = levels[n + 1].groupBy("lang", _tail(F.col("gram"), n).alias("gram")).agg(F.sum(kept).alias("c"))
+        levels[n] = written(tails, "level")
+    p = None
+    for n in range(1, ORDER + 1):
+        p, shorter = written(_level(levels[n], n, 2 if n == ORDER else 1, p), "p"), p
+        forget(levels[n], shorter)
+    return p
+
+
+def _scorer(names: list[str]):
+    """Counts and log-perplexity of the documents of a shard's blocks, from the probabilities of its grams."""
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = {}
+        for lang in pc.unique(right.column("lang")).to_pylist():
+            mine = right.filter(pc.equal(right.column("lang"), lang))
+            known[lang] = HashArray(mine.column("gram").to_numpy().view(np.uint64), np.log(mine.column("p").to_numpy()))
+        out = []
+        for block in left.column("block"):
+            whole = pa.ipc.open_stream(block.as_buffer()).read_all().combine_chunks().to_batches()[0]
+            for lang in pc.unique(whole.column("lang")).to_pylist():
+                for part in slices(whole.filter(pc.equal(whole.column("lang"), lang)), "text"):
+                    data, offsets = raw(part.column("text"))
+                    log = np.full(part.num_rows, np.nan)
                     gram, at = grams(data, offsets)
-                    ends = np.concatenate(([0], np.cumsum(sent.value.log_probability(gram).astype(np.float64))))
-                    size = np.diff(at)
-                    log = np.divide(-np.diff(ends[at]), size, out=log, where=size > 0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(x.astype(np.int64)) for x in counts), pa.array(log, mask=np.isnan(log))], ["doc_id", "lang", *COUNTS, "log_perplexity"])
+                    if len(gram):
+                        found = known[lang](gram)
+                        if np.isnan(found).any():
+                            raise ValueError("a gram of the shard has no probability")
+                        ends = np.concatenate(([0], np.cumsum(found.astype(np.float64))))
+                        size = np.diff(at)
+                        log = np.divide(-np.diff(ends[at]), size, out=log, where=size > 0)
+                    counts = [pa.array(x.astype(np.int64)) for x in base_counts(data, offsets)]
+                    out.append(pa.table([part.column("doc_id"), part.column("lang"), *counts, pa.array(log, mask=np.isnan(log))], names))
+        return pa.concat_tables(out)
+
+    return score
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, lang, counts of COUNTS, log_perplexity) for every row, as a written table."""
+    spark = docs.sparkSession
+    bounded(spark)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    name = f"attesta_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    gathered = base.mapInArrow(_gather, _GATHERED).write.option("path", path).option("compression", "lz4")
+    gathered.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").saveAsTable(name)
+    table = spark.table(name)
+    shards = table.filter("gram is not null").select("shard", "lang", "gram", "n")
+    p = kneser_ney(shards.groupBy("lang", "gram").agg(F.sum("n").alias("c")))
+    answers = shards.select("shard", "lang", "gram").join(p.select("lang", "gram", F.col("p").cast("float").alias("p")), ["lang", "gram"])
+    schema = StructType(base.schema.fields[:2])
+    for c in COUNTS:
+        schema = schema.add(c, "long")
+    schema = schema.add("log_perplexity", "double")
+    blocks = spark.table(name).filter("block is not null").select(F.col("shard").alias("of"), "block")
+    found = blocks.groupBy("of").cogroup(answers.groupBy("shard")).applyInArrow(_scorer(schema.names), schema)
+    found = written(found, "scored")
+    forget(p)
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, path)
+    return found
+
 
-    schema = f"doc_id {kind}, lang string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", log_perplexity double"
-    scored = written(base.mapInArrow(score, schema), "scored")
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", wide: float = WIDE, slack: float = SLACK) -> DataFrame:
+    """(doc_id, counts of COUNTS, base_failed, kept, lang, log_perplexity) for every row."""
+    rows = scored(docs, id_col, text_col, lang_col)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed)
+    rows = rows.withColumn("base_failed", failed)
     quarters = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10000)
-    band = scored.filter("not base_failed").groupBy("lang").agg(quarters.alias("q"))
+    band = rows.filter("not base_failed").groupBy("lang").agg(quarters.alias("q"), F.percentile_approx("n_words", F.lit(0.5), 10000).alias("typical"))
     reach = F.greatest(F.lit(wide) * (F.col("q")[1] - F.col("q")[0]), F.lit(slack))
-    band = written(band.select("lang", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), reach.alias("reach")), "bands")
-    far = F.col("reach") * F.sqrt(1 + F.lit(SHORT) / F.greatest("n_words", F.lit(1)))
+    band = written(band.select("lang", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), reach.alias("reach"), "typical"), "bands")
+    far = F.col("reach") * F.sqrt(1 + F.col("typical") / F.greatest("n_words", F.lit(1)))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower") - far, F.col("upper") + far), F.lit(True))
-    return scored.join(band, "lang", "left").select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", "log_perplexity")
+    return rows.join(band, "lang", "left").select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", "log_perplexity")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -223,14 +223,89 @@ def test_base_counts_and_bands(make):
     assert perplexity.quality_rules(make([])).count() == 0
 
 
-def test_kneser_ney_is_a_distribution():
-    data, offsets = raw(pa.array([sentence(400), "Other Text, 12."]))
-    gram, _ = perplexity.grams(data, offsets)
-    keys, count = np.unique(gram, return_counts=True)
-    model = perplexity.KneserNey(keys, count)
-    for context in (keys[0] >> 6, keys[len(keys) // 2] >> 6, 63 << 12 | 62 << 6 | 61):
-        every = (np.uint32(context) << np.uint32(6)) | np.arange(64, dtype=np.uint32)
-        assert abs(np.exp(model.log_probability(every).astype(float)).sum() - 1) < 1e-3
+def test_bands_are_of_each_language_and_have_two_ends(make):
+    rng = random.Random(12)
+    say = lambda chars, n: " ".join("".join(rng.choice(chars) for _ in range(rng.randint(3, 7))) for _ in range(n))
+    texts = [say("abcdefgh", 80) for _ in range(80)] + [say("йцукенгш", 80) for _ in range(80)]
+    texts += [say("mnopqrst", 80), say("|#*$%~^@", 80), "abcde " * 9 + "bcdef ghabc defgh aabbc cdeef fghha hgfed dcbaa", say("abcdefgh", 80)]
+    langs = {i: "ru" if 80 <= i < 160 or i == 163 else "en" for i in range(len(texts))}
+    found = by_id(perplexity.quality_rules(make(texts, langs=langs)))
+    assert all(found[i]["kept"] for i in range(160))
+    assert [found[i]["kept"] for i in (160, 161, 163)] == [False] * 3  # other letters, symbols, another language's text
+
+
+def brute_kneser_ney(texts):
+    """Probability of each 4-gram's last character, with grams of one text alone pruned."""
+    marked = ["\x02" * 3 + t for t in texts]
+    count = {4: Counter(g for t in marked for g in {t[i : i + 4] for i in range(len(t) - 3)})}
+    kept = {4: {g for g, c in count[4].items() if c >= 2}}
+    for n in (3, 2, 1):
+        count[n] = Counter({g[1:]: 0 for g in count[n + 1]})
+        count[n].update(g[1:] for g in kept[n + 1])
+        kept[n] = {g for g, c in count[n].items() if c > 0}
+    p = {0: {"": perplexity.UNSEEN}}
+    for n in (1, 2, 3, 4):
+        t = [max(1, sum(c == k for c in count[n].values())) for k in (1, 2, 3, 4)]
+        y = t[0] / (t[0] + 2 * t[1])
+        cut = [0, *(min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))]
+        total, mass, p[n] = Counter(), Counter(), {}
+        for g, c in count[n].items():
+            total[g[:-1]] += c
+            mass[g[:-1]] += c - cut[min(c, 3)] if g in kept[n] else 0
+        for g, c in count[n].items():
+            own = c - cut[min(c, 3)] if g in kept[n] else 0
+            h = g[:-1]
+            p[n][g] = (own / total[h] + (1 - mass[h] / total[h]) * p[n - 1][g[1:]]) if total[h] else p[n - 1][g[1:]]
+    return p[4]
+
+
+def test_log_perplexity_equals_brute_force(make, monkeypatch):
+    monkeypatch.setattr(perplexity, "BLOCK_BYTES", 300)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(WORDS[:40]) for _ in range(30)) for _ in range(40)] + ["éé日本 x", "ab", "a", "🙂🙂 b", None, ""]
+    langs = {i: "de" if i % 3 == 0 else "en" for i in range(len(texts))}
+    found = by_id(perplexity.scored(make(texts, langs=langs)))
+    fold = lambda t: "".join(c if c < "\U00010000" else chr(0xD800 + int(perplexity.mix(np.array([ord(c)], np.uint64))[0] & np.uint64(0x7FF))) for c in t or "")
+    for lang in ("de", "en"):
+        mine = [i for i in range(len(texts)) if langs[i] == lang]
+        p = brute_kneser_ney([fold(texts[i]) for i in mine])
+        for i in mine:
+            t = "\x02" * 3 + fold(texts[i])
+            want = -np.mean([np.log(p[t[k : k + 4]]) for k in range(len(t) - 3)]) if texts[i] else None
+            assert found[i]["log_perplexity"] == (None if want is None else pytest.approx(want, rel=1e-5)), i
+
+
+def test_kneser_ney_is_a_distribution(spark):
+    """Kept grams and the back-off weight share out all of a context's probability."""
+    texts = [sentence(40) for _ in range(30)]
+    count = Counter()
+    for t in texts:
+        gram, at = perplexity.grams(*raw(pa.array([t])))
+        count.update(dict(zip(*(x.tolist() for x in perplexity.texts_with(gram, at)), strict=True)))
+    rows = spark.createDataFrame([("x", g - (1 << 64) if g >> 63 else g, n) for g, n in count.items()], "lang string, gram bigint, c bigint")
+    p = {r["gram"] % (1 << 64): r["p"] for r in perplexity.kneser_ney(rows).collect()}
+    assert set(p) == set(count) and all(0 < x <= 1 for x in p.values())
+    by_context = {}
+    for g, x in p.items():
+        by_context[g >> 16] = by_context.get(g >> 16, 0) + x
+    assert all(x <= 1 + 1e-9 for x in by_context.values()) and max(by_context.values()) > 0.9
+
+
+def test_hash_array_finds_what_it_holds():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 5000):
+        key = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        found = perplexity.HashArray(key, np.arange(len(key), dtype=float))
+        assert (found(key) == np.arange(len(key))).all()
+        assert np.isnan(found(rng.integers(1 << 62, 1 << 63, 100).astype(np.uint64))).all()
+
+
+def test_texts_with_counts_each_text_once():
+    texts = ["abab abab", "ab", "", "xabab", "日本日本日本"]
+    gram, at = perplexity.grams(*raw(pa.array(texts)))
+    got = dict(zip(*(x.tolist() for x in perplexity.texts_with(gram, at)), strict=True))
+    want = Counter(g for t in texts for g in {("\x02" * 3 + t)[i : i + 4] for i in range(len(t))})
+    assert got == {sum(ord(c) << 16 * (3 - k) for k, c in enumerate(g)): n for g, n in want.items()}
 
 
 def two_languages(n=60):
