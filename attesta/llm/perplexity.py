@@ -205,7 +205,8 @@ def _level(counts: DataFrame, order: int, least: int, shorter: DataFrame | None)
     y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
     cuts = [F.least(F.greatest(k - (k + 1) * y * F.col(f"t{k + 1}") / F.col(f"t{k}"), F.lit(0.05)), F.lit(k - 0.05)) for k in (1, 2, 3)]
     cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    each = counts.join(seen.select("lang", *(c.alias(f"d{k}") for k, c in enumerate(cuts, 1))), "lang")
+    # a row a language: broadcast, or the windows below would keep a language's partitioning and with it all its grams in one task
+    each = counts.join(F.broadcast(seen.select("lang", *(c.alias(f"d{k}") for k, c in enumerate(cuts, 1)))), "lang")
     each = each.select("lang", "gram", "c", F.when(F.col("c") >= least, F.col("c") - cut).otherwise(0.0).alias("x"))
     context = Window.partitionBy("lang", F.shiftrightunsigned("gram", BITS))
     each = each.withColumns({"total": F.sum("c").over(context).cast("double"), "kept": F.sum("x").over(context)})
@@ -289,18 +290,37 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return found
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
+def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, counts of COUNTS, base_failed) for every row, without a model."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = StructType(base.schema.fields[:1])
+    for c in COUNTS:
+        schema = schema.add(c, "long")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                counts = base_counts(*raw(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in counts)], schema.names)
+
+    return base.mapInArrow(count, schema).withColumn("base_failed", _failed())
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", wide: float = WIDE, slack: float = SLACK) -> DataFrame:
     """(doc_id, counts of COUNTS, base_failed, kept, lang, log_perplexity) for every row."""
     rows = scored(docs, id_col, text_col, lang_col)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
+    rows = rows.withColumn("base_failed", _failed())
     quarters = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10000)
     band = rows.filter("not base_failed").groupBy("lang").agg(quarters.alias("q"), F.percentile_approx("n_words", F.lit(0.5), 10000).alias("typical"))
     reach = F.greatest(F.lit(wide) * (F.col("q")[1] - F.col("q")[0]), F.lit(slack))
     band = written(band.select("lang", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), reach.alias("reach"), "typical"), "bands")
     far = F.col("reach") * F.sqrt(1 + F.col("typical") / F.greatest("n_words", F.lit(1)))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower") - far, F.col("upper") + far), F.lit(True))
-    return rows.join(band, "lang", "left").select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", "log_perplexity")
+    return rows.join(F.broadcast(band), "lang", "left").select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", "log_perplexity")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
