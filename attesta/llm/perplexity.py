@@ -148,12 +148,33 @@ class HashArray:
         return found
 
 
+def bucket_of(value: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket in which Spark puts a long: its Murmur3 hash with seed 42."""
+    value, h = value.astype(np.uint64), np.full(len(value), 42, np.uint32)
+    turn = lambda x, k: (x << np.uint32(k)) | (x >> np.uint32(32 - k))
+    for word in (value.astype(np.uint32), (value >> np.uint64(32)).astype(np.uint32)):
+        h ^= turn(word * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % buckets
+
+
+def shard_number(part: int, turn: int, buckets: int) -> int:
+    """A number of a partition's shard that lies in a bucket of its own, as far as there are buckets."""
+    tries = (part << 40 | turn << 28) + np.arange(min(1 << 28, 64 * buckets))
+    hit = np.flatnonzero(bucket_of(tries, buckets) == (part + turn * (buckets // 2 + 1)) % buckets)
+    return int(tries[hit[0] if len(hit) else 0])
+
+
 _GATHERED = "shard bigint, lang string, gram bigint, n bigint, block binary"
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Compressed blocks of rows, and at the end of each shard its distinct grams by language with the number of their texts."""
-    shard, size = TaskContext.get().partitionId() << 24, 0
+    part_id, turn, size = TaskContext.get().partitionId(), 0, 0
+    shard = shard_number(part_id, turn, buckets)
     seen: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +205,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += part.nbytes
             if size >= SHARD_BYTES:
                 yield from close()
-                shard, size = shard + 1, 0
+                turn, size = turn + 1, 0
+                shard = shard_number(part_id, turn, buckets)
     yield from close()
 
 
@@ -271,8 +293,9 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     name = f"attesta_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    gathered = base.mapInArrow(_gather, _GATHERED).write.option("path", path).option("compression", "lz4")
-    gathered.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").saveAsTable(name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    gathered = base.mapInArrow(lambda batches: _gather(batches, buckets), _GATHERED).write.option("path", path).option("compression", "lz4")
+    gathered.bucketBy(buckets, "shard").saveAsTable(name)
     table = spark.table(name)
     shards = table.filter("gram is not null").select("shard", "lang", "gram", "n")
     p = kneser_ney(shards.groupBy("lang", "gram").agg(F.sum("n").alias("c")))

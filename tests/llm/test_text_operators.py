@@ -291,6 +291,15 @@ def test_kneser_ney_is_a_distribution(spark):
     assert all(x <= 1 + 1e-9 for x in by_context.values()) and max(by_context.values()) > 0.9
 
 
+def test_shards_part_over_the_buckets(spark):
+    rng = np.random.default_rng(9)
+    values = np.concatenate((rng.integers(0, 1 << 62, 50), [0, 1, 1 << 40]))
+    rows = spark.createDataFrame([(int(v),) for v in values], "v bigint").selectExpr("v", "pmod(hash(v), 13) AS b").collect()
+    assert [r["b"] for r in rows] == perplexity.bucket_of(np.array([r["v"] for r in rows]), 13).tolist()
+    numbers = np.array([perplexity.shard_number(p, t, 40) for p in range(20) for t in range(2)])
+    assert len(set(numbers.tolist())) == 40 and len(set(perplexity.bucket_of(numbers, 40).tolist())) >= 39
+
+
 def test_hash_array_finds_what_it_holds():
     rng = np.random.default_rng(4)
     for n in (0, 1, 2, 5000):
