@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_folder, slices, written
+from .common import forget, read, shared_folder, slices, written
 from .tokens import encoded, ids_of
 
 BLOCK_BYTES = 1 << 20
@@ -156,6 +156,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     payload = waiting.select("doc_id", "n_tokens", "ids").mapInArrow(code, "shard int, doc_id bigint, n_tokens bigint, control binary, data binary")
     payload = payload.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n_tokens", "data", "control")
     payload.mapInArrow(block, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
+    forget(waiting, sizes)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -182,6 +183,6 @@ def op2_token_binary(spark, sf_dir: str) -> DataFrame:
     """What the written files hold of every document."""
     import public_tokenizers
 
-    path = f"{shared_folder(spark)}/attesta/tokens-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return read_token_files(spark, path)
