@@ -39,12 +39,23 @@ def _none() -> Column:
     return F.array().cast(TARGETS)
 
 
+def _keyed_places(mentions: DataFrame) -> DataFrame:
+    """(key, places, keyless): places as sets of structs that sort as they are listed, (lower file, file, lower locator, locator)."""
+    keys = F.when(F.size("citation_keys") > 0, F.col("citation_keys")).otherwise(F.array(C.visible_key("raw_text")))
+    locator = F.concat("locator_type", F.lit(":"), "locator_value")
+    place = F.struct(F.lower("path").alias("kf"), F.col("path").alias("file"), F.lower(locator).alias("kl"), locator.alias("locator"))
+    each = mentions.select(place.alias("place"), (F.size("citation_keys") == 0).alias("keyless"), F.explode(keys).alias("key"))
+    return each.groupBy("key").agg(F.collect_set("place").alias("places"), F.max("keyless").alias("keyless"))
+
+
+def _listed(places: Column | str) -> Column:
+    """Places in order, as targets."""
+    return F.transform(F.array_sort(places), lambda p: F.struct(p["file"].alias("file"), p["locator"].alias("locator")))
+
+
 def citation_index(mentions: DataFrame) -> DataFrame:
     """(key, targets, keyless): every citation key with the places that cite it; a citation without a key has a hashed one."""
-    keys = F.when(F.size("citation_keys") > 0, F.col("citation_keys")).otherwise(F.array(C.visible_key("raw_text")))
-    place = F.struct(F.col("path").alias("file"), F.concat("locator_type", F.lit(":"), "locator_value").alias("locator"))
-    each = mentions.select(F.explode(keys).alias("key"), place.alias("place"), (F.size("citation_keys") == 0).alias("keyless"))
-    return each.groupBy("key").agg(X.sorted_pairs(F.collect_set("place")).alias("targets"), F.max("keyless").alias("keyless"))
+    return _keyed_places(mentions).select("key", _listed("places").alias("targets"), "keyless")
 
 
 def artifact_index(artifacts: DataFrame) -> DataFrame:
@@ -57,7 +68,7 @@ def artifact_index(artifacts: DataFrame) -> DataFrame:
 def build(mentions: DataFrame, sources: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
     """Manifest rows of all citations and all sources. artifacts: (source_id, the columns of ARTIFACT, conflicts)."""
     merged = coalesce_sources(sources)
-    index = citation_index(mentions)
+    index = _keyed_places(mentions)
     keyed = index.filter("not keyless")
     mapped = map_identifiers(keyed.select(F.col("key").alias("request_id")), merged)
     told = index.join(mapped.withColumnRenamed("request_id", "key"), "key", "left")
@@ -67,7 +78,7 @@ def build(mentions: DataFrame, sources: DataFrame, artifacts: DataFrame | None =
     })
     found = told.filter("status = 'resolved'").groupBy(F.get("source_ids", 0).alias("source_id")).agg(
         X.sorted_unique(F.collect_set("key")).alias("keys"),
-        X.sorted_pairs(F.flatten(F.collect_list("targets"))).alias("targets"),
+        _listed(F.array_distinct(F.flatten(F.collect_list("places")))).alias("targets"),
         F.min_by("rule", F.struct(_rank(F.col("rule"), _RULE_RANK), "rule")).alias("rule"),
     )
     rows = merged.withColumnRenamed("conflicts", "own").join(found, "source_id", "left")
@@ -91,7 +102,7 @@ def build(mentions: DataFrame, sources: DataFrame, artifacts: DataFrame | None =
     blank = lambda *names: [F.lit("").alias(n) for n in names]
     incomplete = open_.select(
         *blank("source_id", "provider"), F.col("key").alias("bibliography_key"), F.array("key").alias("aliases"), *blank("title"), X.empty_array().alias("authors"), F.lit(None).cast("int").alias("year"),
-        *blank("doi", "source_path", "media_type", "source_sha256"), "targets", F.col("status").alias("mapping_status"), F.col("rule").alias("mapping_rule"),
+        *blank("doi", "source_path", "media_type", "source_sha256"), _listed("places").alias("targets"), F.col("status").alias("mapping_status"), F.col("rule").alias("mapping_rule"),
         F.col("source_ids").alias("candidate_source_ids"), F.lit("not_run").alias("extraction_status"), F.lit("unknown").alias("text_quality"), *blank("cache_path"), F.array("note").alias("conflicts"),
     )
     return of_source.select(NAMES).union(incomplete.select(NAMES))
