@@ -374,6 +374,63 @@ def test_forward_backward_is_exact():
             assert np.allclose(want / want.sum(1, keepdims=True), p[row == r])
 
 
+def test_language_prediction_equals_a_plain_field(make):
+    """Features word by word, and forward-backward a text at a time."""
+    a, b = two_languages(30)
+    field = language.train(a + b, ["en"] * 30 + ["de"] * 30)
+    hashed = lambda x: language.Prefixes(np.frombuffer(x, np.uint8))(np.array([0]), np.array([len(x)]))[0]
+    salt, top = language._SALT, np.uint64(64 - language.BITS)
+
+    def weights(word):
+        own = hashed(word)
+        keys = [own + salt[0]]
+        for k in range(1, min(4, len(word)) + 1):
+            keys += [hashed(word[:k]) + salt[k], hashed(word[-k:]) + salt[4 + k]]
+        keys += [hashed(word[i : i + 3]) + salt[9] for i in range(len(word) - 2)]
+        known = [int(x) for k, x in zip(field.lexicon.keys, field.lexicon.label, strict=True) if k == own]
+        keys += [np.uint64(x) + salt[10] for x in known]
+        return sum(field.weights[int(language.mix(np.array([k], np.uint64))[0] >> top)].astype(float) for k in keys)
+
+    texts = [a[0] + " " + b[1], "Thing sche 12 ÉTé x", b[2][:20], "a"]
+    mean, count, sure = field.predict(*raw(pa.array(texts)))
+    for t, got, n, certain in zip(texts, mean, count, sure, strict=True):
+        low = "".join(c.lower() if ord(c) < 256 else c for c in t)
+        e = np.array([weights(w) for w in re.findall(rb"[a-zA-Z\x80-\xff]+", low.encode())])
+        move, back = np.exp(field.transition), np.ones((len(e), 2))
+        ahead = np.zeros((len(e), 2))
+        for i in range(len(e)):
+            ahead[i] = (np.exp(field.start) if i == 0 else ahead[i - 1] @ move) * np.exp(e[i] - e[i].max())
+            ahead[i] /= ahead[i].sum()
+        for i in range(len(e) - 2, -1, -1):
+            back[i] = move @ (np.exp(e[i + 1] - e[i + 1].max()) * back[i + 1])
+            back[i] /= back[i].sum()
+        p = ahead * back / (ahead * back).sum(1, keepdims=True)
+        assert n == len(e) and np.allclose(got, p.mean(0), atol=1e-5) and abs(certain - p.max(1).mean()) < 1e-5
+
+
+def test_passage_scores_equal_plain_loops():
+    rng = np.random.default_rng(3)
+    model = quality.Attention()
+    model.mean, model.scale = rng.normal(size=quality.N_FEATURES).astype(np.float32), rng.uniform(0.5, 2, quality.N_FEATURES).astype(np.float32)
+    texts = [sentence(150), "One two. Three!! four", ""]
+    x, owner = quality.passages(*raw(pa.array(texts)))
+    assert owner.tolist() == [0, 0, 0, 1, 2]
+    w, squash, sigmoid = model.w, np.tanh, lambda v: 1 / (1 + np.exp(-v))
+    for i in range(3):
+        h = [squash(((r - model.mean) / model.scale) @ w["A"] + w["b"]) for r in x[owner == i].astype(float)]
+        e = [np.exp(w["w"] @ (squash(v @ w["V"]) * sigmoid(v @ w["U"]))) for v in h]
+        z = sum(a * v for a, v in zip(e, h, strict=True)) / sum(e)
+        assert abs(model.score(x, owner, 3)[i] - sigmoid(z @ w["c"] + w["d"][0])) < 1e-4
+    hashed = lambda b: quality.Prefixes(np.frombuffer(b, np.uint8))(np.array([0]), np.array([len(b)]))[0]
+    want, n = np.zeros(quality.BUCKETS), 0
+    for word in texts[1].encode().split():
+        for key, salt in [(word, 0)] + [(word[i : i + 4], 1) for i in range(len(word) - 3)]:
+            k = int(quality.mix(np.array([hashed(key) + quality._SALT[salt]], np.uint64))[0])
+            want[k % quality.BUCKETS] += 1 - 2 * (k >> 63)
+            n += 1
+    assert np.allclose(x[3, quality.N_FORM :], want / np.sqrt(n), atol=1e-6)
+
+
 def test_quality_attention(make, spark):
     good = [sentence(120) for _ in range(80)]
     bad = [" ".join(w.upper() + "!!" for w in sentence(120).split()) for _ in range(40)] + ["Erst, " * 150] * 10
