@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from attesta.llm import language, minhash, packing, quality, repeats
 from attesta.llm.common import forget, free, named, read, written
 
-#: Least mean, over a document's words, of a word's greatest posterior. A text of several languages can be sure of each word.
-SURE = 0.4
+#: Least mean, over a document's words, of a word's greatest posterior: one language is likelier than all others together. A text of
+#: several languages can be sure of each word.
+SURE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
