@@ -1,6 +1,7 @@
 """The pipeline's stages take effect and keep what is clean."""
 
 import random
+import re
 
 import corpus_pipeline
 from attesta.llm import minhash, queries
@@ -82,5 +83,6 @@ def test_a_clean_text_of_three_languages_stays(spark, tmp_path):
 
 
 def test_ten_queries_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    numbers = [int(m[1]) for m in (re.match(r"op(\d+)_", n) for n in queries.QUERIES) if m]
+    assert sorted(numbers) == list(range(1, 11))
     assert minhash.op1_minhash_near_dedup.__doc__
