@@ -69,6 +69,23 @@ def spans(targets: DataFrame, sources: DataFrame, n: int = 4) -> DataFrame:
     return runs.select(*SPAN, "first", "last", (F.col("first") - F.col("shift")).alias("source_first"))
 
 
+def covered(targets: DataFrame, sources: DataFrame, n: int = 4) -> DataFrame:
+    """(doc, block, first, last): runs of target words that some source shares. A target n-gram is one row however many sources hold it."""
+    some = sources.select("h", "gram").distinct()
+    hit = targets.join(some, ["h", "gram"], "left_semi").select("doc", "block", "pos")
+    line = Window.partitionBy("doc", "block").orderBy("pos")
+    fresh = F.coalesce(F.col("pos") - F.lag("pos").over(line) > n, F.lit(True)).cast("int")
+    island = hit.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(line))
+    return island.groupBy("doc", "block", "island").agg(F.min("pos").alias("first"), (F.max("pos") + n - 1).alias("last")).drop("island")
+
+
+def overall_of_runs(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """overall() from disjoint runs (doc, first, last)."""
+    hit = runs.groupBy("doc").agg(F.sum(F.col("last") - F.col("first") + 1).alias("matched"))
+    both = words.join(hit, "doc", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    return both.select("doc", "n_words", "matched", ratio(F.col("matched"), F.nullif("n_words", F.lit(0))).alias("similarity"))
+
+
 def candidates(targets: DataFrame, sources: DataFrame, n: int = 4) -> DataFrame:
     """(doc, block, pos, source, source_block, source_pos): each position of each n-gram that target and source share. Inputs are shingles()."""
     found = spans(targets, sources, n)

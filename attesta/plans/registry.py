@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import manifest_queries, similarity_queries, text_queries
+from . import file_queries, manifest_queries, similarity_queries, text_queries
 
-_MODULES = (similarity_queries, text_queries, manifest_queries)
+_MODULES = (similarity_queries, text_queries, manifest_queries, file_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

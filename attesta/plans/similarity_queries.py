@@ -37,8 +37,9 @@ def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sim_overall(spark, sf_dir):
-    _, words, matches = _parts(spark, sf_dir)
-    return S.overall(matches, words)
+    docs, sources = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    runs = S.covered(S.shingles(docs, "doc_id", "text"), S.shingles(sources, "item_id", "text"))
+    return S.overall_of_runs(runs, S.word_counts(docs, "doc_id", "text"))
 
 
 def sim_per_source(spark, sf_dir):
