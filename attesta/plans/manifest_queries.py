@@ -87,6 +87,26 @@ def map_cascade(spark, sf_dir):
     return found.select("request_id", "status", F.array_join("source_ids", "|").alias("source_ids"), "rule")
 
 
+def map_parts(spark, sf_dir):
+    """A request for every part, by one of its marks: DOI, key, title with author and year, title, file name. Titles repeat."""
+    part = read(spark, sf_dir, "part").withColumn("k", F.col("p_partkey").cast("string"))
+    author = F.array(F.concat(F.lit("Ann "), "p_brand"))
+    sources = part.select(
+        F.concat(F.lit("part:"), "k").alias("source_id"), F.array(F.concat(F.lit("Key"), "k")).alias("aliases"), F.col("p_type").alias("title"), author.alias("authors"), F.col("p_size").alias("year"),
+        F.concat(F.lit("10.1000/p"), "k").alias("doi"), F.lit("").alias("url"), F.array(F.concat(F.lit("/lib/f"), "k", F.lit(".pdf"))).alias("local_files"), F.lit("part").alias("provider"),
+    )
+    by = lambda m, x, default: F.when(F.col("p_partkey") % 5 == m, x).otherwise(default)
+    none, title = X.empty_array(), F.upper("p_type")
+    requests = part.select(
+        F.col("k").alias("request_id"), by(0, F.concat(F.lit("https://doi.org/10.1000/P"), "k", F.lit(".")), F.lit("")).alias("doi"), by(1, F.array(F.concat(F.lit(" kEY"), "k")), none).alias("identifiers"),
+        by(2, title, by(3, title, F.lit(""))).alias("title"), by(2, F.array(F.concat("p_brand", F.lit(", A."))), none).alias("authors"), by(2, F.col("p_size"), F.lit(None).cast("int")).alias("year"),
+        by(4, F.array(F.concat(F.lit("/else/F"), "k", F.lit(".PDF"))), none).alias("files"),
+    )
+    names = [c.split()[0] for c in P.REQUEST.split(", ")]
+    found = P.map_sources(requests.toDF(*names), sources)
+    return found.select("request_id", "status", F.size("source_ids").cast("bigint").alias("n"), F.coalesce(F.get("source_ids", 0), F.lit("")).alias("first"), "rule")
+
+
 def map_citations(spark, sf_dir):
     keys = _mentions(spark, sf_dir).select(F.explode("citation_keys").alias("request_id")).distinct()
     return P.map_identifiers(keys, _sources(spark, sf_dir)).select("request_id", "status", "rule", F.array_join("source_ids", "|").alias("source_ids"))
@@ -354,6 +374,11 @@ _NAMED = "'source:' || sha256('found' || chr(31) || {a} || chr(31) || '1999')"
 
 SQL = {
     "map_cascade": f"SELECT * FROM {values(MAPPED, 'request_id, status, source_ids, rule')}",
+    "map_parts": """WITH s AS (SELECT 'part:' || p_partkey AS sid, lower(p_type) AS title, regexp_extract(p_brand, '[0-9]+$') AS family, p_size FROM part),
+r AS (SELECT p_partkey, p_partkey % 5 AS m, lower(p_type) AS title, regexp_extract(p_brand, '[0-9]+$') AS family, p_size FROM part),
+t AS (SELECT title, count(*) AS n, min(sid) AS first FROM s GROUP BY ALL), a AS (SELECT title, family, p_size, count(*) AS n, min(sid) AS first FROM s GROUP BY ALL),
+f AS (SELECT p_partkey, m, CASE m WHEN 2 THEN a.n WHEN 3 THEN t.n ELSE 1 END AS n, CASE m WHEN 2 THEN a.first WHEN 3 THEN t.first ELSE 'part:' || p_partkey END AS first FROM r JOIN t USING (title) JOIN a USING (title, family, p_size))
+SELECT CAST(p_partkey AS VARCHAR) AS request_id, CASE n WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status, n, first, (['doi', 'identifier', 'title-author-year', 'title', 'filename'])[m + 1] AS rule FROM f""",
     "map_citations": f"{_SRC} SELECT key AS request_id, status, rule, ids AS source_ids FROM st",
     "coalesce_sources": _COALESCED,
     "citation_index": f"{_SRC} SELECT key, count(*) AS n, arg_min(file, file || ' ' || loc) AS first_file, arg_min(loc, file || ' ' || loc) AS first_locator, false AS keyless FROM cit GROUP BY key",

@@ -46,8 +46,30 @@ LISTS = [(1, '["a","b"]'), (2, "a | b ||c"), (3, '[1,"x",null]'), (4, ""), (5, '
 LINKS = [(1, "http://example.org/a.pdf"), (2, "file:///tmp/a%20b.pdf"), (3, "C:\\docs\\a.pdf"), (4, "a/../b.pdf"), (5, "ftp://x"), (6, "/abs/./x.pdf")]
 
 
-def _rows(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
+# What the tables give besides the inline rows, in SQL that Spark and DuckDB both read; ids begin at 1000.
+MORE = {
+    "cited": ("part", "p_partkey + 1000", {"text": r"'Claim [@part' || p_partkey || '; @x.y' || p_size || '.], see (' || p_brand || ', ' || (1860 + p_size) || 'b) and (n. ' || p_size || '); \\cite{k' || p_partkey || ',  m }, me@k' || p_size"}),
+    "dois": ("part", "p_partkey + 1000", {"doi": "CASE p_partkey % 4 WHEN 0 THEN 'https://doi.org/10.' || (1000 + p_size) || '/ABC(' || p_partkey || ').' WHEN 1 THEN ' doi: 10.5555/X.' || p_partkey || ')' WHEN 2 THEN '10.' || p_size || '/' || p_name ELSE p_name END"}),
+    "names": ("customer", "c_custkey + 1000", {"name": "CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || ', Ana  de ' || c_name ELSE 'Ana ' || c_mktsegment END", "protected": "c_custkey % 2 = 0"}),
+    "paths": ("part", "p_partkey + 1000", {"path": "'/p/' || p_brand || '/' || p_name || CASE p_size % 6 WHEN 0 THEN '.Pdf' WHEN 1 THEN '.qmd' WHEN 2 THEN '.x.TEX' WHEN 3 THEN '' WHEN 4 THEN '.zzz' ELSE '.html' END"}),
+    "ids": ("part", "p_partkey + 1000", {"source_id": "'..' || p_name || ' ' || p_brand || '/'", "path": "'/p/' || p_partkey"}),
+    "lists": ("conversations", "conv_id * 1000 + turn + 1000", {"cell": "CASE turn % 3 WHEN 0 THEN '[\"' || role || '\",\"' || conv_id || '\",7]' WHEN 1 THEN role || ' | ' || conv_id || '||' ELSE '{\"a\":' || turn || '}' END"}),
+    "links": ("part", "p_partkey + 1000", {"link": "CASE p_partkey % 3 WHEN 0 THEN 'lib/./x/../' || p_partkey || '.pdf' WHEN 1 THEN 'file:///lib/n%20' || p_partkey ELSE 'https://e.org/' || p_partkey END"}),
+}
+
+
+def _rows(spark, sf_dir, which, rows, schema):
+    """The inline rows and those that the tables give."""
+    table, key, more = MORE[which]
+    inline = spark.createDataFrame(rows, schema.replace("id int", "id bigint"))
+    return inline.union(read(spark, sf_dir, table).selectExpr(f"CAST({key} AS bigint) AS id", *(f"{v} AS {k}" for k, v in more.items())))
+
+
+def _both(which, rows, names):
+    """The same in SQL."""
+    table, key, more = MORE[which]
+    columns = ", ".join(["id", *more])
+    return f"(SELECT {columns} FROM {values(rows, names)} UNION ALL SELECT {key}, {', '.join(more.values())} FROM {table})"
 
 
 def text_lines(spark, sf_dir):
@@ -143,18 +165,18 @@ def page_blocks(spark, sf_dir):
 
 
 def visible_citations(spark, sf_dir):
-    rows = _rows(spark, CITED, "id int, text string")
+    rows = _rows(spark, sf_dir, "cited", CITED, "id int, text string")
     return rows.select("id", F.explode(C.visible("text")).alias("raw")).select("id", "raw", C.visible_key("raw").alias("key"))
 
 
 def citation_keys(spark, sf_dir):
-    rows = _rows(spark, CITED, "id int, text string")
+    rows = _rows(spark, sf_dir, "cited", CITED, "id int, text string")
     at = rows.select("id", F.lit("at").alias("kind"), F.explode(C.at_keys("text")).alias("key"))
     return at.union(rows.select("id", F.lit("tex"), F.explode(C.tex_keys("text"))))
 
 
 def doi_normalized(spark, sf_dir):
-    return _rows(spark, DOIS, "id int, doi string").select("id", I.normalize_doi("doi").alias("norm"), I.looks_like_doi("doi").alias("is_doi"))
+    return _rows(spark, sf_dir, "dois", DOIS, "id int, doi string").select("id", I.normalize_doi("doi").alias("norm"), I.looks_like_doi("doi").alias("is_doi"))
 
 
 def title_keys(spark, sf_dir):
@@ -162,7 +184,7 @@ def title_keys(spark, sf_dir):
 
 
 def author_names(spark, sf_dir):
-    rows = _rows(spark, NAMES, "id int, name string, protected boolean")
+    rows = _rows(spark, sf_dir, "names", NAMES, "id int, name string, protected boolean")
     one = rows.select("id", F.get(I.normalize_authors(F.array("name"), F.array("protected")), 0).alias("natural"), I.family_variants("name").alias("variants"))
     return one.select("id", "natural", F.array_join(F.array_sort(F.transform("variants", lambda v: F.array_join(v, " "))), "|").alias("variants"))
 
@@ -181,20 +203,20 @@ def source_identities(spark, sf_dir):
 
 
 def media_types(spark, sf_dir):
-    return _rows(spark, PATHS, "id int, path string").select("id", X.suffix("path").alias("suffix"), X.supported("path").alias("supported"), X.media_type("path").alias("media_type"))
+    return _rows(spark, sf_dir, "paths", PATHS, "id int, path string").select("id", X.suffix("path").alias("suffix"), X.supported("path").alias("supported"), X.media_type("path").alias("media_type"))
 
 
 def cache_names(spark, sf_dir):
-    return _rows(spark, SOURCE_IDS, "id int, source_id string, path string").select("id", X.cache_name("source_id", "path").alias("name"))
+    return _rows(spark, sf_dir, "ids", SOURCE_IDS, "id int, source_id string, path string").select("id", X.cache_name("source_id", "path").alias("name"))
 
 
 def json_lists(spark, sf_dir):
-    rows = _rows(spark, LISTS, "id int, cell string")
+    rows = _rows(spark, sf_dir, "lists", LISTS, "id int, cell string")
     return rows.select("id", X.json_list(X.parse_list("cell")).alias("encoded"), F.size(X.parse_list("cell")).cast("bigint").alias("n"))
 
 
 def local_links(spark, sf_dir):
-    return _rows(spark, LINKS, "id int, link string").select("id", I.local_reference("link").alias("is_local"), I.local_path("link", F.lit("/base/dir")).alias("path"))
+    return _rows(spark, sf_dir, "links", LINKS, "id int, link string").select("id", I.local_reference("link").alias("is_local"), I.local_path("link", F.lit("/base/dir")).alias("path"))
 
 
 def file_hashes(spark, sf_dir):
@@ -271,7 +293,7 @@ j AS (SELECT claims.claim_id, eligible, has_citation, CASE WHEN c IS NULL THEN N
 mx AS (SELECT cit.*, joint, label <> 'unverifiable' AND coalesce(joint, '') <> 'unverifiable' AS classifiable, coalesce(joint = 'full' AND label IN ('full', 'partial'), false) AS supporting FROM cit JOIN j USING (claim_id))"""
 _AT = r"unnest(regexp_extract_all(' ' || text, '(?:^|[^\w@.])@([A-Za-z0-9][A-Za-z0-9_.:+\-]*)', 1))"
 _TEX = r"unnest(regexp_extract_all(text, '\\(?:autocite|citep|citet|cite|parencite|textcite)\*?(?:\s*\[[^\]]*\])*\s*\{([^{}]*)\}', 1))"
-_CITED, _DOIS, _NAMES = values(CITED, "id, text"), values(DOIS, "id, doi"), values(NAMES, "id, name, protected")
+_CITED, _DOIS, _NAMES = _both("cited", CITED, "id, text"), _both("dois", DOIS, "id, doi"), _both("names", NAMES, "id, name, protected")
 _MEDIA = "CASE suffix " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.SUFFIX_TYPES.items())
 _LINE = r"SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
 
@@ -310,12 +332,12 @@ CASE WHEN n LIKE '%,%' THEN array_to_string(t, ' ') ELSE array_to_string(list_so
     "source_identities": """SELECT 'k' || p_partkey AS alias, CASE WHEN p_partkey % 3 = 0 THEN 'doi:10.1000/p' || p_partkey
 WHEN p_partkey % 5 = 0 THEN 'source:' || sha256(chr(31) || chr(31) || p_size || chr(31) || 'k' || p_partkey || chr(31) || '/p/' || p_partkey)
 ELSE 'source:' || sha256(lower(p_name) || chr(31) || 'Given ' || p_brand || chr(31) || p_size) END AS source_id FROM part""",
-    "media_types": rf"""WITH s AS (SELECT id, path, lower(regexp_extract(path, '[^/.][^/]*?(\.[^./]+)$', 1)) AS suffix FROM {values(PATHS, 'id, path')})
+    "media_types": rf"""WITH s AS (SELECT id, path, lower(regexp_extract(path, '[^/.][^/]*?(\.[^./]+)$', 1)) AS suffix FROM {_both('paths', PATHS, 'id, path')})
 SELECT id, suffix, suffix IN ({", ".join(f"'{k}'" for k in X.SUFFIX_TYPES)}) AS supported, {_MEDIA} WHEN '.gz' THEN 'application/octet-stream' ELSE 'application/octet-stream' END AS media_type FROM s""",
-    "cache_names": rf"SELECT id, left(coalesce(nullif(trim(regexp_replace(source_id, '[^A-Za-z0-9_.-]+', '_', 'g'), '._'), ''), 'source'), 80) || '-' || substr(sha256(source_id || chr(31) || path), 1, 16) || '.jsonl' AS name FROM {values(SOURCE_IDS, 'id, source_id, path')}",
-    "json_lists": rf"""WITH p AS (SELECT id, coalesce(cell, '') AS cell FROM {values(LISTS, 'id, cell')}), q AS (SELECT id, CASE WHEN json_valid(cell) AND json_type(cell) = 'ARRAY' THEN list_filter([CASE WHEN json_type(x) = 'VARCHAR' THEN x ->> '$' END FOR x IN CAST(cell AS JSON[])], lambda y: y IS NOT NULL) WHEN json_valid(cell) THEN [] ELSE list_filter([trim(y) FOR y IN string_split(cell, '|')], lambda y: y <> '') END AS l FROM p)
+    "cache_names": rf"SELECT id, left(coalesce(nullif(trim(regexp_replace(source_id, '[^A-Za-z0-9_.-]+', '_', 'g'), '._'), ''), 'source'), 80) || '-' || substr(sha256(source_id || chr(31) || path), 1, 16) || '.jsonl' AS name FROM {_both('ids', SOURCE_IDS, 'id, source_id, path')}",
+    "json_lists": rf"""WITH p AS (SELECT id, coalesce(cell, '') AS cell FROM {_both('lists', LISTS, 'id, cell')}), q AS (SELECT id, CASE WHEN json_valid(cell) AND json_type(cell) = 'ARRAY' THEN list_filter([CASE WHEN json_type(x) = 'VARCHAR' THEN x ->> '$' END FOR x IN CAST(cell AS JSON[])], lambda y: y IS NOT NULL) WHEN json_valid(cell) THEN [] ELSE list_filter([trim(y) FOR y IN string_split(cell, '|')], lambda y: y <> '') END AS l FROM p)
 SELECT id, CAST(to_json(l) AS VARCHAR) AS encoded, len(l) AS n FROM q""",
-    "local_links": rf"""SELECT id, link NOT LIKE '%://%' OR link LIKE 'file:%' AS is_local, CASE id WHEN 1 THEN '/base/dir/http:/example.org/a.pdf' WHEN 2 THEN '/tmp/a b.pdf' WHEN 3 THEN replace(link, '\', '/') WHEN 4 THEN '/base/dir/b.pdf' WHEN 5 THEN '/base/dir/ftp:/x' ELSE replace(link, '/./', '/') END AS path FROM {values(LINKS, 'id, link')}""",
+    "local_links": rf"""SELECT id, link NOT LIKE '%://%' OR link LIKE 'file:%' AS is_local, CASE id WHEN 1 THEN '/base/dir/http:/example.org/a.pdf' WHEN 2 THEN '/tmp/a b.pdf' WHEN 3 THEN replace(link, '\', '/') WHEN 4 THEN '/base/dir/b.pdf' WHEN 5 THEN '/base/dir/ftp:/x' WHEN 6 THEN replace(link, '/./', '/') ELSE CASE (id - 1000) % 3 WHEN 0 THEN '/base/dir/' || replace(link, './x/../', '') WHEN 1 THEN '/lib/n ' || (id - 1000) ELSE '/base/dir/' || replace(link, '//', '/') END END AS path FROM {_both('links', LINKS, 'id, link')}""",
     "file_hashes": "SELECT doc_id, sha256(text) AS sha256, 'target-' || sha256(text) AS document_id FROM documents",
     "support_joint": f"{_CLAIMS} SELECT * FROM j",
     "support_matrix": f"{_CLAIMS} SELECT claim_id, source_id, function, label, joint, classifiable, supporting FROM mx",
