@@ -152,7 +152,7 @@ def train(bags: list[np.ndarray], label: np.ndarray, epochs: int = 12, batch: in
     model, rng = Attention(), np.random.default_rng(seed)
     every = np.concatenate(bags)
     model.mean, model.scale = every.mean(0, dtype=np.float64), np.maximum(every.std(0, dtype=np.float64), 0.02)
-    model.scale[N_FORM:] *= 4  # many buckets, each of little weight
+    model.scale[N_FORM:] *= 8  # many buckets, each of little weight
     model.mean, model.scale = model.mean.astype(np.float32), model.scale.astype(np.float32)
     weight = np.where(label == 1, 0.5 / max(label.mean(), 1e-9), 0.5 / max(1 - label.mean(), 1e-9))
     first = {k: np.zeros_like(v) for k, v in model.w.items()}
