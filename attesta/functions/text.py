@@ -17,17 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+# The suffixes that are read, and their media types.
 SUFFIX_TYPES = {
-    ".htm": "text/html",
-    ".html": "text/html",
     ".doc": "application/msword",
     ".docm": "application/vnd.ms-word.document.macroEnabled.12",
     ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    ".htm": "text/html",
+    ".html": "text/html",
     ".latex": "text/x-tex",
-    ".tex": "text/x-tex",
     ".md": "text/markdown",
-    ".qmd": "text/markdown",
     ".pdf": "application/pdf",
+    ".qmd": "text/markdown",
+    ".tex": "text/x-tex",
     ".txt": "text/plain",
 }
 

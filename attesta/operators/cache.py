@@ -15,6 +15,7 @@ from attesta.functions import text as X
 from attesta.scratch import exists, forget, stage
 
 VERSION, BUCKETS = "3", 256
+# The columns of a cache line.
 CACHE = (
     "block_count int, cache_schema_version string, document_hash string, document_id string, source_id string, extraction_method string, extraction_status string, "
     "text_quality string, record_type string, block_index int, block_id string, text_original string, text_normalized string, locator_type string, locator_value string"

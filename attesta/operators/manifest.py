@@ -17,6 +17,7 @@ from attesta.sources.documents import analyzed, unusable
 
 from .mapping import coalesce_sources, map_identifiers, note_of
 
+# Columns, statuses, rules and wordings of manifests that other tools read.
 TARGETS = "array<struct<file:string,locator:string>>"
 ROW = (
     "source_id string, provider string, bibliography_key string, aliases array<string>, title string, authors array<string>, year int, doi string, "

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from attesta.functions import citations as C
+from attesta.functions import grammar as G
 from attesta.functions import identity as I
 from attesta.functions import text as X
 from attesta.operators import reports as R
@@ -291,8 +292,8 @@ expected AS (SELECT p_partkey AS source_id, p_partkey % 7 <> 0 AS readable FROM
 fl AS (SELECT claim_id, bool_or(label = 'contradicts') AS c, bool_or(label = 'full') AS f, bool_or(label = 'unverifiable') AS u FROM cit GROUP BY claim_id),
 j AS (SELECT claims.claim_id, eligible, has_citation, CASE WHEN c IS NULL THEN NULL WHEN c THEN 'not_full' WHEN f THEN 'full' WHEN u THEN 'unverifiable' ELSE 'not_full' END AS joint FROM claims LEFT JOIN fl USING (claim_id)),
 mx AS (SELECT cit.*, joint, label <> 'unverifiable' AND coalesce(joint, '') <> 'unverifiable' AS classifiable, coalesce(joint = 'full' AND label IN ('full', 'partial'), false) AS supporting FROM cit JOIN j USING (claim_id))"""
-_AT = r"unnest(regexp_extract_all(' ' || text, '(?:^|[^\w@.])@([A-Za-z0-9][A-Za-z0-9_.:+\-]*)', 1))"
-_TEX = r"unnest(regexp_extract_all(text, '\\(?:autocite|citep|citet|cite|parencite|textcite)\*?(?:\s*\[[^\]]*\])*\s*\{([^{}]*)\}', 1))"
+_AT = "unnest(regexp_extract_all(' ' || text, '" + G.PANDOC_CITATION.replace(r"(?<![\w@.])", r"(?:^|[^\w@.])") + "', 1))"  # DuckDB has no look-behind
+_TEX = f"unnest(regexp_extract_all(text, '{G.LATEX_CITATION}', 1))"
 _CITED, _DOIS, _NAMES = _both("cited", CITED, "id, text"), _both("dois", DOIS, "id, doi"), _both("names", NAMES, "id, name, protected")
 _MEDIA = "CASE suffix " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.SUFFIX_TYPES.items())
 _LINE = r"SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
@@ -320,7 +321,7 @@ SELECT *, CASE WHEN n_solid = 0 THEN 'empty' WHEN n_solid < 100 * n_pages THEN '
 CASE WHEN n_solid = 0 THEN 'empty' WHEN n_solid < 100 * n_pages THEN 'sparse' WHEN 100 * n_broken > n_solid THEN 'degraded' ELSE 'good' END AS text_quality FROM p""",
     "page_blocks": r"""WITH p AS (SELECT conv_id, turn, list_filter([trim(x, chr(10) || ' ') FOR x IN regexp_split_to_array(text || chr(10) || ' ' || chr(10) || role, '\n\s*\n+')], lambda x: x <> '') AS l FROM conversations)
 SELECT conv_id AS document_id, 'pdf-page-' || turn || '-block-' || i AS block_id, 'page=' || turn || ';block=' || i AS locator_value, md5(t) AS digest FROM (SELECT conv_id, turn, generate_subscripts(l, 1) AS i, unnest(l) AS t FROM p)""",
-    "visible_citations": rf"SELECT id, raw, 'visible:' || substr(sha256(raw), 1, 16) AS key FROM (SELECT id, unnest(regexp_extract_all(text, '\[@[^\]]+\]|\([^()\n]*\b(?:18|19|20)\d{{2}}[a-z]?\b[^()\n]*\)')) AS raw FROM {_CITED})",
+    "visible_citations": rf"SELECT id, raw, 'visible:' || substr(sha256(raw), 1, 16) AS key FROM (SELECT id, unnest(regexp_extract_all(text, '{G.VISIBLE_CITATION}')) AS raw FROM {_CITED})",
     "citation_keys": rf"SELECT id, 'at' AS kind, rtrim(k, '.,;:!?') AS key FROM (SELECT id, {_AT} AS k FROM {_CITED}) UNION ALL SELECT id, 'tex', k FROM (SELECT id, regexp_replace(unnest(string_split(g, ',')), '\s+', '', 'g') AS k FROM (SELECT id, {_TEX} AS g FROM {_CITED})) WHERE k <> ''",
     "doi_normalized": rf"""WITH a AS (SELECT id, rtrim(trim(regexp_replace(regexp_replace(trim(coalesce(doi, '')), '^https?://(dx\.)?doi\.org/', '', 'i'), '^doi\s*:\s*', '', 'i')), '.,;') AS d FROM {_DOIS}),
 b AS (SELECT id, lower(CASE WHEN (d LIKE '%)' AND length(replace(d, '(', '')) > length(replace(d, ')', ''))) OR (d LIKE '%]' AND length(replace(d, '[', '')) > length(replace(d, ']', ''))) THEN left(d, -1) ELSE d END) AS norm FROM a)
