@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -287,7 +287,7 @@ def _scorer(names: list[str]):
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, counts of COUNTS, log_perplexity) for every row, as a written table."""
+    """(doc_id, lang, counts of COUNTS, log_perplexity) for every row, as a written table. The session's catalog holds the gathered table meanwhile."""
     spark = docs.sparkSession
     bounded(spark)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -296,11 +296,18 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     gathered = base.mapInArrow(lambda batches: _gather(batches, buckets), _GATHERED).write.option("path", path).option("compression", "lz4")
     gathered.bucketBy(buckets, "shard").saveAsTable(name)
-    table = spark.table(name)
-    shards = table.filter("gram is not null").select("shard", "lang", "gram", "n")
+    try:
+        return _scored(spark, name, StructType(base.schema.fields[:2]))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+
+def _scored(spark: SparkSession, name: str, schema: StructType) -> DataFrame:
+    """scored() from the gathered table; schema: of id and language."""
+    shards = spark.table(name).filter("gram is not null").select("shard", "lang", "gram", "n")
     p = kneser_ney(shards.groupBy("lang", "gram").agg(F.sum("n").alias("c")))
     answers = shards.select("shard", "lang", "gram").join(p.select("lang", "gram", F.col("p").cast("float").alias("p")), ["lang", "gram"])
-    schema = StructType(base.schema.fields[:2])
     for c in COUNTS:
         schema = schema.add(c, "long")
     schema = schema.add("log_perplexity", "double")
@@ -308,8 +315,6 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     found = blocks.groupBy("of").cogroup(answers.groupBy("shard")).applyInArrow(_scorer(schema.names), schema)
     found = written(found, "scored")
     forget(p)
-    spark.sql(f"DROP TABLE {name}")
-    remove(spark, path)
     return found
 
 
