@@ -21,6 +21,7 @@ from attesta.functions import text as X
 from attesta.operators import reports as R
 from attesta.operators import support as U
 from attesta.sources import documents as D
+from attesta.streaming import incremental
 
 from .tables import read, values
 
@@ -170,6 +171,18 @@ def visible_citations(spark, sf_dir):
     return rows.select("id", F.explode(C.visible("text")).alias("raw")).select("id", "raw", C.visible_key("raw").alias("key"))
 
 
+def locators(spark, sf_dir):
+    """Places of parts, as spans of lines and as blocks of a page with or without an element's id."""
+    part, name = read(spark, sf_dir, "part"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).when(F.col("p_partkey") % 3 == 1, "")
+    return part.select("p_partkey", X.line_locator("p_size", F.col("p_size") + F.col("p_partkey") % 2).alias("line"), X.html_locator("p_size", name).alias("block"))
+
+
+def arrivals(spark, sf_dir):
+    """Events as arriving files, by hour and kind."""
+    found = read(spark, sf_dir, "events").select(F.col("ts").alias("arrived"), F.col("event_type").alias("media_type"))
+    return incremental.arrivals(found).select(F.col("window.start").alias("hour"), "media_type", "n")
+
+
 def citation_keys(spark, sf_dir):
     rows = _rows(spark, sf_dir, "cited", CITED, "id int, text string")
     at = rows.select("id", F.lit("at").alias("kind"), F.explode(C.at_keys("text")).alias("key"))
@@ -321,6 +334,8 @@ SELECT *, CASE WHEN n_solid = 0 THEN 'empty' WHEN n_solid < 100 * n_pages THEN '
 CASE WHEN n_solid = 0 THEN 'empty' WHEN n_solid < 100 * n_pages THEN 'sparse' WHEN 100 * n_broken > n_solid THEN 'degraded' ELSE 'good' END AS text_quality FROM p""",
     "page_blocks": r"""WITH p AS (SELECT conv_id, turn, list_filter([trim(x, chr(10) || ' ') FOR x IN regexp_split_to_array(text || chr(10) || ' ' || chr(10) || role, '\n\s*\n+')], lambda x: x <> '') AS l FROM conversations)
 SELECT conv_id AS document_id, 'pdf-page-' || turn || '-block-' || i AS block_id, 'page=' || turn || ';block=' || i AS locator_value, md5(t) AS digest FROM (SELECT conv_id, turn, generate_subscripts(l, 1) AS i, unnest(l) AS t FROM p)""",
+    "locators": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '' || p_size ELSE p_size || '-' || (p_size + 1) END AS line, 'block=' || p_size || CASE WHEN p_partkey % 3 = 0 THEN ';id=' || p_brand ELSE '' END AS block FROM part",
+    "arrivals": "SELECT date_trunc('hour', ts) AS hour, event_type AS media_type, count(*) AS n FROM events GROUP BY ALL",
     "visible_citations": rf"SELECT id, raw, 'visible:' || substr(sha256(raw), 1, 16) AS key FROM (SELECT id, unnest(regexp_extract_all(text, '{G.VISIBLE_CITATION}')) AS raw FROM {_CITED})",
     "citation_keys": rf"SELECT id, 'at' AS kind, rtrim(k, '.,;:!?') AS key FROM (SELECT id, {_AT} AS k FROM {_CITED}) UNION ALL SELECT id, 'tex', k FROM (SELECT id, regexp_replace(unnest(string_split(g, ',')), '\s+', '', 'g') AS k FROM (SELECT id, {_TEX} AS g FROM {_CITED})) WHERE k <> ''",
     "doi_normalized": rf"""WITH a AS (SELECT id, rtrim(trim(regexp_replace(regexp_replace(trim(coalesce(doi, '')), '^https?://(dx\.)?doi\.org/', '', 'i'), '^doi\s*:\s*', '', 'i')), '.,;') AS d FROM {_DOIS}),

@@ -248,3 +248,13 @@ def test_scratch_tables_go(spark):
     assert scratch.exists(spark, path) and table.count() == 3
     scratch.forget(table, None, spark.range(1))
     assert not scratch.exists(spark, path)
+
+
+def test_arrivals_are_counted_once_their_hour_is_past(spark, tmp_path):
+    rows = [("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:05:00", "b"), ("2024-01-03 09:00:00", "a")]
+    table = spark.createDataFrame(rows, "arrived string, media_type string").selectExpr("to_timestamp(arrived) AS arrived", "media_type")
+    table.coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    stream = spark.readStream.schema(table.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    found = incremental.arrivals(stream).selectExpr("hour(window.start) AS hour", "media_type", "n")
+    found.writeStream.outputMode("append").format("memory").queryName("arrived").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("arrived").collect()) == [(0, "a", 2), (1, "b", 1)]  # the last hour is still open
