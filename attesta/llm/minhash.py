@@ -292,8 +292,8 @@ def across(member: DataFrame, classes: DataFrame, text: DataFrame, size: int, we
     if not wide.isEmpty():
         texts = text.join(wide.select("node"), "node", "left_semi").select("node", "text")
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        for r in texts.mapInArrow(_sketcher_of_cells(size, weighting), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # 2**SKETCH_BITS rows at most
-            sketch[r["slot"]] = r["n"]
+        counted = texts.mapInArrow(_sketcher_of_cells(size, weighting), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 2**SKETCH_BITS rows at most
+        sketch[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
         rare = texts.mapInArrow(_rare_cells(size, weighting, threshold, sketch), "key bigint, node binary")
         placed = written(rare.join(wide, "node").select("key", "node", "comp"), "placed")
         rest = _mixed(placed, "rest")

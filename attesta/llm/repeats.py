@@ -44,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -329,7 +329,7 @@ def _remover(n_kept: int, names: list[str], clean: bool):
             for part in slices(batch, "text"):
                 data, offsets = raw(part.column("text"))
                 lists = part.column("ranges")
-                count = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
+                count = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
                 row = np.repeat(np.arange(part.num_rows), count)
                 flat = lists.flatten()
                 edge = np.zeros(len(data) + 1, np.int64)
