@@ -59,6 +59,21 @@ def citation_index(mentions: DataFrame) -> DataFrame:
     return _keyed_places(mentions).select("key", _listed("places").alias("targets"), "keyless")
 
 
+def places(mentions: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_id, bibliography_key, file, locator): the targets of all rows of build(), a row a place.
+
+    For corpora in which a key is cited too often for the array of a manifest row:
+    nothing is collected, and a hot key is a join that can be split. source_id is
+    empty where the key resolves to no single source.
+    """
+    keys = F.when(F.size("citation_keys") > 0, F.col("citation_keys")).otherwise(F.array(C.visible_key("raw_text")))
+    locator = F.concat("locator_type", F.lit(":"), "locator_value")
+    each = mentions.select(F.col("path").alias("file"), locator.alias("locator"), F.explode(keys).alias("key")).distinct()
+    mapped = map_identifiers(each.select(F.col("key").alias("request_id")).distinct(), coalesce_sources(sources))
+    bound = mapped.filter("status = 'resolved'").select(F.col("request_id").alias("key"), F.get("source_ids", 0).alias("source_id"))
+    return each.join(bound, "key", "left").select(F.coalesce("source_id", F.lit("")).alias("source_id"), F.col("key").alias("bibliography_key"), "file", "locator")
+
+
 def artifact_index(artifacts: DataFrame) -> DataFrame:
     """One artifact a source; equal repeats are one, different ones are an error."""
     one = artifacts.distinct().withColumn("n", F.count("*").over(Window.partitionBy("source_id")))

@@ -127,6 +127,11 @@ def citation_index(spark, sf_dir):
     return found.select("key", F.size("targets").cast("bigint").alias("n"), F.get("targets", 0)["file"].alias("first_file"), F.get("targets", 0)["locator"].alias("first_locator"), "keyless")
 
 
+def manifest_places(spark, sf_dir):
+    """Every place that cites, with the source its key resolves to."""
+    return M.places(_mentions(spark, sf_dir), _sources(spark, sf_dir))
+
+
 def _manifest(spark, sf_dir):
     sources = _sources(spark, sf_dir)
     return M.build(_mentions(spark, sf_dir), sources, _artifacts(sources).drop("reused")), sources
@@ -382,6 +387,7 @@ SELECT CAST(p_partkey AS VARCHAR) AS request_id, CASE n WHEN 1 THEN 'resolved' E
     "map_citations": f"{_SRC} SELECT key AS request_id, status, rule, ids AS source_ids FROM st",
     "coalesce_sources": _COALESCED,
     "citation_index": f"{_SRC} SELECT key, count(*) AS n, arg_min(file, file || ' ' || loc) AS first_file, arg_min(loc, file || ' ' || loc) AS first_locator, false AS keyless FROM cit GROUP BY key",
+    "manifest_places": f"{_SRC} SELECT CASE c WHEN 1 THEN ids ELSE '' END AS source_id, key AS bibliography_key, file, loc AS locator FROM cit JOIN st USING (key)",
     "manifest_build": f"{_SRC} SELECT source_id, bibliography_key, aliases, mapping_status, mapping_rule, candidates, n_targets, extraction_status, text_quality, conflicts FROM mf",
     "manifest_summary": f"{_SUM} SELECT expected, resolved, (SELECT count(*) FROM ok WHERE ok AND NOT reused) AS extracted, analyzed, missing, ambiguous, unusable, round_even(100.0 * analyzed / expected, 2) AS coverage_percent FROM s",
     "source_states": f"{_SRC}, g AS (SELECT CASE extraction_status WHEN 'missing' THEN 'missing' WHEN 'needs_ocr' THEN 'unusable' WHEN 'not_run' THEN 'not run' ELSE 'analyzed' END AS state FROM mf WHERE source_id <> '') SELECT s.state, count(g.state) AS n FROM (SELECT unnest(['analyzed', 'missing', 'unusable', 'not run']) AS state) s LEFT JOIN g USING (state) GROUP BY 1",
