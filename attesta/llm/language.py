@@ -169,18 +169,21 @@ class Field:
     def emission(self, item: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(item, self.weights[feature, j], minlength=n) for j in range(len(self.labels))], 1)
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mean posterior of each label for each text, its count of words, and the mean of its words' greatest posteriors."""
-        n = len(offsets) - 1
+    def label(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and text of each word, and the posteriors of its labels."""
         data = lowered(data)
         start, stop, row = words(data, offsets, _LETTER)
         if not len(start):
-            return np.zeros((n, len(self.labels))), np.zeros(n, np.int64), np.zeros(n)
+            return start, stop, row, np.zeros((0, len(self.labels)))
         hashes = Prefixes(data)
-        word = hashes(start, stop)
-        word, where, inverse = np.unique(word, return_index=True, return_inverse=True)
+        word, where, inverse = np.unique(hashes(start, stop), return_index=True, return_inverse=True)
         emission = self.emission(*word_features(hashes, start[where], stop[where], word, self.lexicon), len(word))[inverse]
-        p, _ = posteriors(emission, row, n, self.start, self.transition)
+        return start, stop, row, posteriors(emission, row, len(offsets) - 1, self.start, self.transition)[0]
+
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean posterior of each label for each text, its count of words, and the mean of its words' greatest posteriors."""
+        n = len(offsets) - 1
+        _, _, row, p = self.label(data, offsets)
         count = np.bincount(row, minlength=n)
         total = np.stack([np.bincount(row, p[:, j], minlength=n) for j in range(p.shape[1])], 1)
         return total / np.maximum(count, 1)[:, None], count, np.bincount(row, p.max(1), minlength=n) / np.maximum(count, 1)
@@ -265,6 +268,11 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _slice_for(field: Field | None) -> int:
+    """Bytes of text labelled at a time: a segment of words holds a matrix of all labels."""
+    return SLICE_BYTES if field is None else min(SLICE_BYTES, max(1 << 14, (1 << 24) // len(field.labels) ** 2))
+
+
 def languages(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "sure")) -> DataFrame:
     """(doc_id, lang_pred, score, sure) for every row. keep: columns to carry along instead of doc_id; names: of the three new columns.
 
@@ -273,7 +281,7 @@ def languages(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text
     kept = keep if keep is not None else [id_col]
     base = carried(docs, kept, text=F.coalesce(F.col(text_col), F.lit("")))
     schema = StructType(base.schema.fields[:-1]).add("lang", "string").add("score", "double").add("sure", "double")
-    size = SLICE_BYTES if field is None else min(SLICE_BYTES, max(1 << 14, (1 << 24) // len(field.labels) ** 2))  # a segment holds a matrix of all labels
+    size = _slice_for(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,6 +304,36 @@ def languages(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text
     return restored(base.mapInArrow(run, schema), kept, dict(zip(("lang", "score", "sure"), names, strict=True)))
 
 
+def language_spans(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, stop, lang, score): runs of words of one language, as byte ranges of the UTF-8 text, with the mean posterior of their label.
+
+    A text without a word has no row. Only as many rows as languages change in a text.
+    """
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = StructType(base.schema.fields[:1]).add("start", "long").add("stop", "long").add("lang", "string").add("score", "double")
+    if field is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    size = _slice_for(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", size):
+                data, offsets = raw(part.column("text"))
+                start, stop, row, p = field.label(data, offsets)
+                best = p.argmax(1)
+                opens = np.ones(len(best), bool)
+                opens[1:] = (best[1:] != best[:-1]) | (row[1:] != row[:-1])
+                first = np.flatnonzero(opens)
+                last = np.append(first[1:], len(best))[: len(first)] - 1
+                sure = np.concatenate(([0.0], np.cumsum(p.max(1)))) if len(best) else np.zeros(1)
+                mean = (sure[last + 1] - sure[first]) / np.maximum(last + 1 - first, 1)
+                at = row[first]
+                name = pa.array([field.labels[j] for j in best[first]], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at)), pa.array(start[first] - offsets[at]), pa.array(stop[last] - offsets[at]), name, pa.array(mean)], schema.names)
+
+    return base.mapInArrow(run, schema)
+
+
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     """Every document's language, fitted on the rows that are not held out."""
     docs = read(spark, sf_dir, "documents")

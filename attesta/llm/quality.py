@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from .common import Prefixes, carried, mix, raw, read, restored, runs_of, slices, words
 
@@ -226,6 +226,23 @@ def qualities(docs: DataFrame, model: Attention | float, id_col: str = "doc_id",
     return restored(base.mapInArrow(run, schema), kept, {"score": name})
 
 
+def passage_weights(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, weights): how much attention each passage of a text gets, in order; the weights of a text sum to one."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = StructType(base.schema.fields[:1]).add("weights", ArrayType(DoubleType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                x, owner = passages(*raw(part.column("text")))
+                _, count = runs_of(owner, part.num_rows)
+                weights = model.forward(x, owner, part.num_rows)["a"]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(weights.astype(np.float64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], schema.names)
+
+    return base.mapInArrow(run, schema)
+
+
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Every document's quality, learned from labels that are not held out."""
     docs = read(spark, sf_dir, "documents")

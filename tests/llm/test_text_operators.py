@@ -340,6 +340,26 @@ def test_language_field(make):
     assert language.languages(make(["abc"], langs={0: None}), None).head()["lang_pred"] == "und"
 
 
+def test_spans_of_code_switched_text(make):
+    a, b = two_languages()
+    field = language.train(a + b, ["en"] * len(a) + ["de"] * len(b))
+    texts = [a[0] + ". 12 " + b[0] + "; " + a[1], "é!", "", None, "..."]
+    spans = {}
+    for r in language.language_spans(make(texts), field).orderBy("doc_id", "start").collect():
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["stop"], r["lang"]))
+        assert 0 < r["score"] <= 1
+    first, second = len(a[0]), len(a[0]) + len(". 12 ")
+    assert [x[2] for x in spans[0]] == ["en", "de", "en"] and set(spans) == {0, 1}
+    assert abs(spans[0][0][1] - first) < 12 and abs(spans[0][1][0] - second) < 12 and spans[0][2][1] == len(texts[0])
+    assert language.language_spans(make(texts), None).count() == 0
+
+
+def test_passages_share_the_attention(make):
+    model = quality.Attention()
+    found = by_id(quality.passage_weights(make([sentence(150), "x", None]), model))
+    assert [len(found[i]["weights"]) for i in range(3)] == [3, 1, 1] and all(abs(sum(r["weights"]) - 1) < 1e-6 for r in found.values())
+
+
 def test_every_language_is_learned(make):
     rng = random.Random(2)
     stems = {f"l{i:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for i in range(70)}
