@@ -6,11 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attesta.scratch import stage
 
-__all__ = ["read", "sql_literal", "stage", "values"]
+__all__ = ["read", "spread", "sql_literal", "stage", "values"]
+
+
+#: Bytes of a table, as it is stored, that one task may well do alone, and that may be moved to give every core a part.
+LITTLE, SMALL = 1 << 20, 1 << 30
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A small table over all cores, where its scan has fewer parts than there are cores (one row group is one task). Any other as it is scanned."""
+    planned, cores = table._jdf.queryExecution(), table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(planned.optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if LITTLE < size < SMALL and planned.toRdd().getNumPartitions() < cores else table
 
 
 def sql_literal(x) -> str:
