@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.plans import tables
 from attesta.scratch import forget, shared_folder, stage
 
 __all__ = ["Prefixes", "bounded", "carried", "forget", "free", "mix", "named", "powers", "raw", "read", "restored", "runs_of", "shared_folder", "slices", "words", "written"]
@@ -31,7 +32,7 @@ def bounded(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     bounded(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    return tables.read(spark, sf_dir, table)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
