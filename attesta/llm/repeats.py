@@ -45,7 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -281,7 +281,7 @@ def repeated_ranges(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
     classes = place.groupBy("g", "span").agg(F.sum("m").alias("n"), F.min(F.struct("node", "place", "near", "far")).alias("r"))
     classes = written(classes.select("g", "span", "n", "r.*"), "classes")
     mixed = written(classes.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1"), "mixed")
-    todo = written(classes.join(mixed, "g").select("g", "span", "node", "place", "near", "far", F.lit(0).alias("b"), F.lit(width).alias("size"), (F.col("c") <= LIMIT).alias("few")), "todo")
+    todo = written(classes.join(mixed, "g").select("g", "span", "node", "place", "near", "far", F.lit(0).alias("b"), F.lit(width).alias("size"), (F.col("c") <= LIMIT).alias("few"), (F.col("n") == 1).alias("lone")), "todo")
     whole = written(classes.filter("n > 1").select("g", "span"), "whole")
     forget(classes, mixed)
 
@@ -302,7 +302,10 @@ def repeated_ranges(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
         split = written(blocks(many, size), "split")
         if size == 1:
             last = split.groupBy("g", "b", "bytes").agg(F.count("*").alias("c")).filter("c > 1").select("g", "b", "bytes")
-            found.append(written(_salted(split, last, ["g", "b", "bytes"]).select("g", "span", "b", F.lit(1).alias("size")), "sorted"))
+            single = _salted(split, last, ["g", "b", "bytes"]).select("g", "span", "b").distinct()
+            island = F.col("b") - F.row_number().over(Window.partitionBy("g", "span").orderBy("b"))
+            runs = single.withColumn("island", island).groupBy("g", "span", "island").agg(F.min("b").alias("b"), F.count("*").cast("int").alias("size"))
+            found.append(written(runs.drop("island"), "sorted"))
         else:
             counts = written(split.groupBy("g", "b", "core").agg(F.count("*").alias("c")).filter("c > 1"), "counts")
             found.append(_sorted(split.join(counts.filter(F.col("c") <= LIMIT), ["g", "b", "core"]), depth))
@@ -313,12 +316,14 @@ def repeated_ranges(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
             if many.isEmpty():
                 break
         forget(split)
-    part = written(place.join(functools.reduce(DataFrame.union, found), ["g", "span"]), "part")
+    parts = functools.reduce(DataFrame.union, found).groupBy("g", "span").agg(F.collect_list(F.struct("b", "size")).alias("parts"))  # a run has few
+    part = written(todo.filter("lone").select("g", "span", "node", "place", "near", "far").join(parts, ["g", "span"]), "part")  # the other classes are repeated as wholes
     forget(todo, text, *found)
-    lo, hi = F.greatest("b", "near"), F.least(F.col("b") + F.col("size") - 1, F.col("far"))
-    ranges = place.join(whole, ["g", "span"]).select("node", (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + depth).alias("stop"))
-    ranges = ranges.union(part.filter(lo <= hi).select("node", F.col("place") - hi, F.col("place") - lo + depth))
-    ranges = written(ranges.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "ranges")
+    lo, hi = (lambda p: F.greatest(p["b"], F.col("near"))), (lambda p: F.least(p["b"] + p["size"] - 1, F.col("far")))
+    some = F.transform(F.filter("parts", lambda p: lo(p) <= hi(p)), lambda p: F.struct((F.col("place") - hi(p)).alias("start"), (F.col("place") - lo(p) + depth).alias("stop")))
+    every = F.array(F.struct((F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + depth).alias("stop")))
+    ranges = place.join(whole, ["g", "span"]).select("node", every.alias("ranges")).union(part.select("node", some.alias("ranges")))
+    ranges = written(ranges.groupBy("node").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
     forget(part, whole, place)
     return ranges
 
