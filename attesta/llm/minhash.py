@@ -339,12 +339,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = sketch.filter("bands is not null").select("node", "doc_id", F.explode("bands").alias("key"))
     rows = written(rows.groupBy("key", "node").agg(F.min("doc_id").alias("doc_id")), "bands")  # equal texts once
     full = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    shared = written(rows.join(full, "key"), "members")
+    member = written(rows.join(full, "key").select("key", "node", "doc_id", "n"), "members")
     forget(rows, full)
-    popular = shared.groupBy("node").agg(F.sum("n").alias("pop"), F.min("doc_id").alias("doc_id"))
-    nodes = written(popular, "nodes")
-    member = written(shared.select("key", "node").join(nodes.select("node", "pop"), "node"), "members")
-    forget(shared)
+    nodes = written(member.groupBy("node").agg(F.sum("n").alias("pop"), F.min("doc_id").alias("doc_id")), "nodes")
+    popular = member.select("key", "node").join(nodes.select("node", "pop"), "node")
+    pivot = written(popular.groupBy("key").agg(F.max(F.struct("pop", "node")).alias("p")).select("key", F.col("p.node").alias("b")), "pivots")
 
     same = base["doc_id"].eqNullSafe(nodes["doc_id"]) & (base["node"] == nodes["node"])
     text = base.join(nodes.hint("merge"), same, "left_semi").select("node", "text")
@@ -356,8 +355,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         with_b = with_a.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(size, weighting, threshold), "a binary, b binary")
 
-    pivot = written(member.groupBy("key").agg(F.max(F.struct("pop", "node")).alias("p")).select("key", F.col("p.node").alias("b")), "pivots")
-    tested = written(member.join(pivot, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    tested = written(member.select("key", "node").join(pivot, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
     links = written(verified(tested), "verified")
     forget(pivot, tested)
     classes = components(links)
