@@ -35,10 +35,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return tables.read(spark, sf_dir, table)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
-    bounded(df.sparkSession)
-    return stage(df, label)
+_PARALLEL = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
+def written(df: DataFrame, label: str, light: bool = False) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder and read it back.
+
+    light: what follows the last shuffle is cheap, so its parts are joined to the
+    advisory size instead of to one for each core, which makes fewer tasks and files.
+    """
+    spark = df.sparkSession
+    bounded(spark)
+    before = spark.conf.get(_PARALLEL)
+    if light:
+        spark.conf.set(_PARALLEL, "false")
+    try:
+        return stage(df, label)
+    finally:
+        if light:
+            spark.conf.set(_PARALLEL, before)
 
 
 def free(taken: Iterable[str], *wanted: str) -> list[str]:

@@ -255,8 +255,8 @@ def _mixed(placed: DataFrame, label: str) -> DataFrame:
     """(key, node, comp, main) of the buckets that hold several classes; main marks the largest class."""
     shares = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("key").agg(F.count("*").alias("c"), F.max(F.struct("n", "comp")).alias("p")).filter("c > 1")
-    mixed = written(mixed.select("key", F.col("p.comp").alias("main")), "mixed")
-    rest = written(placed.join(mixed, "key").select("key", "node", "comp", (F.col("comp") == F.col("main")).alias("main")), label)
+    mixed = written(mixed.select("key", F.col("p.comp").alias("main")), "mixed", light=True)
+    rest = written(placed.join(mixed, "key").select("key", "node", "comp", (F.col("comp") == F.col("main")).alias("main")), label, light=True)
     forget(mixed)
     return rest
 
@@ -265,7 +265,7 @@ def _blocks(rest: DataFrame, text: DataFrame) -> DataFrame:
     """(key, outer, inner): how many blocks the members outside and inside the largest class fill."""
     sized = rest.join(text.select("node", F.length("text").alias("size")), "node")
     parts = lambda main: F.ceil(F.greatest(F.sum(F.expr(f"int(main = {main})")) / BLOCK, F.sum(F.expr(f"if(main = {main}, size, 0L)")) / BLOCK_CHARS)).cast("int")
-    return written(sized.groupBy("key").agg(parts("false").alias("outer"), parts("true").alias("inner")), "blocks")
+    return written(sized.groupBy("key").agg(parts("false").alias("outer"), parts("true").alias("inner")), "blocks", light=True)
 
 
 def _compared(rest: DataFrame, counts: DataFrame, text: DataFrame, compare) -> DataFrame:
@@ -283,10 +283,10 @@ def _compared(rest: DataFrame, counts: DataFrame, text: DataFrame, compare) -> D
 def across(member: DataFrame, classes: DataFrame, text: DataFrame, size: int, weighting: str, threshold: float) -> list[DataFrame]:
     """(a, b): links between members of one bucket that are in different classes, as many as join all such classes."""
     compare = _comparer(size, weighting, threshold)
-    placed = written(member.join(classes, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
+    placed = written(member.join(classes, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed", light=True)
     rest = _mixed(placed, "rest")
     counts = _blocks(rest, text)
-    wide = written(rest.join(counts.filter(F.col("outer") > WIDE).select("key"), "key", "left_semi").select("node", "comp").distinct(), "wide")
+    wide = written(rest.join(counts.filter(F.col("outer") > WIDE).select("key"), "key", "left_semi").select("node", "comp").distinct(), "wide", light=True)
     found = [_compared(rest, counts.filter(F.col("outer") <= WIDE), text, compare)]
     forget(placed, rest, counts)
     if not wide.isEmpty():
@@ -295,7 +295,7 @@ def across(member: DataFrame, classes: DataFrame, text: DataFrame, size: int, we
         counted = texts.mapInArrow(_sketcher_of_cells(size, weighting), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 2**SKETCH_BITS rows at most
         sketch[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
         rare = texts.mapInArrow(_rare_cells(size, weighting, threshold, sketch), "key bigint, node binary")
-        placed = written(rare.join(wide, "node").select("key", "node", "comp"), "placed")
+        placed = written(rare.join(wide, "node").select("key", "node", "comp"), "placed", light=True)
         rest = _mixed(placed, "rest")
         counts = _blocks(rest, text)
         found.append(_compared(rest, counts, text, compare))
@@ -306,13 +306,13 @@ def across(member: DataFrame, classes: DataFrame, text: DataFrame, size: int, we
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of the nodes in links (a, b): comp is the smallest node reached. Each round is a written table."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links", light=True)
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels", light=True)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        step = written(labels.join(near, "node").select("node", F.least("comp", "m").alias("comp")), "labels")
+        step = written(labels.join(near, "node").select("node", F.least("comp", "m").alias("comp")), "labels", light=True)
         onto = step.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        after = written(step.join(onto, "comp").select("node", F.col("further").alias("comp")), "labels")
+        after = written(step.join(onto, "comp").select("node", F.col("further").alias("comp")), "labels", light=True)
         moved = not after.join(labels.select("node", F.col("comp").alias("was")), "node").filter("comp <> was").isEmpty()
         forget(labels, step)
         if not moved:
@@ -337,13 +337,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = written(base.select("doc_id", "node", "text").mapInArrow(_sketcher(size, k, bands, weighting), f"doc_id {id_type}, node binary, bands array<bigint>"), "sketch")
 
     rows = sketch.filter("bands is not null").select("node", "doc_id", F.explode("bands").alias("key"))
-    rows = written(rows.groupBy("key", "node").agg(F.min("doc_id").alias("doc_id")), "bands")  # equal texts once
-    full = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    member = written(rows.join(full, "key").select("key", "node", "doc_id", "n"), "members")
+    rows = written(rows.groupBy("key", "node").agg(F.min("doc_id").alias("doc_id")), "bands", light=True)  # equal texts once
+    full = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets", light=True)
+    member = written(rows.join(full, "key").select("key", "node", "doc_id", "n"), "members", light=True)
     forget(rows, full)
-    nodes = written(member.groupBy("node").agg(F.sum("n").alias("pop"), F.min("doc_id").alias("doc_id")), "nodes")
+    nodes = written(member.groupBy("node").agg(F.sum("n").alias("pop"), F.min("doc_id").alias("doc_id")), "nodes", light=True)
     popular = member.select("key", "node").join(nodes.select("node", "pop"), "node")
-    pivot = written(popular.groupBy("key").agg(F.max(F.struct("pop", "node")).alias("p")).select("key", F.col("p.node").alias("b")), "pivots")
+    pivot = written(popular.groupBy("key").agg(F.max(F.struct("pop", "node")).alias("p")).select("key", F.col("p.node").alias("b")), "pivots", light=True)
 
     same = base["doc_id"].eqNullSafe(nodes["doc_id"]) & (base["node"] == nodes["node"])
     text = base.join(nodes.hint("merge"), same, "left_semi").select("node", "text")
@@ -355,7 +355,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         with_b = with_a.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(size, weighting, threshold), "a binary, b binary")
 
-    tested = written(member.select("key", "node").join(pivot, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    tested = written(member.select("key", "node").join(pivot, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs", light=True)
     links = written(verified(tested), "verified")
     forget(pivot, tested)
     classes = components(links)
@@ -368,9 +368,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     forget(links, *found)
 
     placed = sketch.select("doc_id", "node", F.col("bands").isNotNull().alias("has")).filter("has").join(classes, "node", "left")
-    placed = written(placed.select("doc_id", F.coalesce("comp", "node").alias("class")), "placed")
+    placed = written(placed.select("doc_id", F.coalesce("comp", "node").alias("class")), "placed", light=True)
     forget(classes)
-    least = written(placed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
+    least = written(placed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes", light=True)
     result = placed.join(least, "class").select("doc_id", "class_id", "class_size")
     alone = sketch.filter("bands is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
     return result.union(alone)

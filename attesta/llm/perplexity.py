@@ -244,14 +244,14 @@ def _level(counts: DataFrame, order: int, least: int, shorter: DataFrame | None)
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """(lang, gram, p): probability of the last character of each gram after the ones before it. counts: (lang, gram, c), texts that hold each gram."""
-    levels = {ORDER: written(counts, "level")}
+    levels = {ORDER: written(counts, "level", light=True)}
     for n in range(ORDER - 1, 0, -1):  # in how many ways a gram continues one that is kept
         kept = (F.col("c") >= (2 if n == ORDER - 1 else 1)).cast("bigint")
         tails = levels[n + 1].groupBy("lang", _tail(F.col("gram"), n).alias("gram")).agg(F.sum(kept).alias("c"))
-        levels[n] = written(tails, "level")
+        levels[n] = written(tails, "level", light=True)
     p = None
     for n in range(1, ORDER + 1):
-        p, shorter = written(_level(levels[n], n, 2 if n == ORDER else 1, p), "p"), p
+        p, shorter = written(_level(levels[n], n, 2 if n == ORDER else 1, p), "p", light=True), p
         forget(levels[n], shorter)
     return p
 
@@ -345,7 +345,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     quarters = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10000)
     band = rows.filter("not base_failed").groupBy("lang").agg(quarters.alias("q"), F.percentile_approx("n_words", F.lit(0.5), 10000).alias("typical"))
     reach = F.greatest(F.lit(wide) * (F.col("q")[1] - F.col("q")[0]), F.lit(slack))
-    band = written(band.select("lang", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), reach.alias("reach"), "typical"), "bands")
+    band = written(band.select("lang", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), reach.alias("reach"), "typical"), "bands", light=True)
     far = F.col("reach") * F.sqrt(1 + F.col("typical") / F.greatest("n_words", F.lit(1)))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower") - far, F.col("upper") + far), F.lit(True))
     return rows.join(F.broadcast(band), "lang", "left").select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", "log_perplexity")

@@ -271,23 +271,23 @@ def repeated_ranges(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
         raise ValueError("gram is below depth")
     width = depth - gram + 1
     small = texts.select("text").mapInArrow(_anchorer(depth, gram, True), "g bigint")
-    shared = written(small.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), "grams")
+    shared = written(small.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), "grams", light=True)
     rows = texts.select("node", "text").mapInArrow(_anchorer(depth, gram, False), "node binary, g bigint, span bigint, place int, near int, far int")
-    hits = written(rows.join(shared, "g"), "hits")  # a table of its own: what follows would keep a hot gram in one task
+    hits = written(rows.join(shared, "g"), "hits", light=True)  # a table of its own: what follows would keep a hot gram in one task
     forget(shared)
-    place = written(hits.groupBy("g", "span", "node", "place", "near", "far").agg(F.count("*").alias("m")), "anchors")
+    place = written(hits.groupBy("g", "span", "node", "place", "near", "far").agg(F.count("*").alias("m")), "anchors", light=True)
     forget(hits)
 
     classes = place.groupBy("g", "span").agg(F.sum("m").alias("n"), F.min(F.struct("node", "place", "near", "far")).alias("r"))
-    classes = written(classes.select("g", "span", "n", "r.*"), "classes")
-    mixed = written(classes.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1"), "mixed")
-    todo = written(classes.join(mixed, "g").select("g", "span", "node", "place", "near", "far", F.lit(0).alias("b"), F.lit(width).alias("size"), (F.col("c") <= LIMIT).alias("few"), (F.col("n") == 1).alias("lone")), "todo")
-    whole = written(classes.filter("n > 1").select("g", "span"), "whole")
+    classes = written(classes.select("g", "span", "n", "r.*"), "classes", light=True)
+    mixed = written(classes.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1"), "mixed", light=True)
+    todo = written(classes.join(mixed, "g").select("g", "span", "node", "place", "near", "far", F.lit(0).alias("b"), F.lit(width).alias("size"), (F.col("c") <= LIMIT).alias("few"), (F.col("n") == 1).alias("lone")), "todo", light=True)
+    whole = written(classes.filter("n > 1").select("g", "span"), "whole", light=True)
     forget(classes, mixed)
 
-    needed = written(todo.select("node").distinct(), "nodes")
+    needed = written(todo.select("node").distinct(), "nodes", light=True)
     first = texts.groupBy("node").agg(F.min("id").alias("id"))  # one row for each text, before anything joins on a hot one
-    owner = written(first.join(needed, "node"), "owners")
+    owner = written(first.join(needed, "node"), "owners", light=True)
     same = texts["id"].eqNullSafe(owner["id"]) & (texts["node"] == owner["node"])
     text = written(texts.join(owner.hint("merge"), same, "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
     forget(needed, owner)
@@ -307,23 +307,23 @@ def repeated_ranges(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
             runs = single.withColumn("island", island).groupBy("g", "span", "island").agg(F.min("b").alias("b"), F.count("*").cast("int").alias("size"))
             found.append(written(runs.drop("island"), "sorted"))
         else:
-            counts = written(split.groupBy("g", "b", "core").agg(F.count("*").alias("c")).filter("c > 1"), "counts")
+            counts = written(split.groupBy("g", "b", "core").agg(F.count("*").alias("c")).filter("c > 1"), "counts", light=True)
             found.append(_sorted(split.join(counts.filter(F.col("c") <= LIMIT), ["g", "b", "core"]), depth))
             more = _salted(split, counts.filter(F.col("c") > LIMIT), ["g", "b", "core"]).select("g", "span", "b", F.lit(size).alias("size"))
             runs = todo.select("g", "span", "node", "place", "near", "far")
-            many = written(more.join(runs, ["g", "span"]), "many")
+            many = written(more.join(runs, ["g", "span"]), "many", light=True)
             forget(counts)
             if many.isEmpty():
                 break
         forget(split)
     parts = functools.reduce(DataFrame.union, found).groupBy("g", "span").agg(F.collect_list(F.struct("b", "size")).alias("parts"))  # a run has few
-    part = written(todo.filter("lone").select("g", "span", "node", "place", "near", "far").join(parts, ["g", "span"]), "part")  # the other classes are repeated as wholes
+    part = written(todo.filter("lone").select("g", "span", "node", "place", "near", "far").join(parts, ["g", "span"]), "part", light=True)  # the other classes are repeated as wholes
     forget(todo, text, *found)
     lo, hi = (lambda p: F.greatest(p["b"], F.col("near"))), (lambda p: F.least(p["b"] + p["size"] - 1, F.col("far")))
     some = F.transform(F.filter("parts", lambda p: lo(p) <= hi(p)), lambda p: F.struct((F.col("place") - hi(p)).alias("start"), (F.col("place") - lo(p) + depth).alias("stop")))
     every = F.array(F.struct((F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + depth).alias("stop")))
     ranges = place.join(whole, ["g", "span"]).select("node", every.alias("ranges")).union(part.select("node", some.alias("ranges")))
-    ranges = written(ranges.groupBy("node").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    ranges = written(ranges.groupBy("node").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges", light=True)
     forget(part, whole, place)
     return ranges
 
