@@ -268,6 +268,38 @@ def test_url_rules_and_verdicts(spark):
     assert by_id(urls.url_verdicts(pages.filter("page_id = 2")), "page_id")[2]["verdict"] == "allow"
 
 
+def test_url_model_is_fitted_on_every_url_that_a_rule_decides(spark):
+    """More urls of either verdict than any sample held, in several shards, some twice, one long."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdeé"), 6))
+    good = sorted({f"{word()}.net/de/{word()}" for _ in range(7500)})
+    bad = sorted({f"{word()}.com/en/{word()}" for _ in range(7500)})
+    open_ = [f"{word()}.{top}/{word()}" for top in ("net", "com", "org") for _ in range(20)] + ["long.org/" + "".join(rng.choice(list("abcdn/"), 500_000)) * 3]
+    texts = open_ + good + bad + open_[:5] + good[:50]
+    pages = spark.createDataFrame([(i, "http://" + t) for i, t in enumerate(texts)], "page_id bigint, url string").coalesce(1)
+    found = by_id(urls.url_verdicts(pages), "page_id")
+    ratio, cut = urls.fit(good, bad)
+    assert len(found) == len(texts) and min(len(good), len(bad)) > 7000
+    for i, t in enumerate(texts):
+        if i < len(open_) or i % 50 == 0 or i >= len(texts) - 55:
+            want = ratio.score(t)
+            assert found[i]["score"] == pytest.approx(want, abs=1e-9), t[:50]
+            assert found[i]["verdict"] == ("allow" if t in good else "block" if t in bad or want > cut else "allow")
+
+
+def test_url_threshold_is_the_best_of_all_cuts(spark):
+    rng = np.random.default_rng(7)
+    for n, shift in ((400, 0.5), (400, 40), (2, 0), (1, -3)):
+        good, bad = (np.round(rng.normal(m, 1, n), 2) for m in (0, shift))
+        rows = [("allow", float(x)) for x in good] + [("block", float(x)) for x in bad]
+        cut = urls.threshold(spark.createDataFrame(rows, "att_rule string, score double").repartition(3))
+        wrong = lambda c: (good > c).mean() + (bad <= c).mean()  # noqa: B023, E731
+        every = np.sort(np.concatenate((good, bad)))
+        assert wrong(cut) == pytest.approx(min(map(wrong, [every[0] - 1, *every, 0.0])), abs=1e-12)
+    for kinds in ([], ["allow"], ["block", "block"]):
+        assert urls.threshold(spark.createDataFrame([(k, 1.0) for k in kinds], "att_rule string, score double")) == 0.0
+
+
 def test_markov_smoothing_sums_to_one():
     model = urls.Markov(["abcab", "abd"], 3, alphabet=256)
     for context in ("", "a", "ab", "zz"):
