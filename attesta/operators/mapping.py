@@ -1,8 +1,8 @@
 """Entity resolution of requests to sources: an ordered cascade of equi-joins, and coalescing of records.
 
 The first rule with any candidate wins, even if it is ambiguous. Each rule is one
-equi-join on a normalised key; the winner is the least rank by an aggregate, so no
-pass compares every request with every source.
+equi-join on a normalised key, against candidates gathered or counted once a key; the
+winner is the least rank by an aggregate, so no pass pairs requests with sources.
 """
 
 from __future__ import annotations
@@ -32,58 +32,118 @@ def note_of(rule):
     return F.create_map(*(F.lit(x) for pair in NOTES.items() for x in pair))[rule]
 
 
-def _doi_pairs(requests: DataFrame, sources: DataFrame) -> DataFrame:
+def _dois(requests: DataFrame) -> DataFrame:
     given = F.array_union(F.array(F.coalesce("doi", F.lit(""))), F.coalesce("identifiers", X.empty_array()))
-    left = requests.select("request_id", F.explode(given).alias("v")).filter(I.looks_like_doi("v")).select("request_id", I.normalize_doi("v").alias("k"))
-    return left.join(sources.filter("doi <> ''").select(F.col("doi").alias("k"), "source_id"), "k")
+    return requests.select("request_id", F.explode(given).alias("v")).filter(I.looks_like_doi("v")).select("request_id", I.normalize_doi("v").alias("k"))
 
 
-def _identifier_pairs(requests: DataFrame, sources: DataFrame) -> DataFrame:
-    left = requests.select("request_id", F.explode("identifiers").alias("v")).select("request_id", I.identifier_key("v").alias("k")).filter("k <> ''")
-    known = sources.select("source_id", F.explode(F.concat("aliases", F.array("source_id"))).alias("v")).select("source_id", I.identifier_key("v").alias("k"))
-    return left.join(known.filter("k <> ''").distinct(), "k")
+def _identifiers(requests: DataFrame) -> DataFrame:
+    return requests.select("request_id", F.explode("identifiers").alias("v")).select("request_id", I.identifier_key("v").alias("k")).filter("k <> ''")
 
 
-def _family(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key, "title_key", "year", F.explode("authors").alias("author")).select(key, "title_key", "year", F.explode(I.family_variants("author")).alias("family")).distinct()
+def _doi_offers(sources: DataFrame) -> DataFrame:
+    return sources.filter("doi <> ''").select(F.col("doi").alias("k"), "source_id")
 
 
-def _title_pairs(requests: DataFrame, sources: DataFrame, people: bool) -> DataFrame:
-    left = requests.select("request_id", "authors", "year", I.title_key("title").alias("title_key")).filter(F.size("title_key") > 0)
-    right = sources.select("source_id", "authors", "year", I.title_key("title").alias("title_key")).filter(F.size("title_key") > 0)
-    if not people:
-        return left.select("request_id", "title_key").join(right.select("source_id", "title_key"), "title_key")
-    return _family(left.filter("year is not null"), "request_id").join(_family(right, "source_id"), ["title_key", "year", "family"])
+def _identifier_offers(sources: DataFrame) -> DataFrame:
+    known = sources.select("source_id", F.explode(F.concat("aliases", F.array("source_id"))).alias("v")).select(I.identifier_key("v").alias("k"), "source_id")
+    return known.filter("k <> ''").distinct()
 
 
-def _file_pairs(requests: DataFrame, sources: DataFrame) -> DataFrame:
-    left = requests.select("request_id", F.explode("filenames").alias("v")).select("request_id", I.filename_key("v").alias("k")).filter("k <> ''")
-    right = sources.select("source_id", F.explode("local_files").alias("v")).select("source_id", I.filename_key("v").alias("k")).distinct()
-    return left.join(right, "k")
+def _titled(df: DataFrame, key: str) -> DataFrame:
+    """(key, authors, year, title): title as its word tokens between spaces, which no token holds."""
+    tokens = df.select(key, "authors", "year", I.title_key("title").alias("t")).filter(F.size("t") > 0)
+    return tokens.select(key, "authors", "year", F.array_join("t", " ").alias("title"))
+
+
+def _title_keys(df: DataFrame, key: str) -> DataFrame:
+    return _titled(df, key).select(key, F.col("title").alias("k"))
+
+
+def _person_keys(df: DataFrame, key: str) -> DataFrame:
+    author = _titled(df, key).filter("year is not null").select(key, "title", "year", F.explode("authors").alias("author"))
+    family = author.select(key, "title", "year", F.explode(I.family_variants("author")).alias("family"))
+    return family.select(key, F.concat_ws("\x1f", "title", F.col("year").cast("string"), F.array_join("family", " ")).alias("k")).distinct()
+
+
+def _file_keys(df: DataFrame, key: str, files: str) -> DataFrame:
+    return df.select(key, F.explode(files).alias("v")).select(key, I.filename_key("v").alias("k")).filter("k <> ''")
+
+
+def _ranked(parts: list[DataFrame], name: str) -> DataFrame:
+    return reduce(DataFrame.union, (p.select(name, F.lit(rank).alias("rank"), "k") for rank, p in enumerate(parts)))
+
+
+def _asked(requests: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What requests ask for and sources offer: (request_id, rank, k) and (source_id, rank, k), k a key of the rule of that rank."""
+    asks = [_dois(requests), _identifiers(requests), _person_keys(requests, "request_id"), _title_keys(requests, "request_id"), _file_keys(requests, "request_id", "filenames")]
+    offers = [_doi_offers(sources), _identifier_offers(sources), _person_keys(sources, "source_id"), _title_keys(sources, "source_id"), _file_keys(sources, "source_id", "local_files")]
+    return _ranked(asks, "request_id"), _ranked(offers, "source_id").distinct()
+
+
+def _best(asks: DataFrame, offers: DataFrame) -> DataFrame:
+    """(request_id, rank, ks, n, first): the first rule with a candidate and the request's keys that have one.
+
+    n and first: candidates of a single key and the least of them; n is null for several keys. A key's
+    candidates are counted once, whatever number of requests has it.
+    """
+    held = offers.groupBy("rank", "k").agg(F.count("*").alias("n"), F.min("source_id").alias("first"))
+    met = asks.join(held, ["rank", "k"]).groupBy("request_id").agg(F.array_sort(F.collect_set(F.struct("rank", "k", "n", "first"))).alias("met"))
+    rank = F.get("met", 0)["rank"]
+    hits = met.select("request_id", rank.alias("rank"), F.filter("met", lambda m: m["rank"] == rank).alias("met"))
+    return hits.select("request_id", "rank", F.col("met.k").alias("ks"), F.when(F.size("met") == 1, F.get("met", 0)["n"]).alias("n"), F.array_min("met.first").alias("first"))
+
+
+def _sets(best: DataFrame, offers: DataFrame) -> DataFrame:
+    """(rank, ks, source_id): candidates of each distinct set of keys, each once."""
+    each = best.select("rank", "ks").distinct().select("rank", "ks", F.explode("ks").alias("k"))
+    return each.join(offers, ["rank", "k"]).select("rank", "ks", "source_id").distinct()
 
 
 def map_sources(requests: DataFrame, sources: DataFrame) -> DataFrame:
-    """(request_id, status, source_ids, rule, note) of each request."""
-    pairs = [_doi_pairs(requests, sources), _identifier_pairs(requests, sources), _title_pairs(requests, sources, True), _title_pairs(requests, sources, False), _file_pairs(requests, sources)]
-    ranked = reduce(DataFrame.union, (p.select("request_id", "source_id", F.lit(rank).alias("rank")) for rank, p in enumerate(pairs)))
-    return _settle(requests, ranked)
+    """(request_id, status, source_ids, rule, note) of each request.
+
+    source_ids are gathered once for all requests of the same keys, but each row holds them all: where a
+    title has many sources and many requests, map_counts() tells how many in a row of fixed size.
+    """
+    asks, offers = _asked(requests, sources)
+    best = _best(asks, offers).select("request_id", "rank", "ks")
+    lists = _sets(best, offers).groupBy("rank", "ks").agg(F.array_sort(F.collect_set("source_id")).alias("source_ids"))
+    return _settle(requests, best.join(lists, ["rank", "ks"]).select("request_id", "source_ids", "rank"))
+
+
+def map_counts(requests: DataFrame, sources: DataFrame) -> DataFrame:
+    """(request_id, status, n, first, rule, note): map_sources() with the number of candidates and the least of them, no list."""
+    asks, offers = _asked(requests, sources)
+    best = _best(asks, offers)
+    several = best.filter("n is null")
+    counts = _sets(several, offers).groupBy("rank", "ks").agg(F.count("*").alias("n"))
+    both = best.filter("n is not null").select("request_id", "rank", "n", "first").union(several.drop("n").join(counts, ["rank", "ks"]).select("request_id", "rank", "n", "first"))
+    found = requests.select("request_id").join(both, "request_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    return found.select("request_id", _status(F.col("n")), "n", F.coalesce("first", F.lit("")).alias("first"), *_rule())
 
 
 def map_identifiers(keys: DataFrame, sources: DataFrame) -> DataFrame:
     """The cascade for requests that are one citation key each: (request_id), which is the key."""
     requests = keys.select("request_id", F.lit("").alias("doi"), F.array("request_id").alias("identifiers"))
-    ranked = _doi_pairs(requests, sources).select("request_id", "source_id", F.lit(0).alias("rank")).union(_identifier_pairs(requests, sources).select("request_id", "source_id", F.lit(1).alias("rank")))
-    return _settle(requests, ranked)
+    ranked = _ranked([_dois(requests), _identifiers(requests)], "request_id").join(_ranked([_doi_offers(sources), _identifier_offers(sources)], "source_id"), ["rank", "k"])
+    by_rank = ranked.groupBy("request_id", "rank").agg(F.array_sort(F.collect_set("source_id")).alias("source_ids"))
+    return _settle(requests, by_rank.groupBy("request_id").agg(F.min_by("source_ids", "rank").alias("source_ids"), F.min("rank").alias("rank")))
 
 
-def _settle(requests: DataFrame, ranked: DataFrame) -> DataFrame:
-    by_rank = ranked.groupBy("request_id", "rank").agg(F.array_sort(F.collect_set("source_id")).alias("source_ids"))
-    best = by_rank.groupBy("request_id").agg(F.min_by("source_ids", "rank").alias("source_ids"), F.min("rank").alias("rank"))
+def _status(n):
+    return F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous").alias("status")
+
+
+def _rule() -> list:
     rule = F.coalesce(F.get(F.array(*map(F.lit, RULES)), F.col("rank")), F.lit("none"))
+    return [rule.alias("rule"), note_of(rule).alias("note")]
+
+
+def _settle(requests: DataFrame, best: DataFrame) -> DataFrame:
     ids = F.coalesce("source_ids", X.empty_array())
-    status = F.when(F.size(ids) == 0, "unresolved").when(F.size(ids) == 1, "resolved").otherwise("ambiguous")
     found = requests.select("request_id").join(best, "request_id", "left")
-    return found.select("request_id", status.alias("status"), ids.alias("source_ids"), rule.alias("rule"), note_of(rule).alias("note"))
+    return found.select("request_id", _status(F.size(ids)), ids.alias("source_ids"), *_rule())
 
 
 def coalesce_sources(sources: DataFrame) -> DataFrame:

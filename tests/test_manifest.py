@@ -143,3 +143,31 @@ def test_support_rules(spark):
     one = U.measures(claims, cites).head()
     assert (one["eligible"], one["classifiable"], one["supported"], one["recall_whole"], one["recall_verified"]) == (5, 4, 2, None, 0.5)
     assert (one["associations"], one["classifiable_associations"], one["supporting_associations"]) == (7, 5, 2)
+
+
+def test_map_counts_equal_lists_and_pair_no_requests_with_sources(spark):
+    """600 requests for a title of 600 sources: no operator makes the 360,000 pairs; several keys of one rule count a source once."""
+    many = sources(spark, *({"source_id": f"s{i:03}", "title": "Zed", "aliases": [f"a{i}", f"b{i % 7}"]} for i in range(600)))
+    rows = [(f"r{i:03}", "", [], "zed", [], None, []) for i in range(600)] + [("two", "", ["a1", "B1", "none"], "", [], None, []), ("lone", "", ["a5", "A5"], "", [], None, []), ("lost", "", ["x"], "", [], None, [])]
+    requests = spark.createDataFrame(rows, P.REQUEST)
+    counts = P.map_counts(requests, many)
+    found = {r["request_id"]: r for r in counts.collect()}
+    lists = {r["request_id"]: r for r in P.map_sources(requests, many).collect()}
+    assert found.keys() == lists.keys() and len(found) == len(rows)
+    for k, r in found.items():
+        ids = lists[k]["source_ids"]
+        assert (r["n"], r["first"], r["status"], r["rule"], r["note"]) == (len(ids), ids[0] if ids else "", lists[k]["status"], lists[k]["rule"], lists[k]["note"])
+    assert found["r000"]["n"] == 600 and found["two"]["n"] == 86 and found["lone"]["status"] == "resolved" and found["lost"]["status"] == "unresolved"
+    steps, most = [counts._jdf.queryExecution().executedPlan()], 0
+    while steps:
+        step = steps.pop()
+        if "AdaptiveSparkPlan" in step.nodeName():
+            steps.append(step.executedPlan())
+        elif "QueryStage" in step.nodeName():
+            steps.append(step.plan())
+        else:
+            inner = step.children()
+            steps += [inner.apply(i) for i in range(inner.size())]
+        metric = step.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+    assert 0 < most < 10_000
