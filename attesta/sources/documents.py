@@ -1,7 +1,7 @@
 """Documents from files: listing, hashing, dispatch by suffix, extraction, and the tables that follow.
 
 Folders are read with the binaryFile source and named files on the executors, so
-reading is distributed. One mapInPandas pass extracts every format by a reader for its
+reading is distributed. One mapInArrow pass extracts every format by a reader for its
 suffix (READERS, or readers of the caller's own); a reader's failure becomes the status
 error:<Exception> of that document and never fails the task.
 """
@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator, Mapping
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,14 @@ SUFFIXES = tuple(X.SUFFIX_TYPES)
 _BLOCK = "array<struct<block_id:string,text_original:string,locator_type:string,locator_value:string,heading:string>>"
 _MENTION = "array<struct<raw_text:string,citation_keys:array<string>,locator_type:string,locator_value:string,mapping_status:string>>"
 _PARSED = f"document_id string, role string, path string, media_type string, sha256 string, extraction_method string, extraction_status string, text_quality string, conversion_note string, error string, blocks {_BLOCK}, mentions {_MENTION}"
+_texts = lambda *names: pa.struct([(n, pa.list_(pa.string()) if n == "citation_keys" else pa.string()) for n in names])
+_ARROW = pa.schema([
+    *((c.split()[0], pa.string()) for c in _PARSED.split(", ")[:-2]),
+    ("blocks", pa.list_(_texts("block_id", "text_original", "locator_type", "locator_value", "heading"))),
+    ("mentions", pa.list_(_texts("raw_text", "citation_keys", "locator_type", "locator_value", "mapping_status"))),
+])
+#: Bytes of content, and files, whose blocks Python holds at once.
+SLICE, SLICE_ROWS = 1 << 20, 500
 #: Blocks and mentions, extraction method, status and quality of a file's bytes.
 Read = tuple[formats.Parsed, str, str, str]
 Reader = Callable[[bytes], Read]
@@ -141,29 +150,43 @@ def extract(found: DataFrame, role: str, readers: Mapping[str, Reader] | None =
         raise ValueError("role is source or target")
     known = {**READERS, **(readers or {})}
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for path, sha, kind, content in zip(part.path, part.sha256, part.media_type, part.content, strict=True):
-                error, blocks, mentions, method, status, quality = "", [], [], "", "", "unknown"
-                try:
-                    suffix = Path(path).suffix.lower()
-                    if content is None:
-                        status = "missing"
-                    elif suffix not in known:
-                        status, error = "error:UnsupportedFormatError", suffix
-                    else:
-                        (blocks, mentions), method, status, quality = known[suffix](bytes(content))
-                except Exception as e:  # noqa: BLE001 - one document's failure is its own status
-                    status, error = f"error:{type(e).__name__}", str(e)
-                if not blocks and (status, quality) == ("extracted", "good"):
-                    status, quality = "unusable", "empty"
-                named = [dict(zip(("block_id", "text_original", "locator_type", "locator_value", "heading"), b, strict=True)) for b in blocks]
-                cited = [dict(zip(("raw_text", "citation_keys", "locator_type", "locator_value", "mapping_status"), m, strict=True)) for m in mentions]
-                rows.append((f"{role}-{sha}", role, path, kind, sha, method, status, quality, "", error, named, cited))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PARSED.split(", ")])
-
-    return found.select("path", "sha256", "media_type", "content").mapInPandas(run, _PARSED)
+    def row(path: str, sha: str | None, kind: str | None, content: bytes | None) -> tuple:
+        error, blocks, mentions, method, status, quality = "", [], [], "", "", "unknown"
+        try:
+            suffix = Path(path).suffix.lower()
+            if content is None:
+                status = "missing"
+            elif suffix not in known:
+                status, error = "error:UnsupportedFormatError", suffix
+            else:
+                (blocks, mentions), method, status, quality = known[suffix](content)
+        except Exception as e:  # noqa: BLE001 - one document's failure is its own status
+            status, error = f"error:{type(e).__name__}", str(e)
+        if not blocks and (status, quality) == ("extracted", "good"):
+            status, quality = "unusable", "empty"
+        named = [dict(zip(("block_id", "text_original", "locator_type", "locator_value", "heading"), b, strict=True)) for b in blocks]
+        cited = [dict(zip(("raw_text", "citation_keys", "locator_type", "locator_value", "mapping_status"), m, strict=True)) for m in mentions]
+        return f"{role}-{sha}", role, path, kind, sha, method, status, quality, "", error, named, cited
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return sliced(parts, row)
+
+    return found.select("path", "sha256", "media_type", "content").mapInArrow(run, _PARSED)
+
+
+def sliced(parts: Iterator[pa.RecordBatch], row: Callable[..., tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of files by `row`, sent on after every SLICE bytes of content, so that Python holds no batch of parsed files."""
+    rows, size = [], 0
+    for part in parts:
+        for i in range(part.num_rows):
+            given = [column[i].as_py() for column in part.columns]
+            rows.append(row(*given))
+            size += len(given[-1] or b"")
+            if size >= SLICE or len(rows) == SLICE_ROWS:
+                yield pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, r, strict=True)) for r in rows], _ARROW)
+                rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, r, strict=True)) for r in rows], _ARROW)
 
 
 def unusable(status, quality):
