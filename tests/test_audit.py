@@ -258,3 +258,12 @@ def test_arrivals_are_counted_once_their_hour_is_past(spark, tmp_path):
     found = incremental.arrivals(stream).selectExpr("hour(window.start) AS hour", "media_type", "n")
     found.writeStream.outputMode("append").format("memory").queryName("arrived").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     assert sorted(tuple(r) for r in spark.table("arrived").collect()) == [(0, "a", 2), (1, "b", 1)]  # the last hour is still open
+
+
+def test_named_files_are_read_by_several_tasks(spark, tmp_path):
+    lib = write(tmp_path / "lib", **{f"f{i}__txt": f"text {i}" for i in range(40)})
+    paths = spark.createDataFrame([(f"{lib}/f{i}.txt",) for i in range(41)] * 2, "path string").repartition(3).distinct()
+    for content in (True, False):
+        found = D.opened(paths, content).withColumn("task", F.spark_partition_id()).collect()
+        assert len(found) == 41 and [r["path"] for r in found if r["sha256"] is None] == [f"{lib}/f40.txt"]
+        assert len({r["task"] for r in found}) > 1
